@@ -16,6 +16,8 @@ from cytoloom.llm.shared import durable, words
 #: all 20 differ with a chance of 3e-5.
 K, PICKED, SKETCHES = 5, 4, 20
 SIMILAR = 0.8
+#: The texts of a bucket by place: the first is aligned with all others at once, those of each further range in a further pass.
+PLACES = (2, 4, 8, 16, 33)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -47,15 +49,16 @@ def sketches(words: np.ndarray, many: int = SKETCHES, picked: int = PICKED) -> n
     labelled = labelled_kmers(words)
     if not len(labelled):
         return np.empty(0, dtype=np.int64)
-    out, p = np.empty(many, dtype=np.uint64), min(picked, len(labelled))
-    for j in range(many):
-        ranks = _mix(labelled ^ (np.full(1, j + 1, np.uint64) * _A))
-        lowest = np.sort(np.argpartition(ranks, p - 1)[:p])
-        key = np.full(1, np.uint64(j))
-        for x in labelled[lowest]:
-            key = _mix((key * _A) ^ x)
-        out[j] = key[0]
-    return out.view(np.int64)
+    p, seeds = min(picked, len(labelled)), np.arange(1, many + 1, dtype=np.uint64)
+    out = np.empty((many, p), dtype=np.uint64)
+    step = max(1, (1 << 20) // len(labelled))
+    for at in range(0, many, step):
+        ranks = _mix(labelled ^ (seeds[at : at + step, None] * _A))
+        out[at : at + step] = labelled[np.sort(np.argpartition(ranks, p - 1, axis=1)[:, :p], axis=1)]
+    keys = seeds
+    for j in range(p):
+        keys = _mix((keys * _A) ^ out[:, j])
+    return keys.view(np.int64)
 
 
 def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILAR) -> float:
@@ -108,8 +111,9 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
     that a deduplication keeps (that of the smallest key).
 
     Texts are compared by their words in lower case. Equal texts are one class at once and go on as one. Texts that share a sketch are
-    candidates: in every bucket all are aligned with its first, then with further ones as long as the bucket holds texts of different
-    classes; so every two candidates are either in one class already or aligned, and nothing is capped. Linked texts, of a
+    candidates: in every bucket all are aligned with the first, and those that are then in no class with it with the next 31, in passes.
+    So every two candidates of a bucket of up to 33 texts are in one class or aligned; in larger buckets each text meets the first 32,
+    and as a text has 20 buckets with different neighbours, up to 640 partners; no text, bucket or pass is left out. Linked texts, of a
     similarity of `least` or more, are in one class, and so are chains of them.
 
     A null text is in a class of its own, whose tid is null; a text without words only with texts equal to it. Repeated rows are
@@ -143,21 +147,22 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
 
     links = verified(posts.where("tid != lead").select(F.least("tid", "lead").alias("a"), F.greatest("tid", "lead").alias("b")).distinct())
     comps = components(links)
-    low = 2
-    while True:  # what is still in several classes of a bucket: align with its next ones
+    lead_comp = posts.select("bucket", F.col("lead").alias("id")).distinct()
+    for low, high in zip(PLACES, PLACES[1:]):  # noqa: B905  what is still apart from its bucket's first text: align with the next ones
+        main = lead_comp.join(comps, "id", "left").select(F.col("bucket").alias("of"), F.coalesce("comp", "id").alias("main"))
         state = posts.join(comps.withColumnRenamed("id", "tid"), "tid", "left").select("bucket", "tid", "first", F.coalesce("comp", "tid").alias("comp"))
-        split = state.groupBy("bucket").agg(F.min("comp").alias("p"), F.max("comp").alias("q"), F.count("*").alias("many")).where(f"p != q AND many > {low}").select("bucket")
+        state = state.join(main, F.col("bucket") == F.col("of")).drop("of")
+        apart = state.groupBy("bucket").agg(F.count("*").alias("many"), F.count_if(F.col("comp") != F.col("main")).alias("apart")).where(f"apart > 0 AND many >= {low + 1}").select("bucket")
         place = F.row_number().over(Window.partitionBy("bucket").orderBy(F.col("first").asc_nulls_last(), "tid"))
-        open_ = durable(state.join(split, "bucket").withColumn("place", place))
-        if open_.limit(1).count() == 0:
+        state = durable(state.join(apart, "bucket").withColumn("place", place))
+        if state.limit(1).count() == 0:
             break
-        leads = open_.where((F.col("place") >= low) & (F.col("place") < 8 * low)).select("bucket", F.col("tid").alias("x"), F.col("comp").alias("cx"), F.col("place").alias("px"))
-        more = open_.join(leads, "bucket").where("place > px AND comp != cx").select(F.least("tid", "x").alias("a"), F.greatest("tid", "x").alias("b")).distinct()
+        leads = state.where((F.col("place") >= low) & (F.col("place") < high)).select("bucket", F.col("tid").alias("x"), F.col("comp").alias("cx"), F.col("place").alias("px"))
+        more = state.where("comp != main").join(leads, "bucket").where("comp != cx AND (place > px OR cx = main)").select(F.least("tid", "x").alias("a"), F.greatest("tid", "x").alias("b")).distinct()
         new = verified(more)
         if new.limit(1).count():
             links = links.union(new)
             comps = components(links)
-        low *= 8
     named = texts.join(comps.withColumnRenamed("id", "tid"), "tid", "left").select("tid", "first", F.coalesce("comp", "tid").alias("comp"))
     best = named.groupBy("comp").agg(F.min(F.struct(F.coalesce("first", F.lit((1 << 63) - 1)).alias("f"), "tid")).alias("best"), F.min("first").alias("class_id"))
     named = named.join(best, "comp").select("tid", "class_id", (F.col("best.tid") == F.col("tid")).alias("kept"))

@@ -59,7 +59,11 @@ def cut_windows(at: np.ndarray, penalty: np.ndarray, window: int) -> list[int]:
 
 class Encoder:
     """Ids of a text, and after how many of them its sentences end. The tokenizer drops white space and no token spans it, so the pieces
-    between spaces and line breaks are encoded once and remembered, at most about `most` of them."""
+    between spaces and line breaks are encoded once and remembered, at most about `most` of them. Nor does a token span the end of a
+    letter and a mark after it: a piece is kept as its body and its last marks, and bodies of ASCII letters in lower case, as the
+    tokenizer has them."""
+
+    MARKS = ".,;:!?"
 
     def __init__(self, path: str, most: int = 1_000_000):
         from tokenizers import Tokenizer
@@ -69,30 +73,47 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.place: dict[str, int] = {}
-        self.used, self.flat, self.first, self.size, self.closes = 0, np.zeros(1 << 16, "<u4"), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32), np.zeros(1 << 14, bool)
-
-    def _encode(self, pieces: list[str]) -> list[np.ndarray]:
-        """Many pieces go through the tokenizer as one text, with a special token between them, which always stands alone."""
-        if self.mark is None or any("<" in p for p in pieces):
-            return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        ids = np.array(self.tokenizer.encode(self.tokenizer.id_to_token(self.mark).join(pieces), add_special_tokens=False).ids, "<u4")
+        self.place: dict[str, int] = {}  # of pieces: rows of body, tail and closes
+        self.part: dict[str, int] = {"": 0}  # of bodies and tails: rows of first and size, which lie in flat
+        self.used, self.flat, self.first, self.size = 0, np.zeros(1 << 16, "<u4"), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.ends, self.closes = np.zeros((1 << 14, 2), np.int64), np.zeros(1 << 14, bool)
+
+    def _encode(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of many parts and their numbers: they go through the tokenizer as one text with a special token between them, which
+        always stands alone."""
+        if self.mark is None or any("<|" in p for p in parts):
+            coded = [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+            return np.array([i for c in coded for i in c], "<u4"), np.array([len(c) for c in coded], np.int64)
+        text = self.tokenizer.id_to_token(self.mark).join(parts)
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
         at = np.flatnonzero(ids == self.mark)
-        parts = np.split(ids, at)
-        return [parts[0], *[p[1:] for p in parts[1:]]]
+        return ids[ids != self.mark], np.diff(np.concatenate([[-1], at, [len(ids)]])) - 1
+
+    def _grown(self, x: np.ndarray, n: int) -> np.ndarray:
+        while n > len(x):
+            x = np.concatenate([x, np.zeros_like(x)])
+        return x
 
     def _learn(self, pieces: list[str]) -> None:
-        coded = [x for at in range(0, len(pieces), 512) for x in self._encode(pieces[at : at + 512])]
-        n, sizes = len(self.place), np.fromiter(map(len, coded), np.int64, len(coded))
-        while n + len(coded) > len(self.first):
-            self.first, self.size, self.closes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size, self.closes))
-        while self.used + sizes.sum() > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        new = slice(n, n + len(coded))
-        self.first[new], self.size[new] = self.used + np.cumsum(sizes) - sizes, sizes
-        self.closes[new] = [p.endswith(CLOSING) for p in pieces]
-        self.flat[self.used : self.used + int(sizes.sum())] = np.concatenate(coded)
-        self.used += int(sizes.sum())
+        split = []
+        for p in pieces:
+            body = p.rstrip(self.MARKS)
+            body = body if body and body[-1].isalpha() else p
+            split.append((body.lower() if body.isascii() and body.isalpha() else body, p[len(body) :]))
+        new = list({x for s in split for x in s}.difference(self.part))
+        for at in range(0, len(new), 1024):
+            some = new[at : at + 1024]
+            ids, sizes = self._encode(some)
+            n, used = len(self.part), self.used + len(ids)
+            self.flat, self.first, self.size = self._grown(self.flat, used), self._grown(self.first, n + len(some)), self._grown(self.size, n + len(some))
+            self.flat[self.used : used] = ids
+            self.first[n : n + len(some)], self.size[n : n + len(some)] = self.used + np.cumsum(sizes) - sizes, sizes
+            self.used = used
+            self.part.update(zip(some, range(n, n + len(some)), strict=True))
+        n = len(self.place)
+        self.ends, self.closes = self._grown(self.ends, n + len(pieces)), self._grown(self.closes, n + len(pieces))
+        self.ends[n : n + len(pieces)] = [(self.part[a], self.part[b]) for a, b in split]
+        self.closes[n : n + len(pieces)] = [p.endswith(CLOSING) for p in pieces]
         self.place.update(zip(pieces, range(n, n + len(pieces)), strict=True))
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -104,9 +125,10 @@ class Encoder:
         if new:
             self._learn(list(new))
         at = np.fromiter(map(self.place.__getitem__, pieces), np.int64, len(pieces))
-        size = self.size[at].astype(np.int64)
+        parts = self.ends[at].ravel()
+        size = self.size[parts]
         upto = np.cumsum(size)
-        return self.flat[np.repeat(self.first[at] - upto + size, size) + np.arange(upto[-1])], upto[self.closes[at]]
+        return self.flat[np.repeat(self.first[parts] - upto + size, size) + np.arange(upto[-1])], upto[1::2][self.closes[at]]
 
 
 _ENCODERS: dict[str, Encoder] = {}
