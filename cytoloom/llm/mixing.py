@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cytoloom.llm.shared import BITS, dense, durable, labelled_sample, sparse, text_vector
+from cytoloom.llm.shared import BITS, Work, dense, labelled_sample, sparse, text_vector
 
 WIDTH = (1 << BITS) + 9
 
@@ -153,14 +153,14 @@ def mix(docs: DataFrame, model: Model | None, weights: dict[str, float], keep: t
     weights: the target share of each domain's tokens; domains without one get none, weights of unknown domains are left out. The
     targets' sum is that of the rows' tokens, or the least more for which no domain of `keep` loses tokens. rate is 0 or more; `copies` is
     its stochastic rounding by a hash of `key`, so equal keys are rounded alike. Without a model, or a weight above 0 for any of its
-    domains, or tokens, every rate and copies is 1. The rows are checkpointed with their posteriors, so texts are read once.
+    domains, or tokens, every rate and copies is 1. The rows are written with their posteriors to the shared folder, so texts are read once.
     """
     if model is None or not any(weights.get(d, 0) > 0 for d in model.names):
         one = {"domain": F.lit(None).cast("string"), "posterior": F.array().cast("array<double>"), "tokens": F.size(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"\s+"), lambda w: w != "")).cast("long"), "rate": F.lit(1.0), "copies": F.lit(1)}
         df = docs.withColumns(one)
         return df if carry_text else df.drop(text)
     members = memberships(docs, model, text)
-    members = durable(members if carry_text else members.drop(text))
+    members = Work(docs.sparkSession).table(members if carry_text else members.drop(text), keep=True)
     sums = domain_tokens(members, len(model.names))
     share = np.array([max(0.0, weights.get(d, 0.0)) for d in model.names])
     fit = fit_rates(members, target_tokens(sums, share, [i for i, d in enumerate(model.names) if d in keep]))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cytoloom.llm.shared import durable, words
+from cytoloom.llm.shared import Work, words
 
 #: Words of a k-mer; k-mers in a sketch; sketches. At a similarity of 0.8 a sketch agrees with a chance of about 0.8 ** 4 = 0.41, so
 #: all 20 differ with a chance of 3e-5.
@@ -89,18 +89,18 @@ def hashed_words(text: Column) -> Column:
     return F.transform(words(F.lower(text)), lambda w: F.xxhash64(w))
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, work: Work) -> DataFrame:
     """(id, comp): the smallest id of every id's connected component; links: a, b. Labels spread along links and then jump to their
-    labels' labels until nothing changes; every round is checkpointed, and only the count of changes reaches the driver."""
-    both = durable(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct())
+    labels' labels until nothing changes; every round is written, and only the count of changes reaches the driver."""
+    both = work.table(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct())
     labels = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("comp")).withColumnRenamed("a", "id")
+    labels = work.table(labels)
     while True:
-        labels = durable(labels)
         seen = labels.select(F.col("id").alias("b"), F.col("comp").alias("near"))
         spread = both.join(seen, "b").groupBy("a").agg(F.min("near").alias("near"))
         step = labels.join(spread, labels.id == spread.a).select("id", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
         jump = step.select(F.col("id").alias("of"), F.col("comp").alias("further"))
-        step = durable(step.join(jump, F.col("comp") == F.col("of"), "left").select("id", "old", F.least("comp", F.coalesce("further", "comp")).alias("comp")))
+        step = work.table(step.join(jump, F.col("comp") == F.col("of"), "left").select("id", "old", F.least("comp", F.coalesce("further", "comp")).alias("comp")))
         labels = step.select("id", "comp")
         if step.where("old != comp").limit(1).count() == 0:
             return labels
@@ -128,25 +128,26 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
     def align(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([similarity(x, y, least) for x, y in zip(a, b, strict=True)], index=a.index, dtype=float)
 
+    work = Work(docs.sparkSession)
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("t"))
     tid = F.unhex(F.md5(F.encode("t", "UTF-8")))
-    hashed = durable(rows.select("id", tid.alias("tid"), F.when(F.col("t").isNotNull(), sketch(hashed_words(F.col("t")))).alias("keys")))
-    texts = durable(hashed.where("tid IS NOT NULL").groupBy("tid").agg(F.min("id").alias("first"), F.first("keys").alias("keys")))
+    hashed = work.table(rows.select("id", tid.alias("tid"), F.when(F.col("t").isNotNull(), sketch(hashed_words(F.col("t")))).alias("keys")), keep=True)
+    texts = work.table(hashed.where("tid IS NOT NULL").groupBy("tid").agg(F.min("id").alias("first"), F.first("keys").alias("keys")))
     posts = texts.select(F.explode("keys").alias("bucket"), "tid", "first")
     lead = F.min(F.struct(F.coalesce("first", F.lit((1 << 63) - 1)).alias("f"), "tid")).alias("lead")
     shared = posts.groupBy("bucket").agg(lead, F.count("*").alias("many")).where("many > 1")
-    posts = durable(posts.join(shared, "bucket").select("bucket", "tid", "first", F.col("lead.tid").alias("lead")))
+    posts = work.table(posts.join(shared, "bucket").select("bucket", "tid", "first", F.col("lead.tid").alias("lead")))
     wanted = posts.select("tid").distinct()
     held = rows.where("t IS NOT NULL").withColumn("tid", tid).join(wanted, "tid", "left_semi")
-    held = durable(held.groupBy("tid").agg(F.first("t").alias("t")).select("tid", hashed_words(F.col("t")).alias("w")))
+    held = work.table(held.groupBy("tid").agg(F.first("t").alias("t")).select("tid", hashed_words(F.col("t")).alias("w")))
 
     def verified(pairs: DataFrame) -> DataFrame:
         a, b = held.select(F.col("tid").alias("a"), F.col("w").alias("wa")), held.select(F.col("tid").alias("b"), F.col("w").alias("wb"))
         fitting = pairs.join(a, "a").join(b, "b").where(F.size("wa") + K >= least * (F.size("wb") - K)).where(F.size("wb") + K >= least * (F.size("wa") - K))
-        return durable(fitting.withColumn("similarity", align("wa", "wb")).where(F.col("similarity") >= least).select("a", "b"))
+        return work.table(fitting.withColumn("similarity", align("wa", "wb")).where(F.col("similarity") >= least).select("a", "b"))
 
     links = verified(posts.where("tid != lead").select(F.least("tid", "lead").alias("a"), F.greatest("tid", "lead").alias("b")).distinct())
-    comps = components(links)
+    comps = components(links, work)
     lead_comp = posts.select("bucket", F.col("lead").alias("id")).distinct()
     for low, high in zip(PLACES, PLACES[1:]):  # noqa: B905  what is still apart from its bucket's first text: align with the next ones
         main = lead_comp.join(comps, "id", "left").select(F.col("bucket").alias("of"), F.coalesce("comp", "id").alias("main"))
@@ -154,7 +155,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
         state = state.join(main, F.col("bucket") == F.col("of")).drop("of")
         apart = state.groupBy("bucket").agg(F.count("*").alias("many"), F.count_if(F.col("comp") != F.col("main")).alias("apart")).where(f"apart > 0 AND many >= {low + 1}").select("bucket")
         place = F.row_number().over(Window.partitionBy("bucket").orderBy(F.col("first").asc_nulls_last(), "tid"))
-        state = durable(state.join(apart, "bucket").withColumn("place", place))
+        state = work.table(state.join(apart, "bucket").withColumn("place", place))
         if state.limit(1).count() == 0:
             break
         leads = state.where((F.col("place") >= low) & (F.col("place") < high)).select("bucket", F.col("tid").alias("x"), F.col("comp").alias("cx"), F.col("place").alias("px"))
@@ -162,10 +163,11 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
         new = verified(more)
         if new.limit(1).count():
             links = links.union(new)
-            comps = components(links)
+            comps = components(links, work)
     named = texts.join(comps.withColumnRenamed("id", "tid"), "tid", "left").select("tid", "first", F.coalesce("comp", "tid").alias("comp"))
     best = named.groupBy("comp").agg(F.min(F.struct(F.coalesce("first", F.lit((1 << 63) - 1)).alias("f"), "tid")).alias("best"), F.min("first").alias("class_id"))
-    named = named.join(best, "comp").select("tid", "class_id", (F.col("best.tid") == F.col("tid")).alias("kept"))
+    named = work.table(named.join(best, "comp").select("tid", "class_id", (F.col("best.tid") == F.col("tid")).alias("kept")), keep=True)
+    work.drop()
     out = hashed.select("id", "tid").join(named, "tid", "left")
     return out.select(F.col("id").alias(key), "tid", F.when(F.col("tid").isNull(), F.col("id").cast("long")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("kept", F.lit(True)).alias("kept"))
 

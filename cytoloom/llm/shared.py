@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,12 +23,26 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the cluster's shared folder (spark.checkpoint.dir)."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
+class Work:
+    """Tables of one operator's call, in a folder of its own in the cluster's shared folder (spark.checkpoint.dir), so that a lost
+    executor costs no more than the step it was in. Tables also give joins their true sizes, which checkpoints carry on as estimates
+    that multiply with every join."""
+
+    def __init__(self, spark: SparkSession):
+        top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="shared-")
+        self.spark, self.folder, self.made = spark, f"{top}/work-{uuid.uuid4().hex}", 0
+
+    def table(self, df: DataFrame, keep: bool = False) -> DataFrame:
+        """df, written and read again; `keep`: it outlives drop()."""
+        self.made += 1
+        path = f"{self.folder}/{'keep' if keep else 'step'}/{self.made}"
+        df.write.parquet(path)
+        return self.spark.read.parquet(path)
+
+    def drop(self) -> None:
+        """Deletes what no result needs."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/step")
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def labelled_sample(df: DataFrame, label: str, most: int, total: int) -> DataFrame:
