@@ -1 +1,308 @@
-QUERIES, ORACLE_SQL = {}, {}
+"""The operators re-enacted on the TPC-H-like tables: a cell is a customer, its sample the nation, its batch the region, its cluster the
+market segment, a gene a part's name, and a count the quantity bought. Each query has SQL that gives the same rows."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cytoloom.operators import evidence, labels, markers, qc
+from cytoloom.sources import metadata
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+FAMILIES = {"mt": ("SMALL",), "ribo": ("RED",)}
+
+_CELLS = "cells AS (SELECT c_custkey AS cell_id, n_name AS sample, r_name AS batch, c_mktsegment AS grp, c_acctbal AS score FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
+_COUNTS = "counts AS (SELECT o_custkey AS cell_id, p_name AS gene, sum(l_quantity) AS cnt FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY ALL)"
+_TOTALS = "totals AS (SELECT cell_id, sum(cnt) AS total FROM counts GROUP BY 1)"
+_NORM = "x AS (SELECT cell_id, gene, ln(1 + cnt / total * 10000) AS v FROM counts JOIN totals USING (cell_id))"
+_QC = """qc AS (SELECT cell_id, sample, batch, grp, score, coalesce(total, 0) AS total_counts, coalesce(n, 0) AS n_genes, CASE WHEN total > 0 THEN 100 * mt / total END AS pct_mt, CASE WHEN total > 0 THEN 100 * ribo / total END AS pct_ribo
+FROM cells LEFT JOIN (SELECT cell_id, sum(cnt) AS total, count(*) FILTER (cnt > 0) AS n, coalesce(sum(cnt) FILTER (upper(gene) LIKE 'SMALL%'), 0) AS mt, coalesce(sum(cnt) FILTER (upper(gene) LIKE 'RED%'), 0) AS ribo FROM counts GROUP BY 1) USING (cell_id))"""
+_SIZE = "size AS (SELECT grp, CAST(count(*) AS DOUBLE) AS n_g, CAST(sum(count(*)) OVER () AS DOUBLE) AS n FROM cells GROUP BY 1)"
+_STATS = """own AS (SELECT gene, grp, sum(v) AS s_g, CAST(count(*) FILTER (v > 0) AS DOUBLE) AS k_g FROM x JOIN cells USING (cell_id) GROUP BY ALL),
+whole AS (SELECT gene, sum(s_g) AS s, sum(k_g) AS k FROM own GROUP BY 1),
+zc AS (SELECT w.gene, z.grp, s, k, n, n_g, coalesce(s_g, 0) AS s_g, coalesce(k_g, 0) AS k_g FROM whole w CROSS JOIN size z LEFT JOIN own o ON o.gene = w.gene AND o.grp = z.grp),
+stats AS (SELECT gene, grp, k_g / n_g AS pct_in, (k - k_g) / (n - n_g) AS pct_out, k_g / n_g - (k - k_g) / (n - n_g) AS spec, log2((exp(s_g / n_g) - 1 + 1e-9) / (exp((s - s_g) / (n - n_g)) - 1 + 1e-9)) AS logfc FROM zc)"""
+_RANKS = """r AS (SELECT gene, grp, rank() OVER (PARTITION BY gene ORDER BY v) + (count(*) OVER (PARTITION BY gene, v) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY gene) AS k FROM x JOIN cells USING (cell_id)),
+ro AS (SELECT gene, grp, CAST(sum(r) AS DOUBLE) AS s, CAST(count(*) AS DOUBLE) AS k_g FROM r GROUP BY ALL), rk AS (SELECT gene, CAST(max(k) AS DOUBLE) AS k FROM r GROUP BY 1),
+z AS (SELECT rk.gene, z.grp, ((n_g - coalesce(k_g, 0)) * (n - k + 1) / 2 + coalesce(s, 0) + (n - k) * coalesce(k_g, 0) - n_g * (n + 1) / 2) / sqrt(n_g * (n - n_g) * (n + 1) / 12) AS z FROM rk CROSS JOIN size z LEFT JOIN ro ON ro.gene = rk.gene AND ro.grp = z.grp)"""
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def cells(spark: SparkSession, d: str) -> DataFrame:
+    c, n, r = (_t(spark, d, t) for t in ("customer", "nation", "region"))
+    df = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+    return df.select(F.col("c_custkey").alias("cell_id"), F.col("n_name").alias("sample"), F.col("r_name").alias("batch"), F.col("c_mktsegment").alias("grp"), F.col("c_acctbal").alias("score"))
+
+
+def counts(spark: SparkSession, d: str) -> DataFrame:
+    li, o, p = (_t(spark, d, t) for t in ("lineitem", "orders", "part"))
+    df = li.join(p, F.col("l_partkey") == F.col("p_partkey")).join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    return df.groupBy(F.col("o_custkey").alias("cell_id"), F.col("p_name").alias("gene")).agg(F.sum("l_quantity").alias("cnt"))
+
+
+def query(sql: str | None = None, *ctes: str):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = (f"WITH {', '.join(ctes)} " if ctes else "") + sql
+        return f
+
+    return add
+
+
+def metrics(spark, d):
+    return qc.cell_metrics(cells(spark, d), counts(spark, d), FAMILIES)
+
+
+def groups(spark, d):
+    return cells(spark, d).select("cell_id", "grp")
+
+
+def normalised(spark, d):
+    return qc.log_normalised(counts(spark, d))
+
+
+def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in names})
+
+
+@query("SELECT cell_id, total_counts, n_genes, round(pct_mt, 6) AS pct_mt, round(pct_ribo, 6) AS pct_ribo FROM qc", _CELLS, _COUNTS, _QC)
+def cell_qc(spark, d):
+    return rounded(metrics(spark, d), "pct_mt", "pct_ribo").select("cell_id", "total_counts", "n_genes", "pct_mt", "pct_ribo")
+
+
+@query("SELECT gene, count(*) FILTER (cnt > 0) AS n_cells, round(sum(cnt) / n, 6) AS mean, round((sum(cnt * cnt) - n * (sum(cnt) / n) * (sum(cnt) / n)) / (n - 1), 6) AS variance FROM counts, (SELECT CAST(count(*) AS DOUBLE) AS n FROM customer) GROUP BY gene, n", _COUNTS)
+def gene_stats(spark, d):
+    return rounded(qc.gene_stats(counts(spark, d), _t(spark, d, "customer").agg(F.count("*").alias("n"))), "mean", "variance")
+
+
+_Q = ", ".join(f"round(quantile_cont(value, {q}), 6) AS q{round(100 * q):02d}" for q in (0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0))
+
+
+@query(f"SELECT metric, {_Q}, round(avg(value), 6) AS mean FROM (SELECT 'total_counts' AS metric, CAST(total_counts AS DOUBLE) AS value FROM qc UNION ALL SELECT 'n_genes', n_genes FROM qc UNION ALL SELECT 'pct_mt', pct_mt FROM qc) GROUP BY 1", _CELLS, _COUNTS, _QC)
+def qc_quantiles(spark, d):
+    out = qc.quantiles(metrics(spark, d), ["total_counts", "n_genes", "pct_mt"])
+    return rounded(out, *out.columns[1:])
+
+
+_MAD = "round(med, 6) AS med, round(mad, 6) AS mad, round(greatest(exp(med - 5 * mad) - 1, 0), 4) AS lower, round(exp(med + 5 * mad) - 1, 4) AS upper FROM (SELECT g, any_value(med) AS med, median(abs(v - med)) * 1.482602218505602 AS mad FROM (SELECT g, v, median(v) OVER (PARTITION BY g) AS med FROM (SELECT {g} AS g, ln(1 + total_counts) AS v FROM qc)) GROUP BY g)"
+
+
+@query("SELECT g AS grp, " + _MAD.format(g="'all'"), _CELLS, _COUNTS, _QC)
+def qc_mad_global(spark, d):
+    return rounded(rounded(qc.mad_bounds(metrics(spark, d), "total_counts"), "med", "mad"), "lower", "upper", digits=4)
+
+
+@query("SELECT g AS grp, " + _MAD.format(g="sample"), _CELLS, _COUNTS, _QC)
+def qc_mad_sample(spark, d):
+    return rounded(rounded(qc.mad_bounds(metrics(spark, d), "total_counts", "sample"), "med", "mad"), "lower", "upper", digits=4)
+
+
+@query("SELECT sample, count(*) AS n_before, count(*) FILTER (n_genes >= 10 AND pct_mt <= 20) AS n_after, median(n_genes) AS median_genes FROM qc GROUP BY 1", _CELLS, _COUNTS, _QC)
+def qc_filter_report(spark, d):
+    mask = qc.keep_mask(10, 20.0)
+    return metrics(spark, d).groupBy("sample").agg(F.count("*").alias("n_before"), F.count_if(mask).alias("n_after"), F.percentile("n_genes", F.lit(0.5)).alias("median_genes"))
+
+
+@query("SELECT cell_id, sample, n_genes FROM qc WHERE n_genes >= 10 AND pct_mt <= 20 AND total_counts >= 100", _CELLS, _COUNTS, _QC)
+def qc_filter(spark, d):
+    return metrics(spark, d).where(qc.keep_mask(10, 20.0, 100)).select("cell_id", "sample", "n_genes")
+
+
+_PAIR = "SELECT gene FROM (SELECT DISTINCT p_name AS gene FROM part ORDER BY 1 LIMIT 2)"
+
+
+@query(f"SELECT cell_id, coalesce(n = 2, false) AS mixed_lineage_flag FROM cells LEFT JOIN (SELECT cell_id, count(DISTINCT gene) AS n FROM counts WHERE cnt > 0 AND gene IN ({_PAIR}) GROUP BY 1) USING (cell_id)", _CELLS, _COUNTS)
+def coexpression_flag(spark, d):
+    pair = [r[0] for r in _t(spark, d, "part").select("p_name").distinct().orderBy("p_name").limit(2).collect()]
+    return qc.coexpressed(cells(spark, d), counts(spark, d), pair).select("cell_id", "mixed_lineage_flag")
+
+
+@query("SELECT cell_id, gene, cnt FROM counts WHERE gene IN (SELECT gene FROM counts WHERE cnt > 0 GROUP BY 1 HAVING count(*) >= 60)", _COUNTS)
+def gene_filter(spark, d):
+    return qc.common_genes(counts(spark, d), 60)
+
+
+@query("SELECT cell_id, gene, round(v, 6) AS v FROM x", _COUNTS, _TOTALS, _NORM)
+def lognorm(spark, d):
+    return rounded(normalised(spark, d), "v").select("cell_id", "gene", "v")
+
+
+@query("SELECT gene, grp, round(z, 6) AS z FROM z", _CELLS, _COUNTS, _TOTALS, _NORM, _SIZE, _RANKS)
+def rank_sum_z(spark, d):
+    return rounded(markers.rank_sum(normalised(spark, d), groups(spark, d)), "z")
+
+
+@query("SELECT gene, grp, round(pct_in, 6) AS pct_in, round(pct_out, 6) AS pct_out, round(spec, 6) AS spec, round(logfc, 6) AS logfc FROM stats", _CELLS, _COUNTS, _TOTALS, _NORM, _SIZE, _STATS)
+def logfc_pct(spark, d):
+    return rounded(markers.fractions_and_change(normalised(spark, d), groups(spark, d)), "pct_in", "pct_out", "spec", "logfc")
+
+
+@query("SELECT gene, grp, place FROM (SELECT gene, grp, CAST(row_number() OVER (PARTITION BY grp ORDER BY round(z, 6) DESC, gene) - 1 AS INTEGER) AS place FROM z) WHERE place < 10", _CELLS, _COUNTS, _TOTALS, _NORM, _SIZE, _RANKS)
+def top_markers(spark, d):
+    return markers.top(rank_sum_z(spark, d), "grp", "z", 10).select("gene", "grp", "place")
+
+
+@query("SELECT gene, grp FROM (SELECT gene, grp, round(z, 6) AS z FROM z) JOIN (SELECT gene, grp, round(spec, 6) AS spec, round(logfc, 6) AS logfc FROM stats) USING (gene, grp) WHERE z >= 1 AND spec >= 0 AND logfc >= 0", _CELLS, _COUNTS, _TOTALS, _NORM, _SIZE, _STATS, _RANKS)
+def marker_gate(spark, d):
+    return rank_sum_z(spark, d).join(logfc_pct(spark, d), ["gene", "grp"]).where("z >= 1 AND spec >= 0D AND logfc >= 0D").select("gene", "grp")
+
+
+@query("SELECT gene, grp, round(z, 6) AS z FROM (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY round(z, 6) DESC, grp) AS b FROM z) WHERE b = 1", _CELLS, _COUNTS, _TOTALS, _NORM, _SIZE, _RANKS)
+def gene_owner(spark, d):
+    return markers.owners(rank_sum_z(spark, d), "z")
+
+
+_P = "p AS (SELECT l_linestatus AS grp, CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS id, (l_discount + 0.001) * l_tax + l_quantity / 1000 AS p FROM lineitem)"
+
+
+@query("SELECT grp, id, round(least(1, min(p * n / r) OVER (PARTITION BY grp ORDER BY p DESC, id DESC ROWS UNBOUNDED PRECEDING)), 9) AS padj FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY p, id) AS r, count(*) OVER (PARTITION BY grp) AS n FROM p)", _P)
+def bh_adjust(spark, d):
+    p = (F.col("l_discount") + F.lit(0.001)) * F.col("l_tax") + F.col("l_quantity") / 1000
+    df = _t(spark, d, "lineitem").select(F.col("l_linestatus").alias("grp"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long").alias("id"), p.alias("p"))
+    return rounded(markers.bh(df, "p", "grp", "id"), "padj", digits=9).select("grp", "id", "padj")
+
+
+_VOTE = "v AS (SELECT c_custkey AS cell_id, c_mktsegment AS a, CASE WHEN c_acctbal > 5000 THEN 'BUILDING' WHEN c_acctbal > 2000 THEN 'MACHINERY' ELSE '' END AS b, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment WHEN c_custkey % 3 = 1 THEN 'BUILDING' END AS c FROM customer)"
+
+
+def voters(spark, d):
+    c = _t(spark, d, "customer")
+    b = F.when(F.col("c_acctbal") > 5000, "BUILDING").when(F.col("c_acctbal") > 2000, "MACHINERY").otherwise("")
+    third = F.when(F.col("c_custkey") % 3 == 0, F.col("c_mktsegment")).when(F.col("c_custkey") % 3 == 1, "BUILDING")
+    return c.select(F.col("c_custkey").alias("cell_id"), F.col("c_mktsegment").alias("a"), b.alias("b"), third.alias("c"))
+
+
+@query("""SELECT cell_id, CASE WHEN coalesce(best, 0) > 0.5 * n AND ties = 1 THEN label ELSE 'ambiguous' END AS consensus, CASE WHEN coalesce(n, 0) = 0 THEN 0 ELSE round(CAST(best AS DOUBLE) / n, 6) END AS consensus_agreement
+FROM v LEFT JOIN (SELECT cell_id, sum(k) AS n, max(k) AS best, count(*) FILTER (k = m) AS ties, max(label) FILTER (k = m) AS label FROM (SELECT *, max(k) OVER (PARTITION BY cell_id) AS m FROM (SELECT cell_id, label, count(*) AS k FROM (SELECT cell_id, unnest([a, b, c]) AS label FROM v) WHERE label IS NOT NULL AND label <> '' GROUP BY ALL)) GROUP BY 1) USING (cell_id)""", _VOTE)
+def vote(spark, d):
+    return rounded(labels.majority_vote(voters(spark, d), ["a", "b", "c"]), "consensus_agreement").select("cell_id", "consensus", "consensus_agreement")
+
+
+_V = "nullif({}, '')"
+
+
+@query(" UNION ALL ".join(f"SELECT '{x}' AS a, '{y}' AS b, count(*) FILTER ({_V.format(x)} IS NOT NULL AND {_V.format(y)} IS NOT NULL) AS n, round(count(*) FILTER ({_V.format(x)} = {_V.format(y)}) / count(*) FILTER ({_V.format(x)} IS NOT NULL AND {_V.format(y)} IS NOT NULL), 6) AS concordance FROM v" for x, y in ("ab", "ac", "bc")), _VOTE)
+def vote_pairwise(spark, d):
+    return rounded(labels.pairwise_agreement(voters(spark, d), ["a", "b", "c"]), "concordance")
+
+
+@query("SELECT cell_id, coalesce(label, 'Unassigned') AS label FROM cells LEFT JOIN (SELECT grp, 'type_' || lower(grp) AS label FROM (SELECT DISTINCT grp FROM cells) WHERE grp <> 'BUILDING') USING (grp)", _CELLS)
+def label_apply(spark, d):
+    c = cells(spark, d)
+    names = c.select("grp").distinct().where("grp <> 'BUILDING'").select("grp", F.concat(F.lit("type_"), F.lower("grp")).alias("label"))
+    return labels.apply_map(c, "grp", names, "label").select("cell_id", "label")
+
+
+@query("SELECT cell_id, CASE WHEN score < 0 THEN 'Malignant ' ELSE '' END || CASE WHEN cell_id % 4 = 0 THEN 'facs_' || lower(grp) WHEN cell_id % 4 = 1 THEN 'fine_' || lower(grp) WHEN cell_id % 4 = 2 THEN grp ELSE 'Unassigned' END AS final_annotation FROM cells", _CELLS)
+def finalize_label(spark, d):
+    k = F.col("cell_id") % 4
+    c = cells(spark, d).withColumns({"facs": F.when(k == 0, F.concat(F.lit("facs_"), F.lower("grp"))).otherwise("nan"), "fine": F.when(k == 1, F.concat(F.lit("fine_"), F.lower("grp"))), "major": F.when(k == 2, F.col("grp")).otherwise(" Unassigned "), "call": F.when(F.col("score") < 0, "malignant").otherwise("uncertain")})
+    return labels.finalize(c, ["facs", "fine", "major"], "call").select("cell_id", "final_annotation")
+
+
+@query("SELECT cell_id, CASE WHEN cell_id % 2 = 0 THEN 'even' WHEN cell_id % 3 = 0 THEN 'three' WHEN cell_id % 5 = 0 THEN 'five' ELSE grp END AS fine FROM cells", _CELLS)
+def merge_first_wins(spark, d):
+    c = cells(spark, d)
+    source = lambda n, name: c.where(F.col("cell_id") % n == 0).select("cell_id", F.lit(name).alias("label"))
+    return labels.merge_first(c, [source(2, "even"), source(3, "three"), source(5, "five")], carry="grp").select("cell_id", "fine")
+
+
+@query("SELECT cell_id, label FROM (SELECT cell_id, CASE WHEN cell_id % 5 = 0 THEN 'Doublet' WHEN cell_id % 7 = 0 THEN grp || ' Low_quality' WHEN cell_id % 11 <> 0 THEN grp END AS label FROM cells) WHERE label IS NULL OR NOT (label = 'Doublet' OR contains(label, 'Low_quality'))", _CELLS)
+def drop_artifacts(spark, d):
+    k = F.col("cell_id")
+    c = cells(spark, d).withColumn("label", F.when(k % 5 == 0, "Doublet").when(k % 7 == 0, F.concat("grp", F.lit(" Low_quality"))).when(k % 11 != 0, F.col("grp")))
+    return labels.drop_artifacts(c, "label").select("cell_id", "label")
+
+
+_PAIRS = "pr AS (SELECT grp, {c} AS cat, count(*) AS c, count(*) / sum(count(*)) OVER (PARTITION BY grp) AS p FROM cells GROUP BY ALL)"
+
+
+@query("SELECT grp, CAST(sum(c) AS BIGINT) AS n_cells, count(*) AS n_categories, max(cat) FILTER (rk = 1) AS top, round(max(p), 6) AS top_share, round(-sum(p * log2(p)), 6) AS entropy2, round(-sum(p * ln(p)) / ln(any_value(nc)), 6) AS entropy_norm FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY c DESC, cat) AS rk, (SELECT count(DISTINCT cat) FROM pr) AS nc FROM pr) GROUP BY 1", _CELLS, _PAIRS.format(c="sample"))
+def dominance(spark, d):
+    return rounded(labels.dominance(cells(spark, d), "grp", "sample"), "top_share", "entropy2", "entropy_norm")
+
+
+@query("""SELECT sample AS grp, n AS n_cells, nb AS n_batches, ns AS n_samples, 0.0::DOUBLE AS batch_entropy, n >= 50 AND ns >= 2 AS powered, concat_ws(';', 'single_batch', CASE WHEN n < 50 THEN 'below_min_cells(<50)' END, CASE WHEN ns < 2 THEN 'below_min_samples(<2)' END) AS reasons, round(top, 3) >= 0.8 AS single_patient_dominated
+FROM (SELECT sample, sum(c) AS n, 1::BIGINT AS nb, count(*) AS ns, max(c) / sum(c) AS top FROM (SELECT sample, grp, count(*) AS c FROM cells GROUP BY ALL) GROUP BY 1)""".replace("n AS n_cells", "CAST(n AS BIGINT) AS n_cells"), _CELLS)
+def compartment_plan(spark, d):
+    return labels.compartment_plan(cells(spark, d), "sample", "batch", "grp").withColumn("batch_entropy", F.round(F.col("batch_entropy") + 0.0, 6))
+
+
+@query("""SELECT a.grp AS grp_a, b.grp AS grp_b, 'l' || a.grp AS label_a, 'l' || b.grp AS label_b, round(len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))), 6) AS jaccard FROM m a JOIN m b ON a.grp < b.grp WHERE len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))) >= 0.05""",
+       _CELLS, _COUNTS, _TOTALS, _NORM, _SIZE, _RANKS, "m AS (SELECT grp, list(gene) AS g FROM (SELECT gene, grp, row_number() OVER (PARTITION BY grp ORDER BY round(z, 6) DESC, gene) AS p FROM z) WHERE p <= 15 GROUP BY 1)")
+def audit_collisions(spark, d):
+    top = markers.top(rank_sum_z(spark, d), "grp", "z", 15)
+    names = groups(spark, d).select("grp").distinct().withColumn("label", F.concat(F.lit("l"), F.col("grp")))
+    return rounded(labels.collisions(top, names, 0.05), "jaccard")
+
+
+@query("SELECT lang AS ref, source AS pred, count(*) AS n FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL GROUP BY ALL")
+def confusion(spark, d):
+    return labels.confusion(_t(spark, d, "documents"), "lang", "source")
+
+
+_CONF = "t AS (SELECT CAST(quality AS VARCHAR) AS ref, CAST(toxic AS VARCHAR) AS pred, count(*) AS n FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL GROUP BY ALL)"
+
+
+@query("""SELECT cls, CAST(support AS BIGINT) AS support, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM (SELECT a.cls, support, coalesce(hit / np, 0) AS p, hit / support AS r FROM (SELECT ref AS cls, sum(n) AS support, coalesce(sum(n) FILTER (ref = pred), 0) AS hit FROM t GROUP BY 1) a LEFT JOIN (SELECT pred AS cls, sum(n) AS np FROM t GROUP BY 1) b USING (cls))""", _CONF)
+def class_prf(spark, d):
+    return rounded(labels.class_scores(labels.confusion(_t(spark, d, "labels"), "quality", "toxic")), "precision", "recall", "f1")
+
+
+@query("SELECT round((i - a * b / (t * (t - 1) / 2)) / ((a + b) / 2 - a * b / (t * (t - 1) / 2)), 9) AS ari FROM (SELECT CAST(sum(n * (n - 1) / 2) AS DOUBLE) AS i, CAST(sum(n) AS DOUBLE) AS t FROM t), (SELECT CAST(sum(s * (s - 1) / 2) AS DOUBLE) AS a FROM (SELECT sum(n) AS s FROM t GROUP BY ref)), (SELECT CAST(sum(s * (s - 1) / 2) AS DOUBLE) AS b FROM (SELECT sum(n) AS s FROM t GROUP BY pred))", _CONF)
+def ari(spark, d):
+    return rounded(labels.adjusted_rand(labels.confusion(_t(spark, d, "labels"), "quality", "toxic")), "ari", digits=9)
+
+
+@query("SELECT grp, n AS n_cells, round(m, 6) AS mean_score, round(m / rm, 6) AS ratio, round(a, 6) AS share_above FROM (SELECT grp, count(*) AS n, avg(score) AS m, any_value(rm) AS rm, avg(CASE WHEN score > q THEN 1.0 ELSE 0.0 END) AS a FROM cells, (SELECT avg(score) AS rm, quantile_cont(score, 0.95) AS q FROM cells WHERE batch = 'EUROPE') GROUP BY 1)", _CELLS)
+def malignancy_evidence(spark, d):
+    return rounded(evidence.malignancy(cells(spark, d), "score", "grp", "batch", "EUROPE"), "mean_score", "ratio", "share_above")
+
+
+@query("SELECT p_partkey, p_brand, round(avg(p_retailprice) OVER (PARTITION BY p_brand ORDER BY p_partkey ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING), 6) AS p_retailprice_mean FROM part")
+def running_mean_window(spark, d):
+    return rounded(evidence.running_mean(_t(spark, d, "part"), ["p_brand"], ["p_partkey"], "p_retailprice", 5), "p_retailprice_mean").select("p_partkey", "p_brand", "p_retailprice_mean")
+
+
+@query("SELECT grp, CAST(least(n, greatest(1, floor(200.0 * n / t + 0.5))) AS BIGINT) AS taken FROM (SELECT grp, count(*) AS n, sum(count(*)) OVER () AS t FROM cells GROUP BY 1)", _CELLS)
+def stratified_quota(spark, d):
+    return evidence.quota(cells(spark, d), "grp", "cell_id", 200).groupBy("grp").agg(F.count("*").alias("taken"))
+
+
+@query("SELECT label, count(*) AS n, round(avg(dd), 6) AS mean_sq_dist FROM (SELECT e.vec_id, e.label, sum((e.x - c.x) * (e.x - c.x)) AS dd FROM e JOIN (SELECT label, i, avg(x) AS x FROM e GROUP BY ALL) c USING (label, i) GROUP BY ALL) GROUP BY 1", "e AS (SELECT vec_id, label, unnest(range(64)) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)")
+def centroid_dist(spark, d):
+    return rounded(evidence.centroid_distances(_t(spark, d, "embeddings")), "mean_sq_dist")
+
+
+@query("SELECT cell_id, CASE WHEN batch = 'ASIA' THEN 'east' WHEN lower(grp) IN ('building', 'machinery') THEN 'heavy' ELSE 'other' END AS class FROM cells WHERE batch <> 'AFRICA' AND lower(sample) <> 'nation1'", _CELLS)
+def meta_filter_dsl(spark, d):
+    c = metadata.select_rows(cells(spark, d), [{"column": "batch", "op": "ne", "value": "AFRICA"}], [{"column": "sample", "op": "eq_ci", "value": "nation1"}, {"column": "absent", "op": "eq", "value": ""}])
+    cases = [({"column": "grp", "op": "in_ci", "value": ["building", "machinery"]}, "heavy"), ({"column": "batch", "op": "eq", "value": "ASIA"}, "east")]
+    return metadata.derive_case(c, "class", cases, "other").select("cell_id", "class")
+
+
+@query("SELECT cell_id, CASE WHEN batch = 'ASIA' AND grp = 'BUILDING' THEN 'house' WHEN grp = 'BUILDING' THEN 'construction' WHEN grp = 'MACHINERY' THEN 'engine' ELSE grp END AS grp, grp AS grp__raw FROM cells", _CELLS)
+def harmonise_synonyms(spark, d):
+    over = spark.createDataFrame([("ASIA", "Building", "house")], "batch string, raw string, value string")
+    syn = spark.createDataFrame([("building ", "construction"), ("machinery", "engine")], "raw string, value string")
+    return metadata.harmonise(cells(spark, d), "grp", "batch", over, syn).select("cell_id", "grp", "grp__raw")
+
+
+@query("SELECT lower(p_name) AS symbol, p_name AS gene, CAST(min(p_partkey) AS BIGINT) AS gene_idx FROM part GROUP BY p_name")
+def symbol_resolve(spark, d):
+    genes = _t(spark, d, "part").groupBy(F.col("p_name").alias("gene")).agg(F.min("p_partkey").alias("gene_idx"))
+    return metadata.resolve_symbols(genes.select(F.lower("gene").alias("symbol")), genes)
+
+
+@query("SELECT event_type AS tool, count(*) AS runs, count(DISTINCT user_id) AS sessions, round(avg(value), 6) AS mean_value, max(ts) AS last_run FROM events GROUP BY 1")
+def run_log_summary(spark, d):
+    e = _t(spark, d, "events")
+    return e.groupBy(F.col("event_type").alias("tool")).agg(F.count("*").alias("runs"), F.count_distinct("user_id").alias("sessions"), F.round(F.avg("value"), 6).alias("mean_value"), F.max("ts").alias("last_run"))
