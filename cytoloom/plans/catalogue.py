@@ -222,10 +222,10 @@ def drop_artifacts(spark, d):
     return labels.drop_artifacts(c, "label").select("cell_id", "label")
 
 
-_PAIRS = "pr AS (SELECT grp, {c} AS cat, count(*) AS c, count(*) / sum(count(*)) OVER (PARTITION BY grp) AS p FROM cells GROUP BY ALL)"
+_PAIRS = "pr AS (SELECT grp, cat, c, c / sum(c) OVER (PARTITION BY grp) AS p FROM (SELECT grp, {c} AS cat, count(*) AS c FROM cells GROUP BY ALL))"
 
 
-@query("SELECT grp, CAST(sum(c) AS BIGINT) AS n_cells, count(*) AS n_categories, max(cat) FILTER (rk = 1) AS top, round(max(p), 6) AS top_share, round(-sum(p * log2(p)), 6) AS entropy2, round(-sum(p * ln(p)) / ln(any_value(nc)), 6) AS entropy_norm FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY c DESC, cat) AS rk, (SELECT count(DISTINCT cat) FROM pr) AS nc FROM pr) GROUP BY 1", _CELLS, _PAIRS.format(c="sample"))
+@query("SELECT grp, CAST(sum(c) AS BIGINT) AS n_cells, count(*) AS n_categories, max(cat) FILTER (rk = 1) AS top, round(max(p), 6) AS top_share, round(-sum(p * log2(p)), 6) AS entropy2, round(-sum(p * ln(p)) / ln(any_value(nc)), 6) AS entropy_norm FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY c DESC, cat) AS rk FROM pr), (SELECT count(DISTINCT cat) AS nc FROM pr) GROUP BY 1", _CELLS, _PAIRS.format(c="sample"))
 def dominance(spark, d):
     return rounded(labels.dominance(cells(spark, d), "grp", "sample"), "top_share", "entropy2", "entropy_norm")
 
