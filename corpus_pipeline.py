@@ -31,7 +31,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or drops documents by their rates; the clean domain's tokens don't fall."""
-    mixed = mixing.mix(docs, mixing.train(domains(docs, table(spark, sf_dir, "labels"))), DOMAIN_WEIGHTS, keep=("quality1_toxic0",))
+    mixed = mixing.mix(docs, mixing.train(docs, domains(table(spark, sf_dir, "labels"))), DOMAIN_WEIGHTS, keep=("quality1_toxic0",))
     return mixed.where("copies > 0").select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).drop("_copy")
 
 

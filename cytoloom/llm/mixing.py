@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cytoloom.llm.shared import BITS, Work, dense, labelled_sample, sparse, text_vector
+from cytoloom.llm.shared import BITS, Work, dense, marked_texts, sparse, text_vector
 
 WIDTH = (1 << BITS) + 9
 
@@ -38,15 +38,14 @@ class Model:
         return self._softmax(x @ self.weights + self.bias)
 
 
-def train(labelled: DataFrame, per_label: int = 256, most: int = 2048) -> Model | None:
-    """labelled: columns text and label. Learns from a sample of about per_label rows of each domain and `most` in all."""
+def train(docs: DataFrame, marks: DataFrame, per_label: int = 256, most: int = 2048, key: str = "doc_id") -> Model | None:
+    """marks: columns key and label, the domain. Learns from the texts of a sample of about per_label rows of each domain, `most` in all."""
 
     @F.pandas_udf(T.BinaryType())
     def vectors(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: sparse(text_vector(t)))
 
-    known = labelled.select("text", F.col("label").cast("string").alias("label")).where("text IS NOT NULL AND label IS NOT NULL")
-    rows = labelled_sample(known, "label", per_label, most).select("label", vectors("text").alias("v")).collect()
+    rows = marked_texts(docs, marks.select(key, F.col("label").cast("string").alias("label")), per_label, most, key).select("label", vectors("text").alias("v")).collect()
     if not rows:
         return None
     rows.sort(key=lambda r: (r.label, bytes(r.v)))

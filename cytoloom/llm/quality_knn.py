@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cytoloom.llm.shared import BITS, dense, labelled_sample, sparse, text_vector
+from cytoloom.llm.shared import BITS, dense, marked_texts, sparse, text_vector
 
 WIDTH = (1 << BITS) + 9
 
@@ -49,15 +49,15 @@ class Model:
         return (weight * self.y[top]).sum(1) / weight.sum(1)
 
 
-def train(labelled: DataFrame, per_label: int = 1024) -> Model | None:
-    """labelled: columns text and label (0 or 1). Fits on a sample of about per_label rows of each label; None without rows."""
+def train(docs: DataFrame, marks: DataFrame, per_label: int = 1024, key: str = "doc_id") -> Model | None:
+    """marks: columns key and label (0 or 1). Fits on the texts of a sample of about per_label rows of each label; None without rows."""
 
     @F.pandas_udf(T.BinaryType())
     def vectors(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: sparse(text_vector(t)))
 
-    known = labelled.select("text", F.col("label").cast("int").alias("label")).where("label IN (0, 1) AND text IS NOT NULL")
-    rows = labelled_sample(known, "label", per_label, 2 * per_label).select("label", vectors("text").alias("v")).collect()
+    known = marks.select(key, F.col("label").cast("int").alias("label")).where("label IN (0, 1)")
+    rows = marked_texts(docs, known, per_label, 2 * per_label, key).select("label", vectors("text").alias("v")).collect()
     if not rows:
         return None
     rows.sort(key=lambda r: (r.label, bytes(r.v)))

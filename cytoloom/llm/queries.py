@@ -18,21 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Texts of docs with their marks: text, quality, toxic. Only doc_id of labels is joined, so other columns can't clash."""
-    marks = labels.select(F.col("doc_id").alias("_of"), "quality", "toxic")
-    return docs.select(F.col("doc_id"), "text").join(marks, F.col("doc_id") == F.col("_of")).select("doc_id", "text", "quality", "toxic")
-
-
-def domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    known = labelled(docs, labels).where("quality IS NOT NULL AND toxic IS NOT NULL")
-    return known.select("text", F.format_string("quality%d_toxic%d", "quality", "toxic").alias("label"))
+def domains(labels: DataFrame) -> DataFrame:
+    """(doc_id, label): the pair of marks of each row that has both."""
+    return labels.where("quality IS NOT NULL AND toxic IS NOT NULL").select("doc_id", F.format_string("quality%d_toxic%d", "quality", "toxic").alias("label"))
 
 
 def op1_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    known = labelled(docs, table(spark, sf_dir, "labels")).where(crc_mod(F.col("doc_id"), 5) != 0)
-    model = quality_knn.train(known.select("text", F.col("quality").alias("label")))
+    marks = table(spark, sf_dir, "labels").where(crc_mod(F.col("doc_id"), 5) != 0).select("doc_id", F.col("quality").alias("label"))
+    model = quality_knn.train(docs, marks)
     scored = quality_knn.score(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
@@ -57,7 +51,7 @@ def op5_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_mixing_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = mixing.train(domains(docs, table(spark, sf_dir, "labels")))
+    model = mixing.train(docs, domains(table(spark, sf_dir, "labels")))
     return mixing.mix(docs, model, DOMAIN_WEIGHTS, carry_text=False).select("doc_id", "domain", "tokens", "rate", "copies")
 
 

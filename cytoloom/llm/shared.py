@@ -56,6 +56,17 @@ def labelled_sample(df: DataFrame, label: str, most: int, total: int) -> DataFra
     return df.where(F.pmod(F.xxhash64(F.col("text"), F.lit(17)), F.lit(1_000_000)) < share * 1_000_000)
 
 
+def marked_texts(docs: DataFrame, marks: DataFrame, most: int, total: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(text, label) of a bounded sample of marks(key, label): about `most` of each label and never over twice `total`, chosen by a hash
+    of the key before any text is read. The sample, of so few rows, is sent to where the texts are; no text is shuffled."""
+    known = marks.select(F.col(key).alias("_of"), F.col("label")).where("_of IS NOT NULL AND label IS NOT NULL")
+    counts = {r[0]: r[1] for r in known.groupBy("label").count().orderBy(F.desc("count"), "label").limit(total).collect()}
+    per = max(1, min(most, total // max(1, len(counts))))
+    share = F.coalesce(*[F.when(F.col("label") == F.lit(k), F.lit(min(1.0, per / n))) for k, n in counts.items()], F.lit(0.0)) if counts else F.lit(0.0)
+    sample = known.where(F.pmod(F.xxhash64(F.col("_of").cast("string"), F.lit(17)), F.lit(1_000_000)) < share * 1_000_000).limit(2 * total)
+    return docs.select(F.col(key).alias("_id"), F.col(text).alias("text")).where("text IS NOT NULL").join(F.broadcast(sample), F.col("_id") == F.col("_of")).select("text", "label")
+
+
 # ---- hashed character n-grams -------------------------------------------------------------------------------------------------
 
 BITS = 13
