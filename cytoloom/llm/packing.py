@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections import deque
 from collections.abc import Iterator
 
@@ -57,6 +58,19 @@ def cut_windows(at: np.ndarray, penalty: np.ndarray, window: int) -> list[int]:
     return ends[::-1]
 
 
+class Places(dict):
+    """Numbers keys as they are first asked for, and lists the new ones."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        self.new.append(key)
+        return n
+
+
 class Encoder:
     """Ids of a text, and after how many of them its sentences end. The tokenizer drops white space and no token spans it, so the pieces
     between spaces and line breaks are encoded once and remembered, at most about `most` of them. Nor does a token span the end of a
@@ -69,18 +83,25 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.last = np.array([bool(suffix) and t.endswith(suffix) for t, _ in sorted(self.tokenizer.get_vocab().items(), key=lambda x: x[1])])  # tokens that end a run of letters
         self.mark = next((i for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special), None)
         self._forget()
 
     def _forget(self) -> None:
-        self.place: dict[str, int] = {}  # of pieces: rows of body, tail and closes
+        self.place = Places()  # of pieces: rows of body, tail and closes
         self.part: dict[str, int] = {"": 0}  # of bodies and tails: rows of first and size, which lie in flat
         self.used, self.flat, self.first, self.size = 0, np.zeros(1 << 16, "<u4"), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         self.ends, self.closes = np.zeros((1 << 14, 2), np.int64), np.zeros(1 << 14, bool)
 
     def _encode(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of many parts and their numbers: they go through the tokenizer as one text with a special token between them, which
-        always stands alone."""
+        """The ids of many parts and their numbers. Runs of letters go through the tokenizer as one text, and the tokens that end a word
+        tell them apart; other parts with a special token between them, which always stands alone."""
+        if self.last.any() and all(map(str.isalpha, parts)):
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, "<u4")
+            at = np.flatnonzero(self.last[ids])
+            if len(at) == len(parts) and at[-1] == len(ids) - 1:
+                return ids, np.diff(at, prepend=-1)
         if self.mark is None or any("<|" in p for p in parts):
             coded = [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
             return np.array([i for c in coded for i in c], "<u4"), np.array([len(c) for c in coded], np.int64)
@@ -100,9 +121,10 @@ class Encoder:
             body = p.rstrip(self.MARKS)
             body = body if body and body[-1].isalpha() else p
             split.append((body.lower() if body.isascii() and body.isalpha() else body, p[len(body) :]))
-        new = list({x for s in split for x in s}.difference(self.part))
-        for at in range(0, len(new), 1024):
-            some = new[at : at + 1024]
+        new = {x for s in split for x in s}.difference(self.part)
+        letters = list(filter(str.isalpha, new))
+        others = list(new.difference(letters))
+        for some in (x[at : at + 1024] for x in (letters, others) for at in range(0, len(x), 1024)):
             ids, sizes = self._encode(some)
             n, used = len(self.part), self.used + len(ids)
             self.flat, self.first, self.size = self._grown(self.flat, used), self._grown(self.first, n + len(some)), self._grown(self.size, n + len(some))
@@ -110,25 +132,31 @@ class Encoder:
             self.first[n : n + len(some)], self.size[n : n + len(some)] = self.used + np.cumsum(sizes) - sizes, sizes
             self.used = used
             self.part.update(zip(some, range(n, n + len(some)), strict=True))
-        n = len(self.place)
+        n = len(self.place) - len(pieces)
         self.ends, self.closes = self._grown(self.ends, n + len(pieces)), self._grown(self.closes, n + len(pieces))
         self.ends[n : n + len(pieces)] = [(self.part[a], self.part[b]) for a, b in split]
         self.closes[n : n + len(pieces)] = [p.endswith(CLOSING) for p in pieces]
-        self.place.update(zip(pieces, range(n, n + len(pieces)), strict=True))
 
-    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        pieces = text.replace("\n", " ").split(" ")
-        new = set(pieces).difference(self.place)
-        if len(self.place) + len(new) > self.most:
+    def __call__(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each text its ids, and after how many of them its sentences end."""
+        if len(self.place) > self.most:
             self._forget()
-            new = set(pieces)
-        if new:
-            self._learn(list(new))
-        at = np.fromiter(map(self.place.__getitem__, pieces), np.int64, len(pieces))
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        many = np.fromiter(map(len, split), np.int64, len(split))
+        at = np.fromiter(map(self.place.__getitem__, itertools.chain.from_iterable(split)), np.int64, int(many.sum()))
+        if self.place.new:
+            self._learn(self.place.new)
+            self.place.new = []
         parts = self.ends[at].ravel()
         size = self.size[parts]
         upto = np.cumsum(size)
-        return self.flat[np.repeat(self.first[parts] - upto + size, size) + np.arange(upto[-1])], upto[1::2][self.closes[at]]
+        ids = self.flat[np.repeat(self.first[parts] - upto + size, size) + np.arange(upto[-1])]
+        last, done, cuts = upto[1::2], np.cumsum(many), []
+        begun = np.concatenate([[0], last[done - 1]])
+        closes = self.closes[at]
+        for d, (i, j) in enumerate(zip((done - many).tolist(), done.tolist(), strict=True)):
+            cuts.append((ids[begun[d] : begun[d + 1]], last[i:j][closes[i:j]] - begun[d]))
+        return cuts
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -198,8 +226,8 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", end_id: int = 2, w
 
         for batch in batches:
             begun, others = 0, batch.select(range(batch.num_columns - 1))
-            for n, t in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
-                ids, ends = encode(t or "")
+            texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
+            for n, (ids, ends) in enumerate(x for i in range(0, len(texts), 64) for x in encode(texts[i : i + 64])):
                 rows.append((ids.tobytes() + end, ends))
                 waiting += len(rows[-1][0]) // 4
                 if waiting >= ahead:
