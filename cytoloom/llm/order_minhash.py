@@ -6,7 +6,7 @@ from bisect import bisect_left
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,8 +16,10 @@ from cytoloom.llm.shared import Work, words
 #: all 20 differ with a chance of 3e-5.
 K, PICKED, SKETCHES = 5, 4, 20
 SIMILAR = 0.8
-#: The texts of a bucket by place: the first is aligned with all others at once, those of each further range in a further pass.
-PLACES = (2, 4, 8, 16, 33)
+#: A bucket of more texts that isn't one class after the first alignments is searched by rare k-mers instead of pair by pair.
+SMALL = 32
+#: Cells of the histogram that says which k-mers are rare; it has this size however many texts there are.
+CELLS = 1 << 18
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -85,6 +87,14 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILAR) -> float:
     return len(tails) / (n + m - len(tails))
 
 
+def rare_first(labelled: np.ndarray, counts: np.ndarray, least: float = SIMILAR) -> np.ndarray:
+    """The k-mers of a text of which any other of a set similarity of `least` or more has one among its own: the first n - least * n + 1
+    in an order that all texts share, by the count of the k-mer's cell and then the k-mer itself."""
+    n = len(labelled)
+    many = n - int(np.ceil(least * n - 1e-9)) + 1
+    return labelled[np.lexsort((labelled, counts[labelled % np.uint64(len(counts))]))[: min(n, many)]]
+
+
 def hashed_words(text: Column) -> Column:
     return F.transform(words(F.lower(text)), lambda w: F.xxhash64(w))
 
@@ -93,13 +103,12 @@ def components(links: DataFrame, work: Work) -> DataFrame:
     """(id, comp): the smallest id of every id's connected component; links: a, b. Labels spread along links and then jump to their
     labels' labels until nothing changes; every round is written, and only the count of changes reaches the driver."""
     both = work.table(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct())
-    labels = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("comp")).withColumnRenamed("a", "id")
-    labels = work.table(labels)
+    labels = work.table(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("comp")).withColumnRenamed("a", "id"))
     while True:
         seen = labels.select(F.col("id").alias("b"), F.col("comp").alias("near"))
         spread = both.join(seen, "b").groupBy("a").agg(F.min("near").alias("near"))
         step = labels.join(spread, labels.id == spread.a).select("id", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
-        jump = step.select(F.col("id").alias("of"), F.col("comp").alias("further"))
+        jump = labels.select(F.col("id").alias("of"), F.col("comp").alias("further"))
         step = work.table(step.join(jump, F.col("comp") == F.col("of"), "left").select("id", "old", F.least("comp", F.coalesce("further", "comp")).alias("comp")))
         labels = step.select("id", "comp")
         if step.where("old != comp").limit(1).count() == 0:
@@ -111,10 +120,11 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
     that a deduplication keeps (that of the smallest key).
 
     Texts are compared by their words in lower case. Equal texts are one class at once and go on as one. Texts that share a sketch are
-    candidates: in every bucket all are aligned with the first, and those that are then in no class with it with the next 31, in passes.
-    So every two candidates of a bucket of up to 33 texts are in one class or aligned; in larger buckets each text meets the first 32,
-    and as a text has 20 buckets with different neighbours, up to 640 partners; no text, bucket or pass is left out. Linked texts, of a
-    similarity of `least` or more, are in one class, and so are chains of them.
+    candidates: in every bucket all are aligned with the first. Where a bucket of up to SMALL texts is not one class then, every two
+    of its texts of different classes are aligned. The texts of larger ones, which may have a common passage alone, are matched by
+    their rarest k-mers: two texts of a set similarity of `least` have one of them in common, so that no link between classes is lost,
+    and those that do and are in different classes are aligned. Linked texts, of a similarity of `least` or more, are in one class, and
+    so are chains of them.
 
     A null text is in a class of its own, whose tid is null; a text without words only with texts equal to it. Repeated rows are
     documents of one class. Null keys: class_id is the smallest other key of the class, or null. Other columns are left out.
@@ -128,6 +138,10 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
     def align(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([similarity(x, y, least) for x, y in zip(a, b, strict=True)], index=a.index, dtype=float)
 
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def labelled(hashed: pd.Series) -> pd.Series:
+        return hashed.map(lambda w: labelled_kmers(w).view(np.int64))
+
     work = Work(docs.sparkSession)
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("t"))
     tid = F.unhex(F.md5(F.encode("t", "UTF-8")))
@@ -146,25 +160,40 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
         fitting = pairs.join(a, "a").join(b, "b").where(F.size("wa") + K >= least * (F.size("wb") - K)).where(F.size("wb") + K >= least * (F.size("wa") - K))
         return work.table(fitting.withColumn("similarity", align("wa", "wb")).where(F.col("similarity") >= least).select("a", "b"))
 
-    links = verified(posts.where("tid != lead").select(F.least("tid", "lead").alias("a"), F.greatest("tid", "lead").alias("b")).distinct())
-    comps = components(links, work)
-    lead_comp = posts.select("bucket", F.col("lead").alias("id")).distinct()
-    for low, high in zip(PLACES, PLACES[1:]):  # noqa: B905  what is still apart from its bucket's first text: align with the next ones
-        main = lead_comp.join(comps, "id", "left").select(F.col("bucket").alias("of"), F.coalesce("comp", "id").alias("main"))
-        state = posts.join(comps.withColumnRenamed("id", "tid"), "tid", "left").select("bucket", "tid", "first", F.coalesce("comp", "tid").alias("comp"))
-        state = state.join(main, F.col("bucket") == F.col("of")).drop("of")
-        apart = state.groupBy("bucket").agg(F.count("*").alias("many"), F.count_if(F.col("comp") != F.col("main")).alias("apart")).where(f"apart > 0 AND many >= {low + 1}").select("bucket")
-        place = F.row_number().over(Window.partitionBy("bucket").orderBy(F.col("first").asc_nulls_last(), "tid"))
-        state = work.table(state.join(apart, "bucket").withColumn("place", place))
-        if state.limit(1).count() == 0:
-            break
-        leads = state.where((F.col("place") >= low) & (F.col("place") < high)).select("bucket", F.col("tid").alias("x"), F.col("comp").alias("cx"), F.col("place").alias("px"))
-        more = state.where("comp != main").join(leads, "bucket").where("comp != cx AND (place > px OR cx = main)").select(F.least("tid", "x").alias("a"), F.greatest("tid", "x").alias("b")).distinct()
-        new = verified(more)
-        if new.limit(1).count():
-            links = links.union(new)
-            comps = components(links, work)
+    pair = [F.least("tid", "x").alias("a"), F.greatest("tid", "x").alias("b")]
+    comps = components(verified(posts.where("tid != lead").select(F.least("tid", "lead").alias("a"), F.greatest("tid", "lead").alias("b")).distinct()), work)
+
+    state = work.table(posts.join(comps.withColumnRenamed("id", "tid"), "tid", "left").select("bucket", "tid", F.coalesce("comp", "tid").alias("comp")))
+    split = state.groupBy("bucket").agg(F.count("*").alias("many"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("bucket", "many")
+    state = work.table(state.join(split, "bucket"))
+    small = state.where(F.col("many") <= SMALL).select("bucket", "tid", "comp")
+    other = small.select("bucket", F.col("tid").alias("x"), F.col("comp").alias("cx"))
+    few = small.join(other, "bucket").where("tid < x AND comp != cx").select(*pair)
+
+    large = held.join(state.where(F.col("many") > SMALL).select("tid", "comp").distinct(), "tid")
+    large = work.table(large.select("tid", "comp", labelled("w").alias("kmers")))
+    cells = np.zeros(CELLS, dtype=np.int64)
+    told = large.select(F.explode("kmers").alias("kmer")).groupBy(F.pmod("kmer", F.lit(CELLS)).alias("cell")).count().toArrow()
+    cells[told["cell"].to_numpy()] = told["count"].to_numpy()
+
+    @F.pandas_udf("array<struct<kmer: bigint, at: int>>")
+    def rarest(kmers: pd.Series) -> pd.Series:
+        return kmers.map(lambda k: [{"kmer": x, "at": i} for i, x in enumerate(rare_first(np.asarray(k).astype(np.int64).view(np.uint64), cells, least).view(np.int64).tolist())])
+
+    rare = large.select("tid", "comp", F.size("kmers").alias("n"), F.explode(rarest("kmers")).alias("p")).select("tid", "comp", "n", "p.*")
+    rare = work.table(rare)
+    met = rare.groupBy("kmer").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.mode("comp", True).alias("main")).where("low != high").select("kmer", "main")
+    rare = work.table(rare.join(met, "kmer"))
+    other = rare.select("kmer", F.col("tid").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("at").alias("ax"))
+    fits = (F.col("n") >= least * F.col("nx")) & (F.col("nx") >= least * F.col("n")) & ((1 + least) * (1 + F.least(F.col("n") - F.col("at"), F.col("nx") - F.col("ax"))) >= least * (F.col("n") + F.col("nx")))
+    rest = rare.where("comp != main").join(other, "kmer").where("comp != cx AND (cx = main OR tid < x)").where(fits).select(*pair)
+
+    new = verified(few.union(rest).distinct())
+    of = lambda end: comps.select(F.col("id").alias(end), F.col("comp").alias(f"c{end}"))
+    between = new.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    joined = components(between, work).select(F.col("id").alias("comp"), F.col("comp").alias("top"))
     named = texts.join(comps.withColumnRenamed("id", "tid"), "tid", "left").select("tid", "first", F.coalesce("comp", "tid").alias("comp"))
+    named = named.join(joined, "comp", "left").select("tid", "first", F.coalesce("top", "comp").alias("comp"))
     best = named.groupBy("comp").agg(F.min(F.struct(F.coalesce("first", F.lit((1 << 63) - 1)).alias("f"), "tid")).alias("best"), F.min("first").alias("class_id"))
     named = work.table(named.join(best, "comp").select("tid", "class_id", (F.col("best.tid") == F.col("tid")).alias("kept")), keep=True)
     work.drop()

@@ -91,6 +91,36 @@ def test_near_duplicates(spark, docs, odd):
     assert order_minhash.classes(docs.limit(0)).count() == 0
 
 
+def test_large_buckets_lose_no_link(spark, monkeypatch):
+    """Texts with one long common passage, of which pairs are near copies, with every bucket taken for a large one."""
+    monkeypatch.setattr(order_minhash, "SMALL", 1)
+    rng = np.random.default_rng(5)
+    common, texts = [f"c{i}" for i in range(60)], []
+    for _ in range(60):
+        own = [f"w{i}" for i in rng.integers(0, 10**6, int(rng.integers(5, 40)))]
+        for _ in range(int(rng.integers(1, 4))):
+            changed = list(own)
+            changed[int(rng.integers(0, len(own)))] = f"x{rng.integers(0, 10**6)}"
+            texts.append(" ".join([*common, *changed]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.class_id for r in order_minhash.classes(df).collect()}
+    hashed = [r.w for r in df.orderBy("doc_id").select(order_minhash.hashed_words(F.col("text")).alias("w")).collect()]
+    for i in range(len(texts)):
+        for j in range(i):
+            if found[i] != found[j]:
+                assert order_minhash.similarity(hashed[i], hashed[j]) < order_minhash.SIMILAR
+    assert len(set(found.values())) > 1
+
+
+def test_rare_first_meets_every_near_set():
+    rng, counts = np.random.default_rng(6), np.random.default_rng(7).integers(0, 50, 64)
+    for _ in range(300):
+        a = rng.permutation(200)[: int(rng.integers(1, 60))].astype(np.uint64)
+        b = np.union1d(a[rng.random(len(a)) < 0.93], rng.permutation(200)[:3].astype(np.uint64))
+        if len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)):
+            assert len(np.intersect1d(order_minhash.rare_first(a, counts), order_minhash.rare_first(b, counts)))
+
+
 def test_similarity_counts_the_common_chain():
     w = np.arange(100)
     assert order_minhash.similarity(w, w) == 1
