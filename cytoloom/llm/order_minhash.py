@@ -87,12 +87,16 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILAR) -> float:
     return len(tails) / (n + m - len(tails))
 
 
-def rare_first(labelled: np.ndarray, counts: np.ndarray, least: float = SIMILAR) -> np.ndarray:
-    """The k-mers of a text of which any other of a set similarity of `least` or more has one among its own: the first n - least * n + 1
-    in an order that all texts share, by the count of the k-mer's cell and then the k-mer itself."""
+def rare_first(labelled: np.ndarray, counts: np.ndarray, least: float = SIMILAR) -> tuple[np.ndarray, np.ndarray]:
+    """The k-mers of a text of which any other of a set similarity of `least` or more has one among its own, and their places: the first
+    n - least * n + 1 in an order that all texts share, by the count of the k-mer's cell and then the k-mer itself. Those of a count of
+    1 are in no other text and not given."""
     n = len(labelled)
     many = n - int(np.ceil(least * n - 1e-9)) + 1
-    return labelled[np.lexsort((labelled, counts[labelled % np.uint64(len(counts))]))[: min(n, many)]]
+    count = counts[labelled % np.uint64(len(counts))]
+    order = np.lexsort((labelled, count))[:many]
+    at = np.flatnonzero(count[order] > 1)
+    return labelled[order[at]], at
 
 
 def hashed_words(text: Column) -> Column:
@@ -178,7 +182,8 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
 
     @F.pandas_udf("array<struct<kmer: bigint, at: int>>")
     def rarest(kmers: pd.Series) -> pd.Series:
-        return kmers.map(lambda k: [{"kmer": x, "at": i} for i, x in enumerate(rare_first(np.asarray(k).astype(np.int64).view(np.uint64), cells, least).view(np.int64).tolist())])
+        found = (rare_first(np.asarray(k).astype(np.int64).view(np.uint64), cells, least) for k in kmers)
+        return pd.Series([[{"kmer": x, "at": i} for x, i in zip(k.view(np.int64).tolist(), at.tolist(), strict=True)] for k, at in found], index=kmers.index, dtype=object)
 
     rare = large.select("tid", "comp", F.size("kmers").alias("n"), F.explode(rarest("kmers")).alias("p")).select("tid", "comp", "n", "p.*")
     rare = work.table(rare)
