@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import itertools
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 AT_DOCUMENT, AT_SENTENCE, INSIDE = 0, 24, 96
 #: A sentence longer than this many tokens can also be cut at every multiple of it.
 GRID = 256
+#: Texts that are encoded together.
+GROUP = 128
 CLOSING = (".", "!", "?", "…", "。", "！", "？")
 
 
@@ -58,24 +60,11 @@ def cut_windows(at: np.ndarray, penalty: np.ndarray, window: int) -> list[int]:
     return ends[::-1]
 
 
-class Places(dict):
-    """Numbers keys as they are first asked for, and lists the new ones."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[str] = []
-
-    def __missing__(self, key: str) -> int:
-        self[key] = n = len(self)
-        self.new.append(key)
-        return n
-
-
 class Encoder:
     """Ids of a text, and after how many of them its sentences end. The tokenizer drops white space and no token spans it, so the pieces
     between spaces and line breaks are encoded once and remembered, at most about `most` of them. Nor does a token span the end of a
-    letter and a mark after it: a piece is kept as its body and its last marks, and bodies of ASCII letters in lower case, as the
-    tokenizer has them."""
+    letter and a mark after it: a piece is taken as its body and its last marks, and bodies of ASCII letters in lower case, as the
+    tokenizer has them. Arrow splits the texts and finds the different bodies, so that Python sees each of them once a group."""
 
     MARKS = ".,;:!?"
 
@@ -89,10 +78,9 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.place = Places()  # of pieces: rows of body, tail and closes
         self.part: dict[str, int] = {"": 0}  # of bodies and tails: rows of first and size, which lie in flat
+        self.row: dict[str, int] = {}  # the same, by spelling
         self.used, self.flat, self.first, self.size = 0, np.zeros(1 << 16, "<u4"), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-        self.ends, self.closes = np.zeros((1 << 14, 2), np.int64), np.zeros(1 << 14, bool)
 
     def _encode(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of many parts and their numbers. Runs of letters go through the tokenizer as one text, and the tokens that end a word
@@ -115,15 +103,9 @@ class Encoder:
             x = np.concatenate([x, np.zeros_like(x)])
         return x
 
-    def _learn(self, pieces: list[str]) -> None:
-        split = []
-        for p in pieces:
-            body = p.rstrip(self.MARKS)
-            body = body if body and body[-1].isalpha() else p
-            split.append((body.lower() if body.isascii() and body.isalpha() else body, p[len(body) :]))
-        new = {x for s in split for x in s}.difference(self.part)
+    def _learn(self, new: list[str]) -> None:
         letters = list(filter(str.isalpha, new))
-        others = list(new.difference(letters))
+        others = [x for x in new if not x.isalpha()]
         for some in (x[at : at + 1024] for x in (letters, others) for at in range(0, len(x), 1024)):
             ids, sizes = self._encode(some)
             n, used = len(self.part), self.used + len(ids)
@@ -132,28 +114,47 @@ class Encoder:
             self.first[n : n + len(some)], self.size[n : n + len(some)] = self.used + np.cumsum(sizes) - sizes, sizes
             self.used = used
             self.part.update(zip(some, range(n, n + len(some)), strict=True))
-        n = len(self.place) - len(pieces)
-        self.ends, self.closes = self._grown(self.ends, n + len(pieces)), self._grown(self.closes, n + len(pieces))
-        self.ends[n : n + len(pieces)] = [(self.part[a], self.part[b]) for a, b in split]
-        self.closes[n : n + len(pieces)] = [p.endswith(CLOSING) for p in pieces]
-
-    def __call__(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Of each text its ids, and after how many of them its sentences end."""
-        if len(self.place) > self.most:
+
+    def _rows(self, strings: pa.Array) -> np.ndarray:
+        """The row of each body or tail; new ones are encoded."""
+        coded = strings.dictionary_encode()
+        values = coded.dictionary.to_pylist()
+        rows = list(map(self.row.get, values))
+        if None in rows:
+            new = [x for x, row in zip(values, rows, strict=True) if row is None]
+            keys = [x.lower() if x.isascii() and x.isalpha() else x for x in new]
+            self._learn(list(set(keys).difference(self.part)))
+            self.row.update(zip(new, map(self.part.__getitem__, keys), strict=True))
+            rows = list(map(self.row.__getitem__, values))
+        return np.array(rows, np.int64)[coded.indices.to_numpy()]
+
+    @staticmethod
+    def _of_last(strings: pa.Array, test: Callable[[str], bool]) -> np.ndarray:
+        """Whether the last character of each string passes; that of an empty one is an empty string."""
+        coded = pc.utf8_slice_codeunits(strings, -1).dictionary_encode()
+        return np.array([test(x) for x in coded.dictionary.to_pylist()], dtype=bool)[coded.indices.to_numpy()]
+
+    def __call__(self, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each text (none null) its ids, and after how many of them its sentences end."""
+        if len(self.row) > self.most:
             self._forget()
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        many = np.fromiter(map(len, split), np.int64, len(split))
-        at = np.fromiter(map(self.place.__getitem__, itertools.chain.from_iterable(split)), np.int64, int(many.sum()))
-        if self.place.new:
-            self._learn(self.place.new)
-            self.place.new = []
-        parts = self.ends[at].ravel()
+        split = pc.split_pattern(pc.replace_substring(texts.cast(pa.large_string()), "\n", " "), " ")
+        many, pieces = pc.list_value_length(split).to_numpy(), split.flatten()
+        bodies = pc.ascii_rtrim(pieces, self.MARKS)
+        bodies = pc.if_else(pa.array(self._of_last(bodies, str.isalpha)), bodies, pieces)
+        marks = pc.subtract(pc.binary_length(pieces), pc.binary_length(bodies)).to_numpy()
+        marked = np.flatnonzero(marks)
+        tails = [p[-k:] for p, k in zip(pieces.take(pa.array(marked)).to_pylist(), marks[marked].tolist(), strict=True)]
+        parts = np.zeros((len(pieces), 2), np.int64)
+        parts[:, 0] = self._rows(bodies)
+        parts[marked, 1] = self._rows(pa.array(tails, pa.large_string()))
+        parts = parts.ravel()
         size = self.size[parts]
         upto = np.cumsum(size)
         ids = self.flat[np.repeat(self.first[parts] - upto + size, size) + np.arange(upto[-1])]
         last, done, cuts = upto[1::2], np.cumsum(many), []
         begun = np.concatenate([[0], last[done - 1]])
-        closes = self.closes[at]
+        closes = self._of_last(pieces, CLOSING.__contains__)
         for d, (i, j) in enumerate(zip((done - many).tolist(), done.tolist(), strict=True)):
             cuts.append((ids[begun[d] : begun[d + 1]], last[i:j][closes[i:j]] - begun[d]))
         return cuts
@@ -226,8 +227,8 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", end_id: int = 2, w
 
         for batch in batches:
             begun, others = 0, batch.select(range(batch.num_columns - 1))
-            texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
-            for n, (ids, ends) in enumerate(x for i in range(0, len(texts), 64) for x in encode(texts[i : i + 64])):
+            texts = pc.fill_null(batch.column(batch.num_columns - 1), "")
+            for n, (ids, ends) in enumerate(x for i in range(0, len(texts), GROUP) for x in encode(texts.slice(i, GROUP))):
                 rows.append((ids.tobytes() + end, ends))
                 waiting += len(rows[-1][0]) // 4
                 if waiting >= ahead:
