@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -99,6 +101,16 @@ def rare_first(labelled: np.ndarray, counts: np.ndarray, least: float = SIMILAR)
     return labelled[order[at]], at
 
 
+def counted_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The histogram of a task's k-mers (lists, in the first column): cell and count of the cells that have any."""
+    cells = np.zeros(CELLS, dtype=np.int64)
+    for batch in batches:
+        kmers = batch.column(0).flatten().to_numpy(zero_copy_only=False)
+        cells += np.bincount(kmers.astype(np.int64).view(np.uint64) % np.uint64(CELLS), minlength=CELLS)
+    held = np.flatnonzero(cells)
+    yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(cells[held])], names=["cell", "many"])
+
+
 def hashed_words(text: Column) -> Column:
     return F.transform(words(F.lower(text)), lambda w: F.xxhash64(w))
 
@@ -177,8 +189,8 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
     large = held.join(state.where(F.col("many") > SMALL).select("tid", "comp").distinct(), "tid")
     large = work.table(large.select("tid", "comp", labelled("w").alias("kmers")))
     cells = np.zeros(CELLS, dtype=np.int64)
-    told = large.select(F.explode("kmers").alias("kmer")).groupBy(F.pmod("kmer", F.lit(CELLS)).alias("cell")).count().toArrow()
-    cells[told["cell"].to_numpy()] = told["count"].to_numpy()
+    told = large.select("kmers").mapInArrow(counted_cells, "cell bigint, many bigint").groupBy("cell").agg(F.sum("many").alias("many")).toArrow()
+    cells[told["cell"].to_numpy()] = told["many"].to_numpy()
 
     @F.pandas_udf("array<struct<kmer: bigint, at: int>>")
     def rarest(kmers: pd.Series) -> pd.Series:
