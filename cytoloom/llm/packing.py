@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +18,8 @@ from pyspark.sql import types as T
 AT_DOCUMENT, AT_SENTENCE, INSIDE = 0, 24, 96
 #: A sentence longer than this many tokens can also be cut at every multiple of it.
 GRID = 256
-#: Texts that are encoded together.
-GROUP = 128
+#: Bytes of the texts that are encoded together; a longer text is encoded alone.
+GROUP = 1 << 22
 CLOSING = (".", "!", "?", "…", "。", "！", "？")
 
 
@@ -78,8 +79,7 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.part: dict[str, int] = {"": 0}  # of bodies and tails: rows of first and size, which lie in flat
-        self.row: dict[str, int] = {}  # the same, by spelling
+        self.row: dict[str, int] = {"": 0}  # of bodies and tails: rows of first and size, which lie in flat
         self.used, self.flat, self.first, self.size = 0, np.zeros(1 << 16, "<u4"), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
     def _encode(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -103,30 +103,30 @@ class Encoder:
             x = np.concatenate([x, np.zeros_like(x)])
         return x
 
-    def _learn(self, new: list[str]) -> None:
-        letters = list(filter(str.isalpha, new))
-        others = [x for x in new if not x.isalpha()]
-        for some in (x[at : at + 1024] for x in (letters, others) for at in range(0, len(x), 1024)):
+    def _learn(self, new: list[str]) -> np.ndarray:
+        """Encodes parts that have no row yet and gives them rows, which it returns."""
+        out, letters = np.empty(len(new), np.int64), np.fromiter(map(str.isalpha, new), bool, len(new))
+        for at in (x[i : i + 1024] for x in (np.flatnonzero(letters), np.flatnonzero(~letters)) for i in range(0, len(x), 1024)):
+            some = [new[i] for i in at.tolist()]
             ids, sizes = self._encode(some)
-            n, used = len(self.part), self.used + len(ids)
+            n, used = len(self.row), self.used + len(ids)
             self.flat, self.first, self.size = self._grown(self.flat, used), self._grown(self.first, n + len(some)), self._grown(self.size, n + len(some))
             self.flat[self.used : used] = ids
             self.first[n : n + len(some)], self.size[n : n + len(some)] = self.used + np.cumsum(sizes) - sizes, sizes
             self.used = used
-            self.part.update(zip(some, range(n, n + len(some)), strict=True))
+            out[at] = np.arange(n, n + len(some))
+            self.row.update(zip(some, range(n, n + len(some)), strict=True))
+        return out
 
     def _rows(self, strings: pa.Array) -> np.ndarray:
         """The row of each body or tail; new ones are encoded."""
         coded = strings.dictionary_encode()
         values = coded.dictionary.to_pylist()
-        rows = list(map(self.row.get, values))
-        if None in rows:
-            new = [x for x, row in zip(values, rows, strict=True) if row is None]
-            keys = [x.lower() if x.isascii() and x.isalpha() else x for x in new]
-            self._learn(list(set(keys).difference(self.part)))
-            self.row.update(zip(new, map(self.part.__getitem__, keys), strict=True))
-            rows = list(map(self.row.__getitem__, values))
-        return np.array(rows, np.int64)[coded.indices.to_numpy()]
+        rows = np.fromiter(map(self.row.get, values, repeat(-1)), np.int64, len(values))
+        new = np.flatnonzero(rows < 0)
+        if len(new):
+            rows[new] = self._learn([values[i] for i in new.tolist()])
+        return rows[coded.indices.to_numpy()]
 
     @staticmethod
     def _of_last(strings: pa.Array, test: Callable[[str], bool]) -> np.ndarray:
@@ -142,11 +142,12 @@ class Encoder:
         many, pieces = pc.list_value_length(split).to_numpy(), split.flatten()
         bodies = pc.ascii_rtrim(pieces, self.MARKS)
         bodies = pc.if_else(pa.array(self._of_last(bodies, str.isalpha)), bodies, pieces)
+        plain = pc.and_(pc.string_is_ascii(bodies), pc.utf8_is_alpha(bodies))
         marks = pc.subtract(pc.binary_length(pieces), pc.binary_length(bodies)).to_numpy()
         marked = np.flatnonzero(marks)
         tails = [p[-k:] for p, k in zip(pieces.take(pa.array(marked)).to_pylist(), marks[marked].tolist(), strict=True)]
         parts = np.zeros((len(pieces), 2), np.int64)
-        parts[:, 0] = self._rows(bodies)
+        parts[:, 0] = self._rows(pc.if_else(plain, pc.ascii_lower(bodies), bodies))
         parts[marked, 1] = self._rows(pa.array(tails, pa.large_string()))
         parts = parts.ravel()
         size = self.size[parts]
@@ -160,6 +161,13 @@ class Encoder:
         return cuts
 
 
+def groups(texts: pa.Array, most: int = GROUP) -> Iterator[pa.Array]:
+    """The texts in their order, about `most` bytes at a time."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)) // most
+    edges = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(texts)]
+    return (texts.slice(i, j - i) for i, j in zip(edges, edges[1:]) if i < j)
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -228,7 +236,7 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", end_id: int = 2, w
         for batch in batches:
             begun, others = 0, batch.select(range(batch.num_columns - 1))
             texts = pc.fill_null(batch.column(batch.num_columns - 1), "")
-            for n, (ids, ends) in enumerate(x for i in range(0, len(texts), GROUP) for x in encode(texts.slice(i, GROUP))):
+            for n, (ids, ends) in enumerate(x for some in groups(texts) for x in encode(some)):
                 rows.append((ids.tobytes() + end, ends))
                 waiting += len(rows[-1][0]) // 4
                 if waiting >= ahead:
