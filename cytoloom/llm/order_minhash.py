@@ -21,7 +21,7 @@ SIMILAR = 0.8
 #: A bucket of more texts that isn't one class after the first alignments is searched by rare k-mers instead of pair by pair.
 SMALL = 32
 #: Cells of the histogram that says which k-mers are rare; it has this size however many texts there are.
-CELLS = 1 << 18
+CELLS, BLOCK = 1 << 18, 1 << 12
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -102,13 +102,32 @@ def rare_first(labelled: np.ndarray, counts: np.ndarray, least: float = SIMILAR)
 
 
 def counted_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The histogram of a task's k-mers (lists, in the first column): cell and count of the cells that have any."""
+    """The histogram of a task's k-mers (lists, in the first column), in blocks of BLOCK cells; blocks without any are left out."""
     cells = np.zeros(CELLS, dtype=np.int64)
     for batch in batches:
         kmers = batch.column(0).flatten().to_numpy(zero_copy_only=False)
         cells += np.bincount(kmers.astype(np.int64).view(np.uint64) % np.uint64(CELLS), minlength=CELLS)
-    held = np.flatnonzero(cells)
-    yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(cells[held])], names=["cell", "many"])
+    blocks = cells.reshape(-1, BLOCK)
+    held = np.flatnonzero(blocks.any(axis=1))
+    yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(list(blocks[held]), pa.list_(pa.int64()))], names=["block", "many"])
+
+
+def added_blocks(key: tuple[pa.Scalar, ...], blocks: pa.Table) -> pa.Table:
+    """The sum of one block's counts."""
+    many = blocks["many"].combine_chunks().flatten().to_numpy().reshape(-1, BLOCK).sum(axis=0)
+    return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "many": pa.array([many], pa.list_(pa.int64()))})
+
+
+def histogram(kmers: DataFrame) -> np.ndarray:
+    """Counts of CELLS cells of the k-mers (lists of longs, the only column). The tasks' histograms are added in two steps, so that no
+    group holds more than a 256th of them, and the driver gets one, whose size is fixed."""
+    schema = "block bigint, many array<bigint>"
+    some = kmers.mapInArrow(counted_cells, schema).withColumn("salt", F.spark_partition_id() % 256)
+    told = some.groupBy("block", "salt").applyInArrow(added_blocks, schema).groupBy("block").applyInArrow(added_blocks, schema).toArrow()
+    cells = np.zeros((CELLS // BLOCK, BLOCK), dtype=np.int64)
+    for block, many in zip(told["block"].to_pylist(), told["many"]):
+        cells[block] = many.values.to_numpy()
+    return cells.ravel()
 
 
 def hashed_words(text: Column) -> Column:
@@ -188,9 +207,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
 
     large = held.join(state.where(F.col("many") > SMALL).select("tid", "comp").distinct(), "tid")
     large = work.table(large.select("tid", "comp", labelled("w").alias("kmers")))
-    cells = np.zeros(CELLS, dtype=np.int64)
-    told = large.select("kmers").mapInArrow(counted_cells, "cell bigint, many bigint").groupBy("cell").agg(F.sum("many").alias("many")).toArrow()
-    cells[told["cell"].to_numpy()] = told["many"].to_numpy()
+    cells = histogram(large.select("kmers"))
 
     @F.pandas_udf("array<struct<kmer: bigint, at: int>>")
     def rarest(kmers: pd.Series) -> pd.Series:

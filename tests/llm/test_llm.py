@@ -112,6 +112,15 @@ def test_large_buckets_lose_no_link(spark, monkeypatch):
     assert len(set(found.values())) > 1
 
 
+def test_histogram_counts_every_kmer(spark):
+    rng = np.random.default_rng(3)
+    lists = [rng.integers(-(1 << 63), (1 << 63) - 1, n, dtype=np.int64).tolist() for n in (0, 1, 500, 3000)] * 3
+    found = order_minhash.histogram(spark.createDataFrame([(x,) for x in lists], "kmers array<bigint>").repartition(5))
+    wanted = np.bincount(np.array([k for x in lists for k in x], np.int64).view(np.uint64) % np.uint64(order_minhash.CELLS), minlength=order_minhash.CELLS)
+    assert (found == wanted).all()
+    assert not order_minhash.histogram(spark.createDataFrame([], "kmers array<bigint>")).any()
+
+
 def test_rare_first_meets_every_near_set():
     rng, counts = np.random.default_rng(6), np.random.default_rng(7).integers(2, 50, 64)
     for _ in range(300):
