@@ -158,7 +158,8 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
     candidates: in every bucket all are aligned with the first. Where a bucket of up to SMALL texts is not one class then, every two
     of its texts of different classes are aligned. The texts of larger ones, which may have a common passage alone, are matched by
     their rarest k-mers: two texts of a set similarity of `least` have one of them in common, so that no link between classes is lost,
-    and those that do and are in different classes are aligned. Linked texts, of a similarity of `least` or more, are in one class, and
+    and those that do and are in different classes are aligned: first one text of the class that has most of a k-mer's texts with those
+    outside it, then all that are still apart. Linked texts, of a similarity of `least` or more, are in one class, and
     so are chains of them.
 
     A null text is in a class of its own, whose tid is null; a text without words only with texts equal to it. Repeated rows are
@@ -198,6 +199,17 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
     pair = [F.least("tid", "x").alias("a"), F.greatest("tid", "x").alias("b")]
     comps = components(verified(posts.where("tid != lead").select(F.least("tid", "lead").alias("a"), F.greatest("tid", "lead").alias("b")).distinct()), work)
 
+    def merged(links: DataFrame) -> DataFrame:
+        """(comp, top): the classes that links join, and what they are joined to."""
+        of = lambda end: comps.select(F.col("id").alias(end), F.col("comp").alias(f"c{end}"))
+        between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+        return components(between, work).select(F.col("id").alias("comp"), F.col("comp").alias("top"))
+
+    def between_classes(rare: DataFrame) -> DataFrame:
+        """The rows of k-mers that texts of different classes have, with the class that has most of them, main."""
+        met = rare.groupBy("kmer").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.mode("comp", True).alias("main")).where("low != high").select("kmer", "main")
+        return work.table(rare.join(met, "kmer"))
+
     state = work.table(posts.join(comps.withColumnRenamed("id", "tid"), "tid", "left").select("bucket", "tid", F.coalesce("comp", "tid").alias("comp")))
     split = state.groupBy("bucket").agg(F.count("*").alias("many"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("bucket", "many")
     state = work.table(state.join(split, "bucket"))
@@ -215,17 +227,17 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
         return pd.Series([[{"kmer": x, "at": i} for x, i in zip(k.view(np.int64).tolist(), at.tolist(), strict=True)] for k, at in found], index=kmers.index, dtype=object)
 
     rare = large.select("tid", "comp", F.size("kmers").alias("n"), F.explode(rarest("kmers")).alias("p")).select("tid", "comp", "n", "p.*")
-    rare = work.table(rare)
-    met = rare.groupBy("kmer").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.mode("comp", True).alias("main")).where("low != high").select("kmer", "main")
-    rare = work.table(rare.join(met, "kmer"))
+    rare = between_classes(work.table(rare))
+    lead = rare.where("comp = main").groupBy("kmer").agg(F.min("tid").alias("x"))
+    led = verified(rare.where("comp != main").join(lead, "kmer").select(*pair).distinct())
+    rare = rare.drop("main").join(merged(led), "comp", "left").select("tid", F.coalesce("top", "comp").alias("comp"), "n", "kmer", "at")
+    rare = between_classes(work.table(rare))
     other = rare.select("kmer", F.col("tid").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("at").alias("ax"))
     fits = (F.col("n") >= least * F.col("nx")) & (F.col("nx") >= least * F.col("n")) & ((1 + least) * (1 + F.least(F.col("n") - F.col("at"), F.col("nx") - F.col("ax"))) >= least * (F.col("n") + F.col("nx")))
     rest = rare.where("comp != main").join(other, "kmer").where("comp != cx AND (cx = main OR tid < x)").where(fits).select(*pair)
 
     new = verified(few.union(rest).distinct())
-    of = lambda end: comps.select(F.col("id").alias(end), F.col("comp").alias(f"c{end}"))
-    between = new.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    joined = components(between, work).select(F.col("id").alias("comp"), F.col("comp").alias("top"))
+    joined = merged(led.union(new))
     named = texts.join(comps.withColumnRenamed("id", "tid"), "tid", "left").select("tid", "first", F.coalesce("comp", "tid").alias("comp"))
     named = named.join(joined, "comp", "left").select("tid", "first", F.coalesce("top", "comp").alias("comp"))
     best = named.groupBy("comp").agg(F.min(F.struct(F.coalesce("first", F.lit((1 << 63) - 1)).alias("f"), "tid")).alias("best"), F.min("first").alias("class_id"))
