@@ -17,10 +17,13 @@ from pyspark.sql import types as T
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe textarea select svg math object".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr img label".split())
+HEAD = frozenset("html head title base basefont bgsound link meta script style noscript noframes template".split())  # whatever else opens ends the head
 IMPLIED = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"\b(id|class|role|hidden|aria-hidden|itemprop)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_TITLE_END = re.compile(r"</title\s*>", re.I)
+_HEAD_END = re.compile(r"</head\s*>|<body[\s/>]", re.I)
 _SPACE = re.compile(r"\s+")
 _NAME = re.compile(r"[a-z]+")
 
@@ -34,12 +37,22 @@ class Block:
         self.text, self.path, self.linked = text, path, linked
 
 
+def title_end(page: str, at: int) -> int | None:
+    """Where the title whose text begins at `at` ends: its text has no tags. None: its end tag is missing, as a title before the
+    head's end or the body isn't ended by one that follows them."""
+    end = _TITLE_END.search(page, at)
+    if not end or (_HEAD_END.search(page, at, end.start()) and not _HEAD_END.search(page, end.end())):
+        return None
+    return end.end()
+
+
 def leaf_blocks(page: str) -> list[Block]:
     """The leaf blocks of a page in order. Broken markup is taken as it comes: unclosed elements end with the one around them."""
     out: list[Block] = []
     stack: list[tuple[str, str]] = []  # tag, and the words of its class, id, role
     parts: list[str] = []
     linked = depth_a = at = 0
+    in_head, ends = False, True  # whether a head or title may be open, and whether titles have had their end tags so far
 
     def flush() -> None:
         nonlocal linked
@@ -55,9 +68,14 @@ def leaf_blocks(page: str) -> list[Block]:
         if depth_a:
             linked += len(s)
 
+    def text(s: str) -> None:
+        if stack and stack[-1][0] == "head" and not s.isspace():
+            stack.pop()
+        add(s)
+
     while m := _TOKEN.search(page, at):
         if m.start() > at:
-            add(page[at : m.start()])
+            text(page[at : m.start()])
         at = m.end()
         tag = (m[2] or "").lower()
         if not tag:
@@ -77,6 +95,17 @@ def leaf_blocks(page: str) -> list[Block]:
                     pass
                 depth_a = 0
             continue
+        if in_head and tag not in HEAD:
+            in_head = False
+            i = next((i for i, (t, _) in enumerate(stack) if t in ("head", "title")), None)
+            if i is not None:
+                flush()
+                del stack[i:]
+        if tag == "title" and ends and not m[3].rstrip().endswith("/"):
+            if end := title_end(page, at):
+                at = end
+                continue
+            ends = False
         if tag in RAW:
             if not m[3].rstrip().endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
@@ -107,8 +136,9 @@ def leaf_blocks(page: str) -> list[Block]:
             found = [(k.lower(), a or b or c) for k, a, b, c in _ATTRIBUTE.findall(m[3])]
             names = " ".join([v for k, v in found if k not in ("hidden", "aria-hidden")] + ["hidden" for k, v in found if k == "hidden" or (k == "aria-hidden" and v == "true")]).lower()
         depth_a += tag == "a"
+        in_head |= tag in ("head", "title")
         stack.append((tag, names))
-    add(page[at:])
+    text(page[at:])
     flush()
     return out
 

@@ -177,6 +177,23 @@ def test_html():
     assert html_crf.main_text(model, page)[0] == "A & B One two. Three" and html_crf.main_text(model, None) == ("", 0, 0)
 
 
+def test_html_head_without_end_tag():
+    model, want = html_crf.train(), "A long way Three words here."
+    inside = "<article><h1>A long way</h1><p>Three words here.</p></article>"
+    for page in (
+        f"<head><title>T</title><body>{inside}",
+        f"<html><head><meta charset=utf-8><title>T</title>{inside}",
+        f"<title>T</title>{inside}",
+        f"<head><title>The <body> and <b> tags</title><link rel=x><body>{inside}</body>",
+        f"<head><title>T<body>{inside}<svg><title>x</title></svg>",
+        f"<head><title>T</head><body>{inside}",
+        f"<html><head><title>T</title></head><body>{inside}</body></html>",
+    ):
+        assert html_crf.main_text(model, page)[0] == want, page
+    assert [b.text for b in html_crf.leaf_blocks("<head><title>T</title> Plain <b>text</b>")] == ["Plain text"]
+    assert html_crf.leaf_blocks("<head><title>T</title><meta name=x></head>") == []
+
+
 def test_warc_round_trip(spark, tmp_path):
     pages = spark.read.parquet(f"{D}/pages.parquet").unionByName(spark.createDataFrame([(None, None, None), (7, "u", "")], "page_id long, url string, html string"))
     responses = warc.responses(pages)
