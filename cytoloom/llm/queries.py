@@ -56,7 +56,7 @@ def op6_mixing_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), rules=secret_scan.RULES)
     count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     counts = [count(kind) for kind in secret_scan.BASE]
     base = F.filter("secrets", lambda s: s["kind"].isin(*secret_scan.BASE))

@@ -35,6 +35,13 @@ RULES = [
     Rule("url", r"[a-z][a-z0-9+.-]{1,20}://[A-Za-z0-9._%-]{1,64}:[A-Za-z0-9._%!*-]{3,64}@"),
 ]
 BASE = ("assign", "access", "hex")
+#: The rules of redaction. RULES are those of the query's SQL, whose private key is the header line alone; here it goes on to its END
+#: line, or else over the lines of key that follow the header. Runs don't backtrack, so that long ones need neither stack nor time.
+WHOLE = [
+    *RULES[:7],
+    Rule("private", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:(?!-----(?:BEGIN|END) )[\s\S])*+-----END [A-Z ]*PRIVATE KEY-----|(?:\s*+(?:Proc-Type|DEK-Info):[^\n]*+)*+(?:(?:\s|\\[nr])*+[A-Za-z0-9+/]{40,}+={0,2}+)*+(?:(?<=[A-Za-z0-9+/=]{40})\s++[A-Za-z0-9+/]++={0,2}+(?=[\r\n]|$))?+)"),
+    *RULES[8:],
+]
 #: At most so many strings are followed through a choice before it counts as open.
 WIDEST = 64
 
@@ -156,7 +163,7 @@ def spans(text: Column, rule: Rule) -> Column:
     return F.transform(placed, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(rule.kind).alias("kind")))
 
 
-def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: list[Rule] = RULES) -> DataFrame:
+def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: list[Rule] = WHOLE) -> DataFrame:
     """Adds `secrets`, an array of (start, kind, end) sorted by start and then by the rules' order, to every row, from its whole text.
 
     Rules with mandatory trigrams verify only the candidates of the inverted index; the others scan every text. Null and empty texts

@@ -166,6 +166,19 @@ def test_secrets(spark, odd):
     assert secret_scan.scan(df.limit(0)).count() == 0
 
 
+def redacted(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r.text for r in secret_scan.redact(secret_scan.scan(df)).orderBy("doc_id").collect()]
+
+
+def test_private_keys_are_redacted_whole(spark):
+    lines = ["MIIEpAIBAAKCAQEA+/" * 3 + f"{i:010d}" for i in range(5000)]
+    head, body, tail = "-----BEGIN RSA PRIVATE KEY-----", "\n".join([*lines, "Zm9v=="]), "-----END RSA PRIVATE KEY-----"
+    locked = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\n"
+    texts = [f"a {head}\n{body}\n{tail} z", f"a {head}\n{locked}{body}\n{tail} z", f"a {head}\\n{lines[0]}\\n{tail} z", f"a {head}\n{locked}{body}\n\nNot a key line.", f"a {head} is - only - a header z", f"a {head}\n{lines[0]}\n{head}\n{body}\n{tail} z", f"a {head}\n{lines[0]}\nMIIE"]
+    assert redacted(spark, texts) == ["a [SECRET] z"] * 3 + ["a [SECRET]\n\nNot a key line.", "a [SECRET] is - only - a header z", "a [SECRET]\n[SECRET] z", "a [SECRET]"]
+
+
 def test_html():
     model = html_crf.train()
     wrong = total = 0
