@@ -179,6 +179,13 @@ def test_private_keys_are_redacted_whole(spark):
     assert redacted(spark, texts) == ["a [SECRET] z"] * 3 + ["a [SECRET]\n\nNot a key line.", "a [SECRET] is - only - a header z", "a [SECRET]\n[SECRET] z", "a [SECRET]"]
 
 
+def test_url_passwords_of_any_length_and_kind(spark):
+    secret = ["https://aws:" + "a1" * 400 + "@", "redis://:password@", "https://me:pa$s&w+o=r~d,;@", "https://" + "u" * 90 + ":abc@", "https://me:p@sswörd@", "ftp://me@corp.example:pass@", "db://x:" + "é😀" * 20000 + "@"]
+    texts = [f"see {s}host/path here" for s in secret]
+    plain = ["http://host:8080/a@b", "http://host:80 me@host", "http://host/a:bcd@e", "https://me:ab@host"]
+    assert redacted(spark, [*texts, *plain]) == ["see [SECRET]host/path here"] * len(texts) + plain
+
+
 def test_html():
     model = html_crf.train()
     wrong = total = 0
