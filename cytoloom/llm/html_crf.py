@@ -15,13 +15,21 @@ from pyspark.sql import types as T
 
 # Fixed values of HTML: elements without content, of raw text, within a line, and those that an opening tag of their kind closes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea select svg math object".split())
-INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr img label".split())
+RAW = frozenset("script style template iframe textarea".split())
+SKIPPED = frozenset("noscript select svg".split())  # their text is dropped, as far as they or the elements around them go
+INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr img label object".split())
+MATH = frozenset("math maction annotation annotation-xml menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics".split())
+INLINE |= MATH
+SPACED = MATH - frozenset("math mi mn mo mrow ms mspace mstyle mtext none".split())  # elements whose parts are set apart, not in a row
+HTML = frozenset("address article aside blockquote body center dd details dialog dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())  # ends svg and select
+ENDS = {"select": HTML - {"hr"} | {"input", "select", "textarea"}, "svg": HTML | frozenset("b big br code div em embed i img meta nobr ruby s small span strike strong sub sup tt u var".split())}
+
 HEAD = frozenset("html head title base basefont bgsound link meta script style noscript noframes template".split())  # whatever else opens ends the head
 IMPLIED = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"\b(id|class|role|hidden|aria-hidden|itemprop)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_NOSCRIPT = re.compile(r"<(/?)noscript(?:\s[^>]*)?>", re.I)
 _TITLE_END = re.compile(r"</title\s*>", re.I)
 _HEAD_END = re.compile(r"</head\s*>|<body[\s/>]", re.I)
 _SPACE = re.compile(r"\s+")
@@ -46,12 +54,27 @@ def title_end(page: str, at: int) -> int | None:
     return end.end()
 
 
+def raw_end(page: str, at: int, tag: str, around: str | None) -> int | None:
+    """Where the raw text that begins at `at` ends, the page's end if it has no end tag. None: in `around` it has none, so it isn't raw."""
+    end = re.compile(rf"</({re.escape(tag)}{'|' + around if around else ''})\s*>", re.I).search(page, at)
+    if around:
+        return end.end() if end and end[1].lower() == tag else None
+    return end.end() if end else len(page)
+
+
+def noscript_end(page: str, at: int) -> int | None:
+    """Where the noscript that begins at `at` ends by its own end tag. None: it has none before the next one begins."""
+    end = _NOSCRIPT.search(page, at)
+    return end.end() if end and end[1] else None
+
+
 def leaf_blocks(page: str) -> list[Block]:
     """The leaf blocks of a page in order. Broken markup is taken as it comes: unclosed elements end with the one around them."""
     out: list[Block] = []
     stack: list[tuple[str, str]] = []  # tag, and the words of its class, id, role
     parts: list[str] = []
     linked = depth_a = at = 0
+    skip = 0  # the depth of the skipped element that is open, 0 without one
     in_head, ends = False, True  # whether a head or title may be open, and whether titles have had their end tags so far
 
     def flush() -> None:
@@ -69,6 +92,8 @@ def leaf_blocks(page: str) -> list[Block]:
             linked += len(s)
 
     def text(s: str) -> None:
+        if skip:
+            return
         if stack and stack[-1][0] == "head" and not s.isspace():
             stack.pop()
         add(s)
@@ -80,6 +105,15 @@ def leaf_blocks(page: str) -> list[Block]:
         tag = (m[2] or "").lower()
         if not tag:
             continue
+        if m[1] and skip:
+            i = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
+            if i is None:
+                continue
+            del stack[max(i, skip - 1) :]
+            if i >= skip - 1:
+                skip *= i >= skip
+                continue
+            skip = 0
         if m[1]:
             if tag in INLINE:
                 depth_a = max(0, depth_a - (tag == "a"))
@@ -101,15 +135,32 @@ def leaf_blocks(page: str) -> list[Block]:
             if i is not None:
                 flush()
                 del stack[i:]
-        if tag == "title" and ends and not m[3].rstrip().endswith("/"):
+                skip *= skip <= i
+        if skip and tag in ENDS.get(stack[skip - 1][0], ()) and not any(t in ("foreignobject", "desc", "title") for t, _ in stack[skip:]):
+            again = tag == "select"
+            del stack[skip - 1 :]
+            skip = 0
+            if again:
+                continue
+        if tag == "title" and not skip and ends and not m[3].rstrip().endswith("/"):
             if end := title_end(page, at):
                 at = end
                 continue
             ends = False
         if tag in RAW:
             if not m[3].rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+                end = raw_end(page, at, tag, stack[skip - 1][0] if skip else None)
+                at = end or at
+                if end is None:
+                    stack.append((tag, ""))
+            continue
+        if tag == "noscript" and (end := noscript_end(page, at)):
+            at = end
+            continue
+        if skip or tag in SKIPPED:
+            if tag not in VOID and not m[3].rstrip().endswith("/"):
+                stack.append((tag, ""))
+                skip = skip or len(stack)
             continue
         if tag not in INLINE:
             flush()
@@ -127,6 +178,8 @@ def leaf_blocks(page: str) -> list[Block]:
                         break
                     if stack[i][0] not in INLINE:
                         break
+        if tag in MATH and stack and stack[-1][0] in SPACED:
+            add(" ")
         if tag in VOID or m[3].rstrip().endswith("/"):
             if tag == "br":
                 add(" ")
@@ -139,6 +192,8 @@ def leaf_blocks(page: str) -> list[Block]:
         in_head |= tag in ("head", "title")
         stack.append((tag, names))
     text(page[at:])
+    if skip:
+        del stack[skip - 1 :]
     flush()
     return out
 

@@ -214,6 +214,30 @@ def test_html_head_without_end_tag():
     assert html_crf.leaf_blocks("<head><title>T</title><meta name=x></head>") == []
 
 
+def test_html_formulas_and_skipped_elements():
+    blocks = lambda page: [b.text for b in html_crf.leaf_blocks(page)]
+    model = html_crf.train()
+    page = "<article><h1>A long way</h1><p>Let <math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac></math> hold here.</p><p>See <object data=x><param name=a>a drawing of it</object> there.</p><p><svg><path d=M0></p><p>The end of it.</p></article>"
+    assert html_crf.main_text(model, page)[0] == "A long way Let x= 1 2 hold here. See a drawing of it there. The end of it."
+    for page in (
+        "<p>One <svg><title>t</title><g>no</g><svg>no</svg>no</svg>two.</p><p>Three.",
+        "<p>One <svg/>two.<p>Three.",
+        "<div><p>One two.<svg><g>no</div><p>Three.",
+        "<p>One two.<svg><path>no<p>Three.",
+        "<p>One two.<svg><style>no</p><p>Three.",
+        "<p>One two.<svg><foreignObject><p>no</p></foreignObject></svg></p>Three.",
+        "<div>One two.<select><option>no<option>no</div><p>Three.",
+        "<div>One two.<select><option>no<p>Three.",
+        "<p>One <select><option>no</select>two.<p>Three.",
+        "<p>One <noscript><iframe src=x></noscript>two.<p>Three.",
+        "<div>One two.<noscript><p>no</div><p>Three.",
+        "<head><title>T</title><noscript><link><body><p>One two.<p>Three.",
+        "<head><noscript><style>a</style></head><p>One two.<p>Three.",
+    ):
+        assert blocks(page) == ["One two.", "Three."], page
+    assert blocks("<p>One<script>no") == ["One"] and blocks("<math><mi>a</mi><math>") == ["a"] and blocks("<svg>no") == []
+
+
 def test_warc_round_trip(spark, tmp_path):
     pages = spark.read.parquet(f"{D}/pages.parquet").unionByName(spark.createDataFrame([(None, None, None), (7, "u", "")], "page_id long, url string, html string"))
     responses = warc.responses(pages)
