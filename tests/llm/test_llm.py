@@ -186,6 +186,14 @@ def test_url_passwords_of_any_length_and_kind(spark):
     assert redacted(spark, [*texts, *plain]) == ["see [SECRET]host/path here"] * len(texts) + plain
 
 
+def test_stated_chance_that_short_texts_are_missed():
+    rng = np.random.default_rng(8)
+    for n, least, most in ((8, 0.009, 0.014), (9, 0.0001, 0.0006)):
+        w = rng.integers(-(1 << 63), (1 << 63) - 1, (20000, n + 1), dtype=np.int64)
+        missed = np.mean([not (order_minhash.sketches(x[:-1]) == order_minhash.sketches(x)).any() for x in w])
+        assert least < missed < most
+
+
 def test_html():
     model = html_crf.train()
     wrong = total = 0
