@@ -6,12 +6,12 @@ import itertools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cytoloom.llm.shared import BITS, dense, labelled_sample, ngram_counts, sparse
+from cytoloom.llm.shared import BITS, dense, groups, labelled_sample, ngram_counts, sparse
 
 UNDETERMINED = "und"
 RESULT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())])
@@ -76,9 +76,9 @@ class Model:
 def train(df: DataFrame, label: str = "lang", per_label: int = 256, most: int = 4096) -> Model | None:
     """Learns from `text` and `label` of a sample of at most about per_label rows a label and `most` in all; None without such rows."""
 
-    @F.pandas_udf(T.BinaryType())
-    def vectors(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: sparse(_vector(t)))
+    @F.arrow_udf(T.BinaryType())
+    def vectors(texts: pa.Array) -> pa.Array:
+        return pa.array([sparse(_vector(t)) for t in texts.to_pylist()], pa.binary())
 
     known = df.select(F.col("text"), F.col(label).cast("string").alias("label")).where("text IS NOT NULL AND label IS NOT NULL").where(F.col("text").rlike(r"\p{L}"))
     rows = labelled_sample(known, "label", per_label, most).select("label", vectors("text").alias("v")).collect()
@@ -98,17 +98,21 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", lead: flo
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf(RESULT)
-    def decide(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(RESULT)
+    def decide(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
-        for texts in batches:
-            out = pd.DataFrame({"lang_pred": UNDETERMINED, "score": 0.0, "ambiguous": False}, index=texts.index)
-            told = [i for i, t in enumerate(texts) if m is not None and t is not None and any(map(str.isalpha, t))]
-            for at in range(0, len(told), 256):
-                part = told[at : at + 256]
-                best, share, ahead = m.decode(np.stack([_vector(texts.iloc[i]) for i in part]))
-                out.iloc[part, 0], out.iloc[part, 1], out.iloc[part, 2] = [m.names[b] for b in best], share.astype(float), ahead < lead
-            yield out
+        for batch in batches:
+            name, score, close = np.full(len(batch), UNDETERMINED, dtype=object), np.zeros(len(batch)), np.zeros(len(batch), dtype=bool)
+            begun = 0
+            for texts in (part.to_pylist() for part in groups(batch)):
+                told = [i for i, t in enumerate(texts) if m is not None and t is not None and any(map(str.isalpha, t))]
+                for at in range(0, len(told), 256):
+                    part = told[at : at + 256]
+                    best, share, ahead = m.decode(np.stack([_vector(texts[i]) for i in part]))
+                    rows = begun + np.array(part)
+                    name[rows], score[rows], close[rows] = [m.names[k] for k in best], share, ahead < lead
+                begun += len(texts)
+            yield pa.StructArray.from_arrays([pa.array(name, pa.string()), pa.array(score), pa.array(close)], names=RESULT.names)
 
     kept = [c for c in docs.columns if c not in RESULT.names]
     return docs.select(*[F.col(f"`{c}`") for c in kept], decide(F.col(text)).alias("_told")).select(*[F.col(f"`{c}`") for c in kept], "_told.*")

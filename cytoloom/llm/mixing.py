@@ -6,12 +6,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cytoloom.llm.shared import BITS, Work, dense, marked_texts, sparse, text_vector
+from cytoloom.llm.shared import BITS, Work, dense, groups, marked_texts, sparse, text_vector
 
 WIDTH = (1 << BITS) + 9
 
@@ -41,9 +41,9 @@ class Model:
 def train(docs: DataFrame, marks: DataFrame, per_label: int = 256, most: int = 2048, key: str = "doc_id") -> Model | None:
     """marks: columns key and label, the domain. Learns from the texts of a sample of about per_label rows of each domain, `most` in all."""
 
-    @F.pandas_udf(T.BinaryType())
-    def vectors(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: sparse(text_vector(t)))
+    @F.arrow_udf(T.BinaryType())
+    def vectors(texts: pa.Array) -> pa.Array:
+        return pa.array([sparse(text_vector(t)) for t in texts.to_pylist()], pa.binary())
 
     rows = marked_texts(docs, marks.select(key, F.col("label").cast("string").alias("label")), per_label, most, key).select("label", vectors("text").alias("v")).collect()
     if not rows:
@@ -59,12 +59,17 @@ def memberships(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     A null text has no tokens, and like one of white space alone the posterior of an empty vector, which the bias gives."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("posterior array<double>, tokens long")
-    def belong(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("posterior array<double>, tokens long")
+    def belong(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
-        for texts in batches:
-            p = [m.posteriors(np.stack([text_vector(t or "") for t in texts.iloc[i : i + 256]])) for i in range(0, len(texts), 256)]
-            yield pd.DataFrame({"posterior": list(np.concatenate(p).astype(float)) if p else [], "tokens": [len((t or "").split()) for t in texts]}, index=texts.index)
+        k = len(m.names)
+        for batch in batches:
+            p, tokens = [np.empty((0, k))], []
+            for texts in (part.to_pylist() for part in groups(batch)):
+                p += [m.posteriors(np.stack([text_vector(t or "") for t in texts[i : i + 256]])) for i in range(0, len(texts), 256)]
+                tokens += [len((t or "").split()) for t in texts]
+            flat, ends = np.concatenate(p).astype(float).ravel(), np.arange(0, k * len(batch) + 1, k, dtype=np.int32)
+            yield pa.StructArray.from_arrays([pa.ListArray.from_arrays(ends, flat), pa.array(tokens, pa.int64())], names=["posterior", "tokens"])
 
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("posterior", "tokens")]
     return docs.select(*kept, belong(F.col(text)).alias("_m")).select(*kept, "_m.*")
@@ -85,15 +90,13 @@ def rates(posterior: Column, fit: Fit) -> Column:
     """The documents' rates after all steps, from 1: r <- max(0, r - step * (posterior . g + stay * (r - 1)))."""
     steps, stay = fit.steps, fit.stay
 
-    @F.pandas_udf(T.DoubleType())
-    def rate(p: pd.Series) -> pd.Series:
-        if not len(p):
-            return pd.Series([], dtype=float)
-        p_all = np.stack(p.to_list())
+    @F.arrow_udf(T.DoubleType())
+    def rate(p: pa.Array) -> pa.Array:
+        p_all = p.flatten().to_numpy(zero_copy_only=False).reshape(len(p), -1)
         r = np.ones(len(p_all))
         for s, g in steps:
             r = np.maximum(0.0, r - s * (p_all @ g + stay * (r - 1)))
-        return pd.Series(r, index=p.index)
+        return pa.array(r)
 
     return rate(posterior)
 

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,14 +12,17 @@ from pyspark.sql import types as T
 
 from cytoloom.llm.shared import Work, words
 
-#: Words of a k-mer; k-mers in a sketch; sketches. At a similarity of 0.8 a sketch agrees with a chance of about 0.8 ** 4 = 0.41, so
-#: all 20 differ with a chance of 3e-5. Short texts are missed more often, as the sketch takes most of their k-mers: of 4 against 5
-#: k-mers it agrees with a chance of 1 - 4 / 5, so all 20 differ in 1.2 % of such pairs; of 5 against 6, in 3e-4.
-K, PICKED, SKETCHES = 5, 4, 20
+#: Words of a k-mer; k-mers in a sketch; sketches. k-mers are short, so that enough of them outlive edits: if a share e of the words is
+#: changed at random, (1 - e) ** 3 of the k-mers are left, and a sketch agrees with a chance of about the square of their Jaccard index.
+#: All 20 then differ in 0.03 % of pairs at e = 0.1, 1.4 % at 0.15 and 8 % at 0.2.
+K, PICKED, SKETCHES = 3, 2, 20
+#: The least edit similarity of words of linked texts: 1 - edit distance / words of the longer text.
 SIMILAR = 0.8
-#: A bucket of more texts that isn't one class after the first alignments is searched by rare k-mers instead of pair by pair.
+#: A bucket of more texts that isn't one class after the first alignments is searched by rare words instead of pair by pair.
 SMALL = 32
-#: Cells of the histogram that says which k-mers are rare; it has this size however many texts there are.
+#: A text is aligned with at most so many others by one task.
+PARTNERS = 512
+#: Cells of the histogram that says which words are rare; it has this size however many texts there are.
 CELLS, BLOCK = 1 << 18, 1 << 12
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -56,44 +57,92 @@ def sketches(words: np.ndarray, many: int = SKETCHES, picked: int = PICKED) -> n
         return np.empty(0, dtype=np.int64)
     p, seeds = min(picked, len(labelled)), np.arange(1, many + 1, dtype=np.uint64)
     out = np.empty((many, p), dtype=np.uint64)
-    step = max(1, (1 << 20) // len(labelled))
+    step = max(1, (1 << 18) // len(labelled))
     for at in range(0, many, step):
         ranks = _mix(labelled ^ (seeds[at : at + step, None] * _A))
-        out[at : at + step] = labelled[np.sort(np.argpartition(ranks, p - 1, axis=1)[:, :p], axis=1)]
+        lowest, rows = np.empty((len(ranks), p), dtype=np.int64), np.arange(len(ranks))
+        for j in range(p):
+            lowest[:, j] = ranks.argmin(axis=1)
+            ranks[rows, lowest[:, j]] = np.iinfo(np.uint64).max
+        out[at : at + step] = labelled[np.sort(lowest, axis=1)]
     keys = seeds
     for j in range(p):
         keys = _mix((keys * _A) ^ out[:, j])
     return keys.view(np.int64)
 
 
-def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILAR) -> float:
-    """Ordered similarity of two texts of hashed words: with `shared` the longest chain of equal labelled k-mers that rises in both
-    texts, shared / (n_a + n_b - shared). Places further apart than a similarity of `least` allows are outside the band; what is
-    below `least` may be given as 0."""
-    x, y = labelled_kmers(a), labelled_kmers(b)
+def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
+    """The fewest words to insert, delete or replace to make b of a, None if more than `most`.
+
+    Only places within `most` of the diagonal are filled in, column by column; the differences between neighbours of a column are the
+    bits of whole numbers, as wide as the band (Myers 1999, Hyyrö 2003). Bits of a word's places are kept from where they begin."""
+    n = min(len(a), len(b))
+    same = a[:n] == b[:n]
+    begin = n if same.all() else int(same.argmin())
+    a, b = a[begin:], b[begin:]
+    n = min(len(a), len(b))
+    same = a[len(a) - n :][::-1] == b[len(b) - n :][::-1]
+    end = n if same.all() else int(same.argmin())
+    x, y = a[: len(a) - end].tolist(), b[: len(b) - end].tolist()
     n, m = len(x), len(y)
-    if not n or not m or min(n, m) < least * max(n, m):
+    if abs(n - m) > most:
+        return None
+    if not n or not m:
+        return n + m
+    down, up = min(most, n), min(most, m)
+    width = up + down + 1
+    whole, top = (1 << width) - 1, 1 << (width - 1)
+    seen: dict[int, tuple[int, int]] = {}  # of a word: a row, and the rows from there on that hold it
+
+    def enter(row: int) -> None:
+        base, bits = seen.get(x[row], (row, 0))
+        if row - base > width:
+            bits >>= row - base - width
+            base = row - width
+        seen[x[row]] = (base, bits | 1 << (row - base)) if bits else (row, 1)
+
+    for row in range(down):
+        enter(row)
+    plus, minus, now, slack = whole ^ ((1 << up) - 1), 0, down, most + m - (n - down)
+    for j, word in enumerate(y):
+        low = j - up  # the row of bit 0
+        if j + down < n:
+            enter(j + down)
+        found = seen.get(word)
+        equal = 0
+        if found:
+            shift = found[0] - low
+            equal = (found[1] << shift if shift >= 0 else found[1] >> -shift) & whole
+        diagonal = ((((equal & plus) + plus) ^ plus) | equal | minus) & whole
+        right_plus, right_minus = (minus | ~(diagonal | plus)) & whole, diagonal & plus
+        if j + down < n:
+            now += not diagonal & top
+        else:
+            last = n - 1 - low
+            now += (right_plus >> last & 1) - (right_minus >> last & 1)
+        if now > slack:
+            return None
+        plus, minus = (right_minus | ~(diagonal >> 1 | right_plus)) & whole, diagonal >> 1 & right_plus
+    return now if now <= most else None
+
+
+def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILAR) -> float:
+    """Edit similarity of two texts of hashed words, 1 - edit distance / words of the longer one; 0 if it is below `least` or a text has no
+    words. Texts with too few words in common, in whatever order, aren't aligned."""
+    longer = max(len(a), len(b))
+    most = int((1 - least) * longer + 1e-9)
+    if not len(a) or not len(b) or abs(len(a) - len(b)) > most:
         return 0.0
-    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-    band = int((n + m) * (1 - least) / (1 + least)) + 1
-    near = np.abs(i - j) <= band
-    i, j = i[near], j[near]
-    if len(i) < least * (n + m - len(i)):
+    if longer > 2 * most and len(np.intersect1d(labelled_kmers(a, 1), labelled_kmers(b, 1), assume_unique=True)) < longer - most:
         return 0.0
-    tails: list[int] = []
-    for p in j[np.argsort(i)].tolist():
-        at = bisect_left(tails, p)
-        if at == len(tails):
-            tails.append(p)
-        else:
-            tails[at] = p
-    return len(tails) / (n + m - len(tails))
+    far = edit_distance(a, b, most)
+    return 0.0 if far is None else 1 - far / longer
 
 
 def rare_first(labelled: np.ndarray, counts: np.ndarray, least: float = SIMILAR) -> tuple[np.ndarray, np.ndarray]:
-    """The k-mers of a text of which any other of a set similarity of `least` or more has one among its own, and their places: the first
-    n - least * n + 1 in an order that all texts share, by the count of the k-mer's cell and then the k-mer itself. Those of a count of
-    1 are in no other text and not given."""
+    """The labelled words of a text of which any other of an edit similarity of `least` or more has one among its own, and their places: as
+    the two have at least least * n words in common, the first n - least * n + 1 in an order that all texts share, by the count of the
+    word's cell and then the word itself. Those of a count of 1 are in no other text and not given."""
     n = len(labelled)
     many = n - int(np.ceil(least * n - 1e-9)) + 1
     count = counts[labelled % np.uint64(len(counts))]
@@ -102,12 +151,18 @@ def rare_first(labelled: np.ndarray, counts: np.ndarray, least: float = SIMILAR)
     return labelled[order[at]], at
 
 
+def lists(column: pa.ListArray) -> Iterator[np.ndarray]:
+    """The lists of longs of a batch's column, as views; a null one is empty."""
+    flat, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return (flat[i:j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
+
+
 def counted_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The histogram of a task's k-mers (lists, in the first column), in blocks of BLOCK cells; blocks without any are left out."""
+    """The histogram of a task's labelled words (lists, in the first column), in blocks of BLOCK cells; blocks without any are left out."""
     cells = np.zeros(CELLS, dtype=np.int64)
     for batch in batches:
-        kmers = batch.column(0).flatten().to_numpy(zero_copy_only=False)
-        cells += np.bincount(kmers.astype(np.int64).view(np.uint64) % np.uint64(CELLS), minlength=CELLS)
+        found = batch.column(0).flatten().to_numpy(zero_copy_only=False)
+        cells += np.bincount(found.astype(np.int64).view(np.uint64) % np.uint64(CELLS), minlength=CELLS)
     blocks = cells.reshape(-1, BLOCK)
     held = np.flatnonzero(blocks.any(axis=1))
     yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(list(blocks[held]), pa.list_(pa.int64()))], names=["block", "many"])
@@ -119,11 +174,11 @@ def added_blocks(key: tuple[pa.Scalar, ...], blocks: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "many": pa.array([many], pa.list_(pa.int64()))})
 
 
-def histogram(kmers: DataFrame) -> np.ndarray:
-    """Counts of CELLS cells of the k-mers (lists of longs, the only column). The tasks' histograms are added in two steps, so that no
+def histogram(found: DataFrame) -> np.ndarray:
+    """Counts of CELLS cells of the labelled words (lists of longs, the only column). The tasks' histograms are added in two steps, so that no
     group holds more than a 256th of them, and the driver gets one, whose size is fixed."""
     schema = "block bigint, many array<bigint>"
-    some = kmers.mapInArrow(counted_cells, schema).withColumn("salt", F.spark_partition_id() % 256)
+    some = found.mapInArrow(counted_cells, schema).withColumn("salt", F.spark_partition_id() % 256)
     told = some.groupBy("block", "salt").applyInArrow(added_blocks, schema).groupBy("block").applyInArrow(added_blocks, schema).toArrow()
     cells = np.zeros((CELLS // BLOCK, BLOCK), dtype=np.int64)
     for block, many in zip(told["block"].to_pylist(), told["many"]):
@@ -155,50 +210,68 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
     """One row per document: key, tid (its text's digest), class_id, the smallest key in its class, and kept, true for the class's text
     that a deduplication keeps (that of the smallest key).
 
-    Texts are compared by their words in lower case. Equal texts are one class at once and go on as one. Texts that share a sketch are
-    candidates: in every bucket all are aligned with the first. Where a bucket of up to SMALL texts is not one class then, every two
-    of its texts of different classes are aligned. The texts of larger ones, which may have a common passage alone, are matched by
-    their rarest k-mers: two texts of a set similarity of `least` have one of them in common, so that no link between classes is lost,
-    and those that do and are in different classes are aligned: first one text of the class that has most of a k-mer's texts with those
-    outside it, then all that are still apart. Linked texts, of a similarity of `least` or more, are in one class, and
-    so are chains of them.
+    Texts are compared by their words in lower case. Equal texts are one class at once and go on as one. Texts that share a sketch and
+    whose numbers of words allow it are candidates: in every bucket all are aligned with the first. Where a bucket of up to SMALL texts is
+    not one class then, every two of its texts of different classes are aligned. The texts of larger ones, which may have a common
+    passage alone, are matched by their rarest words: two texts of an edit similarity of `least` have one of them in common, so that no
+    link between classes is lost, and those that do and are in different classes are aligned: first one text of the class that has most
+    of a word's texts with those outside it, then all that are still apart. Linked texts, of an edit similarity of `least` or more, are in
+    one class, and so are chains of them.
 
     A null text is in a class of its own, whose tid is null; a text without words only with texts equal to it. Repeated rows are
-    documents of one class. Null keys: class_id is the smallest other key of the class, or null. Other columns are left out.
+    documents of one class. Null keys: class_id is the smallest other key of the class, or null. Other columns are left out. The table
+    behind the result stays in the shared folder until its owner clears that.
     """
 
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def sketch(hashed: pd.Series) -> pd.Series:
-        return hashed.map(sketches)
-
-    @F.pandas_udf(T.DoubleType())
-    def align(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([similarity(x, y, least) for x, y in zip(a, b, strict=True)], index=a.index, dtype=float)
-
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def labelled(hashed: pd.Series) -> pd.Series:
-        return hashed.map(lambda w: labelled_kmers(w).view(np.int64))
-
     work = Work(docs.sparkSession)
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("t"))
-    tid = F.unhex(F.md5(F.encode("t", "UTF-8")))
-    hashed = work.table(rows.select("id", tid.alias("tid"), F.when(F.col("t").isNotNull(), sketch(hashed_words(F.col("t")))).alias("keys")), keep=True)
-    texts = work.table(hashed.where("tid IS NOT NULL").groupBy("tid").agg(F.min("id").alias("first"), F.first("keys").alias("keys")))
-    posts = texts.select(F.explode("keys").alias("bucket"), "tid", "first")
-    lead = F.min(F.struct(F.coalesce("first", F.lit((1 << 63) - 1)).alias("f"), "tid")).alias("lead")
+    id_type, tid = rows.schema["id"].dataType.simpleString(), F.unhex(F.md5(F.encode("t", "UTF-8")))
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sketches(w) for w in lists(batch.column(2))]
+            ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+            keys = pa.ListArray.from_arrays(ends, np.concatenate([np.empty(0, np.int64), *found]))
+            size = np.diff(batch.column(2).offsets.to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int32()), keys], names=["id", "tid", "n", "keys"])
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = [similarity(x, y, least) >= least for x, y in zip(lists(batch.column(2)), lists(batch.column(3)), strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(near, pa.bool_()))
+
+    def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = [labelled_kmers(w, 1).view(np.int64) for w in lists(batch.column(2))]
+            ends = np.cumsum([0, *map(len, flat)], dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(ends, np.concatenate([np.empty(0, np.int64), *flat]))], names=["tid", "comp", "words"])
+
+    hashed = rows.select("id", tid.alias("tid"), hashed_words(F.col("t")).alias("w")).mapInArrow(sketched, f"id {id_type}, tid binary, n int, keys array<bigint>")
+    hashed = work.table(hashed, keep=True)
+    texts = work.table(hashed.where("tid IS NOT NULL").groupBy("tid").agg(F.min("id").alias("first"), F.max("n").alias("n"), F.first("keys").alias("keys")))
+    posts = texts.select(F.explode("keys").alias("bucket"), "tid", "n", "first")
+    lead = F.min(F.struct(F.col("first").isNull().alias("none"), F.col("first").alias("f"), "tid", "n")).alias("lead")
     shared = posts.groupBy("bucket").agg(lead, F.count("*").alias("many")).where("many > 1")
-    posts = work.table(posts.join(shared, "bucket").select("bucket", "tid", "first", F.col("lead.tid").alias("lead")))
+    posts = work.table(posts.join(shared, "bucket").select("bucket", "tid", "n", F.col("lead.tid").alias("lead"), F.col("lead.n").alias("lead_n")))
     wanted = posts.select("tid").distinct()
     held = rows.where("t IS NOT NULL").withColumn("tid", tid).join(wanted, "tid", "left_semi")
     held = work.table(held.groupBy("tid").agg(F.first("t").alias("t")).select("tid", hashed_words(F.col("t")).alias("w")))
 
+    def fits(a: str, b: str) -> Column:
+        return (F.col(a) >= least * F.col(b)) & (F.col(b) >= least * F.col(a))
+
     def verified(pairs: DataFrame) -> DataFrame:
-        a, b = held.select(F.col("tid").alias("a"), F.col("w").alias("wa")), held.select(F.col("tid").alias("b"), F.col("w").alias("wb"))
-        fitting = pairs.join(a, "a").join(b, "b").where(F.size("wa") + K >= least * (F.size("wb") - K)).where(F.size("wb") + K >= least * (F.size("wa") - K))
-        return work.table(fitting.withColumn("similarity", align("wa", "wb")).where(F.col("similarity") >= least).select("a", "b"))
+        """The pairs (a, b) that are similar enough. The partners of a text that has many are dealt to several tasks, each with its words."""
+        pairs = work.table(pairs)
+        parts = work.table(pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("parts")))
+        dealt = pairs.join(parts, "a").select("a", "b", F.pmod(F.hash("b"), F.col("parts")).alias("part"))
+        sent = held.join(parts, F.col("tid") == F.col("a")).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("w").alias("wa"))
+        met = dealt.join(held.select(F.col("tid").alias("b"), F.col("w").alias("wb")), "b").join(sent, ["a", "part"])
+        return work.table(met.select("a", "b", "wa", "wb").mapInArrow(linked, "a binary, b binary"))
 
     pair = [F.least("tid", "x").alias("a"), F.greatest("tid", "x").alias("b")]
-    comps = components(verified(posts.where("tid != lead").select(F.least("tid", "lead").alias("a"), F.greatest("tid", "lead").alias("b")).distinct()), work)
+    led = posts.where("tid != lead").where(fits("n", "lead_n")).select(F.col("lead").alias("a"), F.col("tid").alias("b")).distinct()
+    comps = components(verified(led), work)
 
     def merged(links: DataFrame) -> DataFrame:
         """(comp, top): the classes that links join, and what they are joined to."""
@@ -207,53 +280,58 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
         return components(between, work).select(F.col("id").alias("comp"), F.col("comp").alias("top"))
 
     def between_classes(rare: DataFrame) -> DataFrame:
-        """The rows of k-mers that texts of different classes have, with the class that has most of them, main."""
-        met = rare.groupBy("kmer").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.mode("comp", True).alias("main")).where("low != high").select("kmer", "main")
-        return work.table(rare.join(met, "kmer"))
+        """The rows of words that texts of different classes have, with the class that has most of them, main, and a text of it, lead."""
+        each = rare.groupBy("word", "comp").agg(F.count("*").alias("c"), F.min(F.struct("tid", "n")).alias("one"))
+        met = each.groupBy("word").agg(F.count("*").alias("k"), F.max(F.struct("c", "comp", "one")).alias("best")).where("k > 1")
+        met = met.select("word", F.col("best.comp").alias("main"), F.col("best.one.tid").alias("lead"), F.col("best.one.n").alias("lead_n"))
+        return work.table(rare.join(met, "word"))
 
-    state = work.table(posts.join(comps.withColumnRenamed("id", "tid"), "tid", "left").select("bucket", "tid", F.coalesce("comp", "tid").alias("comp")))
+    state = work.table(posts.join(comps.withColumnRenamed("id", "tid"), "tid", "left").select("bucket", "tid", "n", F.coalesce("comp", "tid").alias("comp")))
     split = state.groupBy("bucket").agg(F.count("*").alias("many"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("bucket", "many")
     state = work.table(state.join(split, "bucket"))
-    small = state.where(F.col("many") <= SMALL).select("bucket", "tid", "comp")
-    other = small.select("bucket", F.col("tid").alias("x"), F.col("comp").alias("cx"))
-    few = small.join(other, "bucket").where("tid < x AND comp != cx").select(*pair)
+    small = state.where(F.col("many") <= SMALL).select("bucket", "tid", "n", "comp")
+    other = small.select("bucket", F.col("tid").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"))
+    few = small.join(other, "bucket").where("tid < x AND comp != cx").where(fits("n", "nx")).select(*pair)
 
     large = held.join(state.where(F.col("many") > SMALL).select("tid", "comp").distinct(), "tid")
-    large = work.table(large.select("tid", "comp", labelled("w").alias("kmers")))
-    cells = histogram(large.select("kmers"))
-
-    @F.pandas_udf("array<struct<kmer: bigint, at: int>>")
-    def rarest(kmers: pd.Series) -> pd.Series:
-        found = (rare_first(np.asarray(k).astype(np.int64).view(np.uint64), cells, least) for k in kmers)
-        return pd.Series([[{"kmer": x, "at": i} for x, i in zip(k.view(np.int64).tolist(), at.tolist(), strict=True)] for k, at in found], index=kmers.index, dtype=object)
-
-    rare = large.select("tid", "comp", F.size("kmers").alias("n"), F.explode(rarest("kmers")).alias("p")).select("tid", "comp", "n", "p.*")
-    rare = between_classes(work.table(rare))
-    lead = rare.where("comp = main").groupBy("kmer").agg(F.min("tid").alias("x"))
-    led = verified(rare.where("comp != main").join(lead, "kmer").select(*pair).distinct())
-    rare = rare.drop("main").join(merged(led), "comp", "left").select("tid", F.coalesce("top", "comp").alias("comp"), "n", "kmer", "at")
-    rare = between_classes(work.table(rare))
-    other = rare.select("kmer", F.col("tid").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("at").alias("ax"))
-    fits = (F.col("n") >= least * F.col("nx")) & (F.col("nx") >= least * F.col("n")) & ((1 + least) * (1 + F.least(F.col("n") - F.col("at"), F.col("nx") - F.col("ax"))) >= least * (F.col("n") + F.col("nx")))
-    rest = rare.where("comp != main").join(other, "kmer").where("comp != cx AND (cx = main OR tid < x)").where(fits).select(*pair)
+    large = work.table(large.select("tid", "comp", "w").mapInArrow(labelled, "tid binary, comp binary, words array<bigint>"))
+    cells = histogram(large.select("words"))
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = [(len(w), *rare_first(w.view(np.uint64), cells, least)) for w in lists(batch.column(2))]
+            many = [len(at) for _, _, at in told]
+            row, n = pa.array(np.repeat(np.arange(len(told)), many)), np.repeat([n for n, _, _ in told], many)
+            word, at = np.concatenate([np.empty(0, np.uint64), *(w for _, w, _ in told)]).view(np.int64), np.concatenate([np.empty(0, np.int64), *(at for _, _, at in told)])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(n, pa.int32()), pa.array(word), pa.array(at, pa.int32())], names=["tid", "comp", "n", "word", "at"])
+
+    rare = between_classes(work.table(large.mapInArrow(rarest, "tid binary, comp binary, n int, word bigint, at int")))
+    led = verified(rare.where("comp != main").where(fits("n", "lead_n")).select(F.least("tid", "lead").alias("a"), F.greatest("tid", "lead").alias("b")).distinct())
+    rare = rare.drop("main", "lead", "lead_n").join(merged(led), "comp", "left").select("tid", F.coalesce("top", "comp").alias("comp"), "n", "word", "at")
+    rare = between_classes(work.table(rare)).drop("lead", "lead_n")
+    # Texts of fitting lengths are in one band of lengths or in two that follow each other; a lower one's are sent to the next, too.
+    band = rare.withColumn("band", F.floor(F.log("n") / -np.log(least)))
+    other = band.select("word", F.explode(F.array("band", F.col("band") + 1)).alias("band"), F.col("band").alias("own"), F.col("tid").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("at").alias("ax"))
+    reach = F.least(F.col("n") - F.col("at"), F.col("nx") - F.col("ax")) >= least * F.greatest("n", "nx")  # the words in common that can follow
+    rest = band.join(other, ["word", "band"]).where("comp != cx AND (comp = main OR cx = main OR tid < x) AND (band != own OR tid < x)").where(reach).select(*pair)
 
     new = verified(few.union(rest).distinct())
     joined = merged(led.union(new))
     named = texts.join(comps.withColumnRenamed("id", "tid"), "tid", "left").select("tid", "first", F.coalesce("comp", "tid").alias("comp"))
     named = named.join(joined, "comp", "left").select("tid", "first", F.coalesce("top", "comp").alias("comp"))
-    best = named.groupBy("comp").agg(F.min(F.struct(F.coalesce("first", F.lit((1 << 63) - 1)).alias("f"), "tid")).alias("best"), F.min("first").alias("class_id"))
+    best = named.groupBy("comp").agg(F.min(F.struct(F.col("first").isNull().alias("none"), F.col("first").alias("f"), "tid")).alias("best"), F.min("first").alias("class_id"))
     named = work.table(named.join(best, "comp").select("tid", "class_id", (F.col("best.tid") == F.col("tid")).alias("kept")), keep=True)
     work.drop()
     out = hashed.select("id", "tid").join(named, "tid", "left")
-    return out.select(F.col("id").alias(key), "tid", F.when(F.col("tid").isNull(), F.col("id").cast("long")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("kept", F.lit(True)).alias("kept"))
+    return out.select(F.col("id").alias(key), "tid", F.when(F.col("tid").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("kept", F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs of which `classes` keeps the text, one row for each class: of the smallest key, one if it is repeated. Rows with a
-    null text all stay. The rows keep docs' columns."""
-    tid = F.unhex(F.md5(F.encode(F.col(text), "UTF-8")))
-    one = found.where("kept AND tid IS NOT NULL").groupBy("tid").agg(F.min(key).alias("_first")).withColumnRenamed("tid", "_kept")
-    held = docs.withColumn("_tid", tid)
-    picked = held.join(one, (F.col("_tid") == F.col("_kept")) & F.col(key).eqNullSafe(F.col("_first"))).dropDuplicates(["_tid", key])
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    return picked.select(*names).union(docs.where(F.col(text).isNull()).select(*names))
+    null text all stay. The rows keep docs' columns, whatever their names."""
+    tid = F.unhex(F.md5(F.encode("text", "UTF-8")))
+    one = found.where("kept AND tid IS NOT NULL").groupBy(F.col("tid").alias("kept")).agg(F.min(key).alias("first"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(key).alias("id"), F.col(text).alias("text"))
+    held = rows.where("text IS NOT NULL").withColumn("tid", tid)
+    picked = held.join(one, (F.col("tid") == F.col("kept")) & F.col("id").eqNullSafe(F.col("first"))).dropDuplicates(["tid", "id"])
+    return picked.select("row.*").union(rows.where("text IS NULL").select("row.*"))

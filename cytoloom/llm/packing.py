@@ -14,12 +14,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cytoloom.llm.shared import groups
+
 #: Costs of a cut, in tokens of padding: between documents, after a sentence, inside a sentence.
 AT_DOCUMENT, AT_SENTENCE, INSIDE = 0, 24, 96
 #: A sentence longer than this many tokens can also be cut at every multiple of it.
 GRID = 256
 #: Bytes of the texts that are encoded together; a longer text is encoded alone.
-GROUP = 1 << 22
+GROUP = 1 << 21
 CLOSING = (".", "!", "?", "…", "。", "！", "？")
 
 
@@ -63,24 +65,44 @@ def cut_windows(at: np.ndarray, penalty: np.ndarray, window: int) -> list[int]:
 
 class Encoder:
     """Ids of a text, and after how many of them its sentences end. The tokenizer drops white space and no token spans it, so the pieces
-    between spaces and line breaks are encoded once and remembered, at most about `most` of them. Nor does a token span the end of a
-    letter and a mark after it: a piece is taken as its body and its last marks, and bodies of ASCII letters in lower case, as the
-    tokenizer has them. Arrow splits the texts and finds the different bodies, so that Python sees each of them once a group."""
+    between spaces and line breaks are encoded once and remembered, at most about `most` of them. Nor does a token span the end of an
+    ASCII letter and a mark after it: a piece of ASCII letters and last marks is taken as its body, in lower case as the tokenizer has it,
+    and its marks. Other pieces stay whole, as lower case may end them in a mark of its own. Arrow splits the texts and finds the
+    different bodies, so that Python sees each of them once a group."""
 
     MARKS = ".,;:!?"
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         self.last = np.array([bool(suffix) and t.endswith(suffix) for t, _ in sorted(self.tokenizer.get_vocab().items(), key=lambda x: x[1])])  # tokens that end a run of letters
         self.mark = next((i for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special), None)
-        self._forget()
-
-    def _forget(self) -> None:
-        self.row: dict[str, int] = {"": 0}  # of bodies and tails: rows of first and size, which lie in flat
-        self.used, self.flat, self.first, self.size = 0, np.zeros(1 << 16, "<u4"), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.forget()
+
+    def forget(self) -> None:
+        """Frees all that was remembered."""
+        self.row: dict[str, int] = {"": 0}  # of bodies and tails: rows of first, size and seen; the ids lie in flat
+        self.used, self.flat, self.first, self.size, self.seen = 0, np.zeros(1 << 16, "<u4"), *(np.zeros(1 << 14, np.int64) for _ in range(3))
+
+    def _thin(self) -> None:
+        """Forgets pieces that were met in one group only, as most have been, and more of the rarest if those are too few."""
+        n = len(self.row)
+        seen = self.seen[:n].copy()
+        seen[0] = np.iinfo(np.int64).max
+        least = max(2, int(np.partition(seen, n - self.most // 2)[n - self.most // 2]) + 1)
+        rows = np.flatnonzero(seen >= least)
+        size = self.size[rows]
+        upto = np.cumsum(size)
+        flat = self.flat[np.repeat(self.first[rows] - upto + size, size) + np.arange(upto[-1])]
+        names, kept = list(self.row), {int(r): i for i, r in enumerate(rows)}
+        self.forget()
+        self.row = {names[r]: i for r, i in kept.items()}
+        self.used, self.flat = len(flat), self._grown(self.flat, len(flat))
+        self.flat[: len(flat)] = flat
+        self.first, self.size, self.seen = (self._grown(x, len(rows)) for x in (self.first, self.size, self.seen))
+        self.first[: len(rows)], self.size[: len(rows)] = upto - size, size
 
     def _encode(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of many parts and their numbers. Runs of letters go through the tokenizer as one text, and the tokens that end a word
@@ -110,7 +132,8 @@ class Encoder:
             some = [new[i] for i in at.tolist()]
             ids, sizes = self._encode(some)
             n, used = len(self.row), self.used + len(ids)
-            self.flat, self.first, self.size = self._grown(self.flat, used), self._grown(self.first, n + len(some)), self._grown(self.size, n + len(some))
+            self.flat = self._grown(self.flat, used)
+            self.first, self.size, self.seen = (self._grown(x, n + len(some)) for x in (self.first, self.size, self.seen))
             self.flat[self.used : used] = ids
             self.first[n : n + len(some)], self.size[n : n + len(some)] = self.used + np.cumsum(sizes) - sizes, sizes
             self.used = used
@@ -126,6 +149,7 @@ class Encoder:
         new = np.flatnonzero(rows < 0)
         if len(new):
             rows[new] = self._learn([values[i] for i in new.tolist()])
+        self.seen[rows] += 1
         return rows[coded.indices.to_numpy()]
 
     @staticmethod
@@ -137,12 +161,12 @@ class Encoder:
     def __call__(self, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
         """Of each text (none null) its ids, and after how many of them its sentences end."""
         if len(self.row) > self.most:
-            self._forget()
+            self._thin()
         split = pc.split_pattern(pc.replace_substring(texts.cast(pa.large_string()), "\n", " "), " ")
         many, pieces = pc.list_value_length(split).to_numpy(), split.flatten()
         bodies = pc.ascii_rtrim(pieces, self.MARKS)
-        bodies = pc.if_else(pa.array(self._of_last(bodies, str.isalpha)), bodies, pieces)
         plain = pc.and_(pc.string_is_ascii(bodies), pc.utf8_is_alpha(bodies))
+        bodies = pc.if_else(plain, bodies, pieces)
         marks = pc.subtract(pc.binary_length(pieces), pc.binary_length(bodies)).to_numpy()
         marked = np.flatnonzero(marks)
         tails = [p[-k:] for p, k in zip(pieces.take(pa.array(marked)).to_pylist(), marks[marked].tolist(), strict=True)]
@@ -161,18 +185,11 @@ class Encoder:
         return cuts
 
 
-def groups(texts: pa.Array, most: int = GROUP) -> Iterator[pa.Array]:
-    """The texts in their order, about `most` bytes at a time."""
-    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)) // most
-    edges = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(texts)]
-    return (texts.slice(i, j - i) for i, j in zip(edges, edges[1:]) if i < j)
-
-
 _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """The one of this Python worker: what one task has learned serves the next."""
+    """The tokenizer of this Python worker, read once. What a task has it remember goes at the task's end."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
@@ -233,10 +250,18 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", end_id: int = 2, w
             sequence += len(stops)
             return pa.RecordBatch.from_arrays(columns, names=names)
 
-        for batch in batches:
+        def packed_batches() -> Iterator[pa.RecordBatch]:
+            nonlocal rows, parts, waiting
+            for batch in batches:
+                yield from packed(batch)
+            if rows:
+                yield flush()
+
+        def packed(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            nonlocal rows, parts, waiting
             begun, others = 0, batch.select(range(batch.num_columns - 1))
             texts = pc.fill_null(batch.column(batch.num_columns - 1), "")
-            for n, (ids, ends) in enumerate(x for some in groups(texts) for x in encode(some)):
+            for n, (ids, ends) in enumerate(x for some in groups(texts, GROUP) for x in encode(some)):
                 rows.append((ids.tobytes() + end, ends))
                 waiting += len(rows[-1][0]) // 4
                 if waiting >= ahead:
@@ -244,7 +269,10 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", end_id: int = 2, w
                     yield flush()
                     rows, parts, waiting, begun = [], [], 0, n + 1
             parts.append(others.slice(begun))
-        if rows:
-            yield flush()
+        try:
+            yield from packed_batches()
+        finally:
+            encode.forget()
+            pa.default_memory_pool().release_unused()
 
     return frame.mapInArrow(run, schema)

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cytoloom.llm.shared import BITS, dense, marked_texts, sparse, text_vector
+from cytoloom.llm.shared import BITS, dense, groups, marked_texts, sparse, text_vector
 
 WIDTH = (1 << BITS) + 9
 
@@ -52,9 +52,9 @@ class Model:
 def train(docs: DataFrame, marks: DataFrame, per_label: int = 1024, key: str = "doc_id") -> Model | None:
     """marks: columns key and label (0 or 1). Fits on the texts of a sample of about per_label rows of each label; None without rows."""
 
-    @F.pandas_udf(T.BinaryType())
-    def vectors(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: sparse(text_vector(t)))
+    @F.arrow_udf(T.BinaryType())
+    def vectors(texts: pa.Array) -> pa.Array:
+        return pa.array([sparse(text_vector(t)) for t in texts.to_pylist()], pa.binary())
 
     known = marks.select(key, F.col("label").cast("int").alias("label")).where("label IN (0, 1)")
     rows = marked_texts(docs, known, per_label, 2 * per_label, key).select("label", vectors("text").alias("v")).collect()
@@ -72,16 +72,17 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", k: int = 15,
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf(T.DoubleType())
-    def vote(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(T.DoubleType())
+    def vote(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
-        for texts in batches:
-            out = np.full(len(texts), 0.0)
-            told = [i for i, t in enumerate(texts) if t is not None and t.strip()]
-            out[told] = 0.5
-            for at in range(0, len(told) if m is not None else 0, block):
-                part = told[at : at + block]
-                out[part] = np.clip(m.scores(np.stack([text_vector(texts.iloc[i]) for i in part]), k, power), 0, 1)
-            yield pd.Series(out, index=texts.index)
+        for batch in batches:
+            out, begun = np.zeros(len(batch)), 0
+            for texts in (part.to_pylist() for part in groups(batch)):
+                told = [i for i, t in enumerate(texts) if t is not None and t.strip()]
+                for at in range(0, len(told), block):
+                    part = told[at : at + block]
+                    out[begun + np.array(part)] = 0.5 if m is None else np.clip(m.scores(np.stack([text_vector(texts[i]) for i in part]), k, power), 0, 1)
+                begun += len(texts)
+            yield pa.array(out)
 
     return docs.withColumn("score", vote(F.col(text)))

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,14 +26,25 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new path in the folder that all executors share, spark.checkpoint.dir. Only a session in one process (a local master), where it
+    is unset, gets a temporary folder of this machine; on a cluster an unset folder is an error."""
+    top = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not top:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        top = tempfile.mkdtemp(prefix="shared-")
+    return f"{top}/work-{uuid.uuid4().hex}"
+
+
 class Work:
     """Tables of one operator's call, in a folder of its own in the cluster's shared folder (spark.checkpoint.dir), so that a lost
     executor costs no more than the step it was in. Tables also give joins their true sizes, which checkpoints carry on as estimates
-    that multiply with every join."""
+    that multiply with every join. Tables that a lazy result reads are kept: whoever owns the shared folder clears them, as with
+    checkpoints, once the result is used."""
 
     def __init__(self, spark: SparkSession):
-        top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="shared-")
-        self.spark, self.folder, self.made = spark, f"{top}/work-{uuid.uuid4().hex}", 0
+        self.spark, self.folder, self.made = spark, shared_folder(spark), 0
 
     def table(self, df: DataFrame, keep: bool = False) -> DataFrame:
         """df, written and read again; `keep`: it outlives drop()."""
@@ -45,26 +59,46 @@ class Work:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def labelled_sample(df: DataFrame, label: str, most: int, total: int) -> DataFrame:
-    """A bounded sample of labelled rows: about `most` rows of each label and about `total` in all, chosen by a hash of the text.
+def groups(texts: pa.Array, most: int = 1 << 20) -> Iterator[pa.Array]:
+    """The texts in their order, about `most` bytes at a time, so that only so many of a batch become Python strings at once; a longer
+    text comes alone. A null text has no bytes."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64
+    ends = np.cumsum(sizes) // most
+    edges = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(texts)]
+    return (texts.slice(i, j - i) for i, j in zip(edges, edges[1:]) if i < j)
+
+
+def _shares(n_by_label: dict, most: int, total: int, label: str) -> Column:
+    """The share of each label's different rows to take, in millionths, for about `most` of each label and `total` in all."""
+    per = max(1, min(most, total // max(1, len(n_by_label))))
+    whens = [F.when(F.col(label) == F.lit(k), F.lit(min(1.0, per / max(1, n)) * 1_000_000)) for k, n in n_by_label.items()]
+    return F.coalesce(*whens, F.lit(0.0)) if whens else F.lit(0.0)
+
+
+def labelled_sample(df: DataFrame, label: str, most: int, total: int, text: str = "text") -> DataFrame:
+    """(label, text): a bounded sample of labelled rows, about `most` different texts of each label and `total` in all, and never more than
+    twice `total`. Repeated rows count once.
 
-    The number of labels is read first; rows are kept with the probability that gives the bound, so no row is sorted or gathered.
+    The labels' numbers of different texts are estimated first, in sketches that don't grow; texts are then chosen by a hash, with the
+    probability that gives the bound, so that no row is sorted or gathered before. A label of few texts keeps all of them.
     """
-    counts = {r[0]: r[1] for r in df.groupBy(label).count().orderBy(F.desc("count"), label).limit(total).collect()}
-    per = max(1, min(most, total // max(1, len(counts))))
-    share = F.coalesce(*[F.when(F.col(label) == F.lit(k), F.lit(min(1.0, per / n))) for k, n in counts.items()], F.lit(0.0)) if counts else F.lit(0.0)
-    return df.where(F.pmod(F.xxhash64(F.col("text"), F.lit(17)), F.lit(1_000_000)) < share * 1_000_000)
+    known = df.select(F.col(label).alias("label"), F.col(text).alias("text")).where("label IS NOT NULL AND text IS NOT NULL")
+    counts = known.groupBy("label").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n")).orderBy(F.desc("n"), "label").limit(total).collect()
+    chosen = known.where(F.pmod(F.xxhash64("text", F.lit(17)), F.lit(1_000_000)) < _shares({r[0]: r[1] for r in counts}, most, total, "label"))
+    one = chosen.groupBy("label", F.md5(F.encode("text", "UTF-8")).alias("digest")).agg(F.first("text").alias("text"))
+    return one.select("label", "text").limit(2 * total)
 
 
 def marked_texts(docs: DataFrame, marks: DataFrame, most: int, total: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(text, label) of a bounded sample of marks(key, label): about `most` of each label and never over twice `total`, chosen by a hash
-    of the key before any text is read. The sample, of so few rows, is sent to where the texts are; no text is shuffled."""
+    of the key before any text is read. The sample, of so few rows, is sent to where the texts are; of a key that docs has several times
+    the smallest text is taken, so that repeated rows add none."""
     known = marks.select(F.col(key).alias("_of"), F.col("label")).where("_of IS NOT NULL AND label IS NOT NULL")
-    counts = {r[0]: r[1] for r in known.groupBy("label").count().orderBy(F.desc("count"), "label").limit(total).collect()}
-    per = max(1, min(most, total // max(1, len(counts))))
-    share = F.coalesce(*[F.when(F.col("label") == F.lit(k), F.lit(min(1.0, per / n))) for k, n in counts.items()], F.lit(0.0)) if counts else F.lit(0.0)
-    sample = known.where(F.pmod(F.xxhash64(F.col("_of").cast("string"), F.lit(17)), F.lit(1_000_000)) < share * 1_000_000).limit(2 * total)
-    return docs.select(F.col(key).alias("_id"), F.col(text).alias("text")).where("text IS NOT NULL").join(F.broadcast(sample), F.col("_id") == F.col("_of")).select("text", "label")
+    counts = known.groupBy("label").agg(F.approx_count_distinct("_of").alias("n")).orderBy(F.desc("n"), "label").limit(total).collect()
+    share = _shares({r[0]: r[1] for r in counts}, most, total, "label")
+    sample = known.where(F.pmod(F.xxhash64(F.col("_of").cast("string"), F.lit(17)), F.lit(1_000_000)) < share).distinct().limit(2 * total)
+    texts = docs.select(F.col(key).alias("_id"), F.col(text).alias("text")).where("text IS NOT NULL")
+    return texts.join(F.broadcast(sample), F.col("_id") == F.col("_of")).groupBy("_of", "label").agg(F.min("text").alias("text")).select("text", "label")
 
 
 # ---- hashed character n-grams -------------------------------------------------------------------------------------------------
