@@ -22,6 +22,8 @@ SIMILAR = 0.8
 SMALL = 32
 #: A text is aligned with at most so many others by one task.
 PARTNERS = 512
+#: Longs of a text's parities.
+PARITIES = 8
 #: Cells of the histogram that says which words are rare; it has this size however many texts there are.
 CELLS, BLOCK = 1 << 18, 1 << 12
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -151,6 +153,13 @@ def rare_first(labelled: np.ndarray, counts: np.ndarray, least: float = SIMILAR)
     return labelled[order[at]], at
 
 
+def parities(labelled: np.ndarray) -> np.ndarray:
+    """64 * PARITIES bits, whether an even or odd number of labelled words falls on each. Where those of two texts of n and m words differ,
+    a word of one isn't in the other, so they have at most (n + m - differing bits) / 2 in common (Sandes et al. 2017)."""
+    odd = np.bincount(_mix(labelled * _B) % np.uint64(64 * PARITIES), minlength=64 * PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8")
+
+
 def lists(column: pa.ListArray) -> Iterator[np.ndarray]:
     """The lists of longs of a batch's column, as views; a null one is empty."""
     flat, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
@@ -214,8 +223,8 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
     whose numbers of words allow it are candidates: in every bucket all are aligned with the first. Where a bucket of up to SMALL texts is
     not one class then, every two of its texts of different classes are aligned. The texts of larger ones, which may have a common
     passage alone, are matched by their rarest words: two texts of an edit similarity of `least` have one of them in common, so that no
-    link between classes is lost, and those that do and are in different classes are aligned: first one text of the class that has most
-    of a word's texts with those outside it, then all that are still apart. Linked texts, of an edit similarity of `least` or more, are in
+    link between classes is lost, and those that do, whose other words allow it and that are in different classes are aligned: first one
+    text of the class that has most of a word's texts with those outside it, then all that are still apart. Linked texts, of an edit similarity of `least` or more, are in
     one class, and so are chains of them.
 
     A null text is in a class of its own, whose tid is null; a text without words only with texts equal to it. Repeated rows are
@@ -242,9 +251,11 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
 
     def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat = [labelled_kmers(w, 1).view(np.int64) for w in lists(batch.column(2))]
-            ends = np.cumsum([0, *map(len, flat)], dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(ends, np.concatenate([np.empty(0, np.int64), *flat]))], names=["tid", "comp", "words"])
+            found = [labelled_kmers(w, 1) for w in lists(batch.column(2))]
+            ends, bits = np.cumsum([0, *map(len, found)], dtype=np.int32), [parities(w) for w in found]
+            sides = [(ends, found), (np.arange(len(found) + 1, dtype=np.int32) * PARITIES, bits)]
+            made = [pa.ListArray.from_arrays(e, np.concatenate([np.empty(0, np.int64), *(x.view(np.int64) for x in f)])) for e, f in sides]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["tid", "comp", "words", "bits"])
 
     hashed = rows.select("id", tid.alias("tid"), hashed_words(F.col("t")).alias("w")).mapInArrow(sketched, f"id {id_type}, tid binary, n int, keys array<bigint>")
     hashed = work.table(hashed, keep=True)
@@ -254,8 +265,8 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
     shared = posts.groupBy("bucket").agg(lead, F.count("*").alias("many")).where("many > 1")
     posts = work.table(posts.join(shared, "bucket").select("bucket", "tid", "n", F.col("lead.tid").alias("lead"), F.col("lead.n").alias("lead_n")))
     wanted = posts.select("tid").distinct()
-    held = rows.where("t IS NOT NULL").withColumn("tid", tid).join(wanted, "tid", "left_semi")
-    held = work.table(held.groupBy("tid").agg(F.first("t").alias("t")).select("tid", hashed_words(F.col("t")).alias("w")))
+    held = rows.where("t IS NOT NULL").groupBy(tid.alias("tid")).agg(F.first("t").alias("t")).join(wanted, "tid")
+    held = work.table(held.select("tid", hashed_words(F.col("t")).alias("w")))
 
     def fits(a: str, b: str) -> Column:
         return (F.col(a) >= least * F.col(b)) & (F.col(b) >= least * F.col(a))
@@ -294,7 +305,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
     few = small.join(other, "bucket").where("tid < x AND comp != cx").where(fits("n", "nx")).select(*pair)
 
     large = held.join(state.where(F.col("many") > SMALL).select("tid", "comp").distinct(), "tid")
-    large = work.table(large.select("tid", "comp", "w").mapInArrow(labelled, "tid binary, comp binary, words array<bigint>"))
+    large = work.table(large.select("tid", "comp", "w").mapInArrow(labelled, "tid binary, comp binary, words array<bigint>, bits array<bigint>"))
     cells = histogram(large.select("words"))
 
     def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,18 +313,19 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
             told = [(len(w), *rare_first(w.view(np.uint64), cells, least)) for w in lists(batch.column(2))]
             many = [len(at) for _, _, at in told]
             row, n = pa.array(np.repeat(np.arange(len(told)), many)), np.repeat([n for n, _, _ in told], many)
-            word, at = np.concatenate([np.empty(0, np.uint64), *(w for _, w, _ in told)]).view(np.int64), np.concatenate([np.empty(0, np.int64), *(at for _, _, at in told)])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(n, pa.int32()), pa.array(word), pa.array(at, pa.int32())], names=["tid", "comp", "n", "word", "at"])
+            found, at = np.concatenate([np.empty(0, np.uint64), *(w for _, w, _ in told)]).view(np.int64), np.concatenate([np.empty(0, np.int64), *(at for _, _, at in told)])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(n, pa.int32()), pa.array(found), pa.array(at, pa.int32()), batch.column(3).take(row)], names=["tid", "comp", "n", "word", "at", "bits"])
 
-    rare = between_classes(work.table(large.mapInArrow(rarest, "tid binary, comp binary, n int, word bigint, at int")))
+    rare = between_classes(work.table(large.mapInArrow(rarest, "tid binary, comp binary, n int, word bigint, at int, bits array<bigint>")))
     led = verified(rare.where("comp != main").where(fits("n", "lead_n")).select(F.least("tid", "lead").alias("a"), F.greatest("tid", "lead").alias("b")).distinct())
-    rare = rare.drop("main", "lead", "lead_n").join(merged(led), "comp", "left").select("tid", F.coalesce("top", "comp").alias("comp"), "n", "word", "at")
+    rare = rare.drop("main", "lead", "lead_n").join(merged(led), "comp", "left").select("tid", F.coalesce("top", "comp").alias("comp"), "n", "word", "at", "bits")
     rare = between_classes(work.table(rare)).drop("lead", "lead_n")
-    # Texts of fitting lengths are in one band of lengths or in two that follow each other; a lower one's are sent to the next, too.
-    band = rare.withColumn("band", F.floor(F.log("n") / -np.log(least)))
-    other = band.select("word", F.explode(F.array("band", F.col("band") + 1)).alias("band"), F.col("band").alias("own"), F.col("tid").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("at").alias("ax"))
-    reach = F.least(F.col("n") - F.col("at"), F.col("nx") - F.col("ax")) >= least * F.greatest("n", "nx")  # the words in common that can follow
-    rest = band.join(other, ["word", "band"]).where("comp != cx AND (comp = main OR cx = main OR tid < x) AND (band != own OR tid < x)").where(reach).select(*pair)
+    other = rare.select("word", F.col("tid").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("at").alias("ax"), F.col("bits").alias("bx"))
+    common = least * F.greatest("n", "nx")
+    reach = F.least(F.col("n") - F.col("at"), F.col("nx") - F.col("ax")) >= common  # the words in common that can follow
+    differ = sum(F.bit_count(F.get("bits", F.lit(i)).bitwiseXOR(F.get("bx", F.lit(i)))) for i in range(PARITIES))
+    rest = rare.where("comp != main").join(other, "word").where("comp != cx AND (cx = main OR tid < x)").where(fits("n", "nx")).where(reach)
+    rest = rest.where(F.col("n") + F.col("nx") - differ >= 2 * common).select(*pair)
 
     new = verified(few.union(rest).distinct())
     joined = merged(led.union(new))

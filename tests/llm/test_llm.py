@@ -186,18 +186,20 @@ def test_histogram_counts_every_kmer(spark):
     assert not order_minhash.histogram(spark.createDataFrame([], "kmers array<bigint>")).any()
 
 
-def test_rare_first_meets_every_near_bag():
+def test_rare_first_meets_every_near_text():
     rng, counts, met = np.random.default_rng(6), np.random.default_rng(7).integers(2, 50, 64), 0
-    for _ in range(2000):
-        a = rng.permutation(200)[: int(rng.integers(1, 60))].astype(np.uint64)
-        b = np.union1d(a[rng.random(len(a)) < 0.93], rng.permutation(200)[:3].astype(np.uint64))
-        if len(np.intersect1d(a, b)) >= 0.8 * max(len(a), len(b)):
-            (x, i), (y, j) = order_minhash.rare_first(a, counts), order_minhash.rare_first(b, counts)
-            common = np.intersect1d(x, y)
-            reach = [min(len(a) - i[x == w][0], len(b) - j[y == w][0]) for w in common]
-            assert len(common) and max(reach) >= 0.8 * max(len(a), len(b))
+    for _ in range(3000):
+        a = rng.integers(0, int(rng.choice([3, 200])), int(rng.integers(1, 60)))
+        b = np.array([int(w[1:]) for w in edited(rng, [f"w{x}" for x in a], 0.2)], dtype=np.int64)
+        if len(b) and order_minhash.similarity(a, b):
+            x, y = (order_minhash.labelled_kmers(w, 1) for w in (a, b))
+            need = 0.8 * max(len(a), len(b)) - 1e-9
+            common, differ = len(np.intersect1d(x, y)), sum(int(v).bit_count() for v in (order_minhash.parities(x) ^ order_minhash.parities(y)).view(np.uint64))
+            assert need <= common <= (len(a) + len(b) - differ) / 2
+            (p, i), (q, j) = order_minhash.rare_first(x, counts), order_minhash.rare_first(y, counts)
+            assert max(min(len(x) - i[p == w][0], len(y) - j[q == w][0]) for w in np.intersect1d(p, q)) >= need
             met += 1
-    assert met > 500
+    assert met > 1000
 
 
 def test_edit_distance_equals_the_full_table():
