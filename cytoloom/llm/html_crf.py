@@ -5,14 +5,18 @@ from __future__ import annotations
 import html as entities
 import random
 import re
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Container, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cytoloom.llm.markup import Ends, Scanner
+from cytoloom.llm.shared import groups
+
 # Fixed values of HTML: elements without content, of raw text, within a line, and those that an opening tag of their kind closes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style template iframe textarea".split())
@@ -27,62 +31,120 @@ ENDS = {"select": HTML - {"hr"} | {"input", "select", "textarea"}, "svg": HTML |
 HEAD = frozenset("html head title base basefont bgsound link meta script style noscript noframes template".split())  # whatever else opens ends the head
 IMPLIED = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"\b(id|class|role|hidden|aria-hidden|itemprop)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-_NOSCRIPT = re.compile(r"<(/?)noscript(?:\s[^>]*)?>", re.I)
-_TITLE_END = re.compile(r"</title\s*>", re.I)
-_HEAD_END = re.compile(r"</head\s*>|<body[\s/>]", re.I)
 _SPACE = re.compile(r"\s+")
 _NAME = re.compile(r"[a-z]+")
 
 
 class Block:
-    """A run of text without a block-level tag in it: its words, the elements above it, and how much of it stands in links."""
+    """A run of text without a block-level tag in it: its words, the features of the elements above it, the nearest of them that isn't
+    within a line, and how much of it stands in links."""
 
-    __slots__ = ("text", "path", "linked")
+    __slots__ = ("text", "above", "own", "linked")
 
-    def __init__(self, text: str, path: tuple[tuple[str, str], ...], linked: int):
-        self.text, self.path, self.linked = text, path, linked
+    def __init__(self, text: str, above: tuple[str, ...], own: str, linked: int):
+        self.text, self.above, self.own, self.linked = text, above, own, linked
 
 
-def title_end(page: str, at: int) -> int | None:
+def title_end(ends: Ends, at: int) -> int | None:
     """Where the title whose text begins at `at` ends: its text has no tags. None: its end tag is missing, as a title before the
     head's end or the body isn't ended by one that follows them."""
-    end = _TITLE_END.search(page, at)
-    if not end or (_HEAD_END.search(page, at, end.start()) and not _HEAD_END.search(page, end.end())):
+    end, head = ends.find(r"</title\s*>", at), ends.find(r"</head\s*>|<body[\s/>]", at)
+    if not end or (head and head.end() <= end.start() and not ends.find(r"</head\s*>|<body[\s/>]", end.end())):
         return None
     return end.end()
 
 
-def raw_end(page: str, at: int, tag: str, around: str | None) -> int | None:
+def raw_end(ends: Ends, at: int, tag: str, around: str | None) -> int | None:
     """Where the raw text that begins at `at` ends, the page's end if it has no end tag. None: in `around` it has none, so it isn't raw."""
-    end = re.compile(rf"</({re.escape(tag)}{'|' + around if around else ''})\s*>", re.I).search(page, at)
+    end = ends.find(rf"</{re.escape(tag)}\s*>", at)
     if around:
-        return end.end() if end and end[1].lower() == tag else None
-    return end.end() if end else len(page)
+        outer = ends.find(rf"</{re.escape(around)}\s*>", at)
+        return end.end() if end and not (outer and outer.start() < end.start()) else None
+    return end.end() if end else len(ends.page)
 
 
-def noscript_end(page: str, at: int) -> int | None:
+def noscript_end(ends: Ends, at: int) -> int | None:
     """Where the noscript that begins at `at` ends by its own end tag. None: it has none before the next one begins."""
-    end = _NOSCRIPT.search(page, at)
+    end = ends.find(r"<(/?)noscript(?:\s[^>]*)?>", at)
     return end.end() if end and end[1] else None
 
 
-def leaf_blocks(page: str) -> list[Block]:
-    """The leaf blocks of a page in order. Broken markup is taken as it comes: unclosed elements end with the one around them."""
+class Elements:
+    """The open elements, and the features they give the text within: those of the same name count once. known: the only features of
+    interest, all if None; so what a block keeps is bounded by them, however deep it lies. An element that is taken out from among others
+    leaves an empty tag, so that no place changes."""
+
+    def __init__(self, known: Container[str] | None):
+        self.known, self.tags, self.names, self.active = known, [], [], {}
+        self.places: dict[str, list[int]] = defaultdict(list)
+        self.outer: list[int] = []  # the places of those that aren't within a line
+        self.told: tuple[str, ...] | None = ()
+
+    def push(self, tag: str, names: str = "") -> None:
+        found = [] if tag in INLINE or tag in ("html", "body") else ["t:" + tag]
+        found += ["n:" + w for w in _NAME.findall(names)]
+        found = [f for f in found if self.known is None or f in self.known]
+        self.places[tag].append(len(self.tags))
+        if tag not in INLINE:
+            self.outer.append(len(self.tags))
+        self.tags.append(tag)
+        self.names.append(found)
+        for f in found:
+            self.active[f] = self.active.get(f, 0) + 1
+            if self.active[f] == 1:
+                self.told = None
+
+    def take(self, i: int) -> None:
+        """Takes out the element at i, the last of its tag; if it isn't within a line, the last of those too."""
+        tag, self.tags[i] = self.tags[i], ""
+        self.places[tag].pop()
+        if tag not in INLINE:
+            self.outer.pop()
+        for f in self.names[i]:
+            self.active[f] -= 1
+            if not self.active[f]:
+                del self.active[f]
+                self.told = None
+        self.names[i] = []
+        while self.tags and not self.tags[-1]:
+            self.tags.pop()
+            self.names.pop()
+
+    def cut(self, i: int) -> None:
+        """Takes out all from i on."""
+        while len(self.tags) > i:
+            self.take(len(self.tags) - 1)
+
+    def last(self, tag: str) -> int | None:
+        """The place of the last open element of that tag."""
+        return self.places[tag][-1] if self.places[tag] else None
+
+    def is_open(self, *tags: str) -> bool:
+        return any(self.places[t] for t in tags)
+
+    def above(self) -> tuple[tuple[str, ...], str]:
+        if self.told is None:
+            self.told = tuple(self.active)
+        return self.told, self.tags[self.outer[-1]] if self.outer else "none"
+
+
+def leaf_blocks(page: str, known: Container[str] | None = None) -> list[Block]:
+    """The leaf blocks of a page in order. Broken markup is taken as it comes: unclosed elements end with the one around them. `known`:
+    the features of elements that blocks are to keep, all if None."""
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []  # tag, and the words of its class, id, role
+    stack, scan, ends = Elements(known), Scanner(page), Ends(page)
     parts: list[str] = []
-    linked = depth_a = at = 0
+    linked = depth_a = done = 0
     skip = 0  # the depth of the skipped element that is open, 0 without one
-    in_head, ends = False, True  # whether a head or title may be open, and whether titles have had their end tags so far
+    in_head, titles = False, True  # whether a head or title may be open, and whether titles have had their end tags so far
 
     def flush() -> None:
         nonlocal linked
         text = _SPACE.sub(" ", entities.unescape("".join(parts))).strip()
         parts.clear()
-        if text and not any(t in ("head", "title") for t, _ in stack):
-            out.append(Block(text, tuple(stack), linked))
+        if text and not stack.is_open("head", "title"):
+            out.append(Block(text, *stack.above(), linked))
         linked = 0
 
     def add(s: str) -> None:
@@ -92,127 +154,113 @@ def leaf_blocks(page: str) -> list[Block]:
             linked += len(s)
 
     def text(s: str) -> None:
-        if skip:
+        if skip or not s:
             return
-        if stack and stack[-1][0] == "head" and not s.isspace():
-            stack.pop()
+        if stack.tags and stack.tags[-1] == "head" and not s.isspace():
+            stack.cut(len(stack.tags) - 1)
         add(s)
 
-    while m := _TOKEN.search(page, at):
-        if m.start() > at:
-            text(page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or "").lower()
+    for begin, end, slash, tag, attributes in scan.tokens():
+        text(page[done:begin])
+        done = end
         if not tag:
+            if slash:
+                text("<")
             continue
-        if m[1] and skip:
-            i = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
+        alone = attributes.rstrip().endswith("/")
+        if slash and skip:
+            i = stack.last(tag)
             if i is None:
                 continue
-            del stack[max(i, skip - 1) :]
+            stack.cut(max(i, skip - 1))
             if i >= skip - 1:
                 skip *= i >= skip
                 continue
             skip = 0
-        if m[1]:
+        if slash:
             if tag in INLINE:
                 depth_a = max(0, depth_a - (tag == "a"))
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
-                        del stack[i]
-                        break
-                    if stack[i][0] not in INLINE:
-                        break
-            elif any(t == tag for t, _ in stack):
+                i = stack.last(tag)
+                if i is not None and (not stack.outer or stack.outer[-1] < i):
+                    stack.take(i)
+            elif stack.is_open(tag):
                 flush()
-                while stack.pop()[0] != tag:
-                    pass
+                stack.cut(stack.last(tag))
                 depth_a = 0
             continue
         if in_head and tag not in HEAD:
             in_head = False
-            i = next((i for i, (t, _) in enumerate(stack) if t in ("head", "title")), None)
-            if i is not None:
+            if stack.is_open("head", "title"):
+                i = min(p for t in ("head", "title") for p in stack.places[t][:1])
                 flush()
-                del stack[i:]
+                stack.cut(i)
                 skip *= skip <= i
-        if skip and tag in ENDS.get(stack[skip - 1][0], ()) and not any(t in ("foreignobject", "desc", "title") for t, _ in stack[skip:]):
+        if skip and tag in ENDS.get(stack.tags[skip - 1], ()) and not stack.is_open("foreignobject", "desc", "title"):
             again = tag == "select"
-            del stack[skip - 1 :]
+            stack.cut(skip - 1)
             skip = 0
             if again:
                 continue
-        if tag == "title" and not skip and ends and not m[3].rstrip().endswith("/"):
-            if end := title_end(page, at):
-                at = end
+        if tag == "title" and not skip and titles and not alone:
+            if place := title_end(ends, end):
+                scan.at = done = place
                 continue
-            ends = False
+            titles = False
         if tag in RAW:
-            if not m[3].rstrip().endswith("/"):
-                end = raw_end(page, at, tag, stack[skip - 1][0] if skip else None)
-                at = end or at
-                if end is None:
-                    stack.append((tag, ""))
+            if not alone:
+                place = raw_end(ends, end, tag, stack.tags[skip - 1] if skip else None)
+                if place is None:
+                    stack.push(tag)
+                else:
+                    scan.at = done = place
             continue
-        if tag == "noscript" and (end := noscript_end(page, at)):
-            at = end
+        if tag == "noscript" and (place := noscript_end(ends, end)):
+            scan.at = done = place
             continue
         if skip or tag in SKIPPED:
-            if tag not in VOID and not m[3].rstrip().endswith("/"):
-                stack.append((tag, ""))
-                skip = skip or len(stack)
+            if tag not in VOID and not alone:
+                stack.push(tag)
+                skip = skip or len(stack.tags)
             continue
         if tag not in INLINE:
             flush()
             if tag in IMPLIED:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in IMPLIED[tag]:
-                        del stack[i:]
-                        break
-                    if stack[i][0] not in INLINE and stack[i][0] not in IMPLIED:
+                for i in reversed(stack.outer if stack.is_open(*IMPLIED[tag]) else []):
+                    if stack.tags[i] in IMPLIED[tag]:
+                        stack.cut(i)
                         break
-            elif tag != "br":  # a block element ends a paragraph
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == "p":
-                        del stack[i:]
+                    if stack.tags[i] not in IMPLIED:
                         break
-                    if stack[i][0] not in INLINE:
-                        break
-        if tag in MATH and stack and stack[-1][0] in SPACED:
+            elif tag != "br" and stack.outer and stack.tags[stack.outer[-1]] == "p":  # a block element ends a paragraph
+                stack.cut(stack.outer[-1])
+        if tag in MATH and stack.tags and stack.tags[-1] in SPACED:
             add(" ")
-        if tag in VOID or m[3].rstrip().endswith("/"):
+        if tag in VOID or alone:
             if tag == "br":
                 add(" ")
             continue
         names = ""
-        if m[3]:
-            found = [(k.lower(), a or b or c) for k, a, b, c in _ATTRIBUTE.findall(m[3])]
+        if attributes:
+            found = [(k.lower(), a or b or c) for k, a, b, c in _ATTRIBUTE.findall(attributes)]
             names = " ".join([v for k, v in found if k not in ("hidden", "aria-hidden")] + ["hidden" for k, v in found if k == "hidden" or (k == "aria-hidden" and v == "true")]).lower()
         depth_a += tag == "a"
         in_head |= tag in ("head", "title")
-        stack.append((tag, names))
-    text(page[at:])
+        stack.push(tag, names)
+    text(page[done:])
     if skip:
-        del stack[skip - 1 :]
+        stack.cut(skip - 1)
     flush()
     return out
 
 
 def features(block: Block) -> list[str]:
     """Ancestor tags, the words of their classes, and what the text is like."""
-    out = ["bias"]
-    for tag, names in block.path:
-        if tag not in INLINE and tag not in ("html", "body"):
-            out.append("t:" + tag)
-        if names:
-            out += ["n:" + w for w in _NAME.findall(names)]
-    own = next((t for t, _ in reversed(block.path) if t not in INLINE), "none")
-    out.append("own:" + own)
+    out = ["bias", *block.above, "own:" + block.own]
     n, words = len(block.text), block.text.count(" ") + 1
     out += [f"words:{min(words.bit_length(), 7)}", f"links:{min(4, 5 * block.linked // max(1, n))}", "ends:" + ("mark" if block.text[-1] in ".!?…" else "none")]
     if "©" in block.text:
         out.append("sign:©")
-    return list(dict.fromkeys(out))
+    return out
 
 
 class Model:
@@ -369,7 +417,7 @@ def train(pages: list[tuple[list[Block], list[int]]] | None = None) -> Model:
 
 def main_text(model: Model, page: str | None) -> tuple[str, int, int]:
     """The main text of a page, its blocks joined by a space; how many blocks it has, and how many are main text."""
-    blocks = leaf_blocks(page or "")
+    blocks = leaf_blocks(page or "", model.weights)
     picked = [b.text for b, y in zip(blocks, model.decode([features(b) for b in blocks]), strict=True) if y]
     return " ".join(picked), len(blocks), len(picked)
 
@@ -383,10 +431,12 @@ def extract(pages: DataFrame, model: Model, html: str = "html") -> DataFrame:
     shared = pages.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_blocks", T.LongType()), T.StructField("n_main", T.LongType())])
 
-    @F.pandas_udf(schema)
-    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(schema)
+    def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pd.DataFrame([main_text(shared.value, p) for p in batch], columns=schema.names, index=batch.index)
+            found = [main_text(shared.value, p) for part in groups(batch) for p in part.to_pylist()]
+            columns = [list(c) for c in zip(*found)] or [[], [], []]
+            yield pa.StructArray.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())], names=schema.names)
 
     kept = [F.col(f"`{c}`") for c in pages.columns if c not in schema.names]
     return pages.select(*kept, decode(F.col(html)).alias("_main")).select(*kept, "_main.*")

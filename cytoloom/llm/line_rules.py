@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from cytoloom.llm.shared import SPACE, words
 
 WORD = r"[^\x20\x09-\x0D]"
-#: A line of prose closes with one of these marks, white space, quotes and brackets after it aside; looked for in the line's last 16 characters.
-CLOSED = r"[.!?…:;。！？][\"'’”»)\]\x20\x09-\x0D]*\z"
+#: A line of prose closes with one of these marks, white space, quotes and brackets after it aside, however many they are.
+MARKS, AFTER = ".!?…:;。！？", "\"'’”»)] \t\n\v\f\r"
 #: Menus, breadcrumbs and tables: at least so many separators between items.
 SEPARATOR, MOST_SEPARATORS = r"\x20[|»›•·>]\x20|\x09", 3
 #: Phrases that pages repeat whatever they are about, in lower case.
@@ -68,7 +68,7 @@ def clean(docs: DataFrame, text: str = "text", most_lost: float = 0.5) -> DataFr
     has = lambda x, parts: reduce(or_, [F.contains(x, F.lit(p)) for p in parts])
     df = df.withColumn("_low", F.lower(F.coalesce(F.col(text), F.lit(""))))
     df = df.withColumn("_b", has(F.col("_low"), BOILERPLATE + SEPARATORS + NOISE_RUNS)).drop("_low")  # most texts have none: their lines needn't be asked
-    opened = lambda x: ~F.right(F.rtrim(x), F.lit(16)).rlike(CLOSED)
+    opened = lambda x: ~F.right(F.rtrim(x, F.lit(AFTER)), F.lit(1)).isin(*MARKS)
     marked = lambda x: (F.size(F.split(x, SEPARATOR)) > MOST_SEPARATORS) | x.rlike(NOISE) | has(F.lower(x), BOILERPLATE)
     plain, asked = F.filter(F.col("_l"), lambda x: ~opened(x)), F.filter(F.col("_l"), lambda x: ~(opened(x) | marked(x)))
     df = df.withColumn("_g", F.when(F.col("_b"), asked).otherwise(plain))  # _b stands outside the lambdas, or it would be made for every line

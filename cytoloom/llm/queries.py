@@ -90,7 +90,8 @@ def _quoted(s: str) -> str:
 def _sql_line_rules() -> str:
     q, word = _quoted, _quoted(line_rules.WORD)
     phrase = " OR ".join(f"contains(lower(x), {q(p)})" for p in line_rules.BOILERPLATE)
-    fails = f"NOT regexp_matches(right(rtrim(x), 16), {q(line_rules.CLOSED)}) OR len(regexp_split_to_array(x, {q(line_rules.SEPARATOR)})) > {line_rules.MOST_SEPARATORS} OR regexp_matches(x, {q(line_rules.NOISE)}) OR {phrase}"
+    after = " || ".join(f"chr({ord(c)})" for c in line_rules.AFTER)
+    fails = f"right(rtrim(x, {after}), 1) NOT IN ({', '.join(map(q, line_rules.MARKS))}) OR len(regexp_split_to_array(x, {q(line_rules.SEPARATOR)})) > {line_rules.MOST_SEPARATORS} OR regexp_matches(x, {q(line_rules.NOISE)}) OR {phrase}"
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT rid, doc_id, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, {word})) AS l FROM d),

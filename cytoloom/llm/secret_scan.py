@@ -167,16 +167,18 @@ def spans(text: Column, rule: Rule) -> Column:
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: list[Rule] = WHOLE) -> DataFrame:
     """Adds `secrets`, an array of (start, kind, end) sorted by start and then by the rules' order, to every row, from its whole text.
 
-    Rules with mandatory trigrams verify only the candidates of the inverted index; the others scan every text. Null and empty texts
-    have no secrets; a null key is a key like others; repeated keys share their candidates, and each row is verified on its own text.
-    Other columns stay; one named secrets is replaced.
+    Rules with mandatory trigrams verify only the candidates of the inverted index; the others scan every text. The index has postings of
+    the rules' own trigrams, by a hash of key and text, so that null and repeated keys are spread like others; should two rows' hashes be
+    equal, they share their candidates, and each row is verified on its own text. Null and empty texts have no secrets. Other columns
+    stay, whatever their names; one named secrets is replaced.
     """
     queries = {r.kind: trigram_query(r.regex) for r in rules}
     dictionary = sorted({g for q in queries.values() if q for any_of in q for alt in any_of for g in alt})
-    keyed = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    found = candidates(build_index(keyed, dictionary, "_key", "_text"), rules, "_key").withColumnRenamed("_key", "_of")
-    df = docs.drop("secrets").join(found, F.col(key).eqNullSafe(F.col("_of")), "left").drop("_of")
-    order, t = {r.kind: i for i, r in enumerate(rules)}, F.coalesce(F.col(text), F.lit(""))
+    names = [c for c in docs.columns if c != "secrets"]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"), F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`")).alias("place"))
+    found = candidates(build_index(rows, dictionary, "place", "t"), rules, "place").select(F.col("place").alias("of"), "kinds")
+    df = rows.join(found, F.col("place") == F.col("of"), "left")
+    order, t = {r.kind: i for i, r in enumerate(rules)}, F.col("t")
     none = F.array().cast("array<struct<start:int,end:int,kind:string>>")
     parts = []
     for r in rules:
@@ -186,7 +188,8 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: list[R
             parts.append(F.when(t.rlike(r.regex), spans(t, r)).otherwise(none))
     rank = F.create_map(*[F.lit(x) for k, i in order.items() for x in (k, i)])
     keys = F.transform(F.concat(*parts), lambda x: F.struct(x["start"].alias("start"), rank[x["kind"]].alias("rank"), x["kind"].alias("kind"), x["end"].alias("end")))
-    return df.withColumn("secrets", F.transform(F.sort_array(keys), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))).drop("kinds")
+    found = F.transform(F.sort_array(keys), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
+    return df.select("row", found.alias("secrets")).select("row.*", "secrets")
 
 
 def redact(docs: DataFrame, text: str = "text", secrets: str = "secrets", mark: str = "[SECRET]") -> DataFrame:

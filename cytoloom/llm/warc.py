@@ -4,22 +4,50 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cytoloom.llm.markup import Ends, Scanner
+from cytoloom.llm.shared import groups
+
+VERSION = b"WARC/1."
 FIELDS = ["record_type", "record_id", "refers_to", "concurrent_to", "target_uri", "date", "content_type", "block_digest", "payload_digest", "content_length", "block"]
-_DROP = re.compile(r"<!--.*?(?:-->|$)|<(script|style|noscript|template)\b.*?(?:</\1\s*>|$)|<head\b.*?</head\s*>", re.S | re.I)
-_BREAK = re.compile(r"</?(?:p|div|br|hr|li|ul|ol|dl|dt|dd|tr|td|th|table|h[1-6]|section|article|aside|header|footer|nav|main|form|pre|blockquote|figure|figcaption|option|title|body|html)\b[^>]*>", re.I)
-_TAG = re.compile(r"<[!?/A-Za-z][^>]*(?:>|$)", re.S)
+# Fixed values of HTML: elements whose text isn't shown, those that a head may hold, and those that begin a line.
+HIDDEN = frozenset("script style noscript template".split())
+HEAD = frozenset("html head title base basefont bgsound link meta script style noscript noframes template".split())
+LINES = frozenset("p div br hr li ul ol dl dt dd tr td th table h1 h2 h3 h4 h5 h6 section article aside header footer nav main form pre blockquote figure figcaption option title body html".split())
 
 
 def plain_text(page: str | None) -> str:
-    """All visible text of a page, a line for each block: scripts, styles, comments and markup go, character references are decoded."""
-    s = _TAG.sub("", _BREAK.sub("\n", _DROP.sub(" ", page or "")))
-    return "\n".join(t for t in (" ".join(x.split()) for x in html.unescape(s).split("\n")) if t)
+    """All visible text of a page, a line for each block: scripts, styles, the head, comments and markup go, character references are
+    decoded. A head ends with its end tag or with whatever can't stand in one; a "<" that opens no tag is text."""
+    page = page or ""
+    scan, ends, out, done, head = Scanner(page), Ends(page), [], 0, False
+    for begin, end, slash, tag, _ in scan.tokens():
+        if not head or page[done:begin].strip():
+            head = False
+            out.append(page[done:begin])
+        done = end
+        if not tag:
+            out.append("<" if slash else "")
+        elif tag == "head":
+            head = not slash
+        elif head and tag == "title" and not slash:
+            if found := ends.find(r"</title\s*>", end):
+                scan.at = done = found.end()
+        elif tag in HIDDEN and not slash:
+            found = ends.find(rf"</{tag}\s*>", end)
+            scan.at = done = found.end() if found else len(page)
+        elif head and tag not in HEAD:
+            head = False
+        if not head and tag in LINES:
+            out.append("\n")
+    out.append("" if head and not page[done:].strip() else page[done:])
+    return "\n".join(t for t in (" ".join(x.split()) for x in html.unescape("".join(out)).split("\n")) if t)
 
 
 def digest(s: Column) -> Column:
@@ -62,9 +90,9 @@ def derive(source: DataFrame, keep: list[str] | None = None) -> DataFrame:
     gives an empty conversion. One pass over the rows: nothing is shuffled.
     """
 
-    @F.pandas_udf(T.StringType())
-    def text_of(pages: pd.Series) -> pd.Series:
-        return pages.map(plain_text)
+    @F.arrow_udf(T.StringType())
+    def text_of(pages: pa.Array) -> pa.Array:
+        return pa.array([plain_text(p) for part in groups(pages) for p in part.to_pylist()], pa.string())
 
     keep = keep or []
     filled = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
@@ -94,11 +122,12 @@ def derive(source: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
 
 def serialised(records: DataFrame) -> DataFrame:
-    """One column, value: each record as WARC/1.0 text, without the two line ends after it; a response's block is its http_headers and payload."""
+    """One column, value: each record as WARC/1.0 text, without the two line ends after it; a response's block is its http_headers and
+    payload. Line ends within a header's value become a space, so that no value makes a header of its own; null values are empty."""
     has = lambda c: c in records.columns
     block = F.col("block") if has("block") else F.concat("http_headers", "payload")
     optional = [("WARC-Refers-To", "refers_to"), ("WARC-Concurrent-To", "concurrent_to"), ("WARC-Target-URI", "target_uri"), ("WARC-Payload-Digest", "payload_digest")]
-    line = lambda k, c: F.concat(F.lit(f"{k}: "), F.col(c).cast("string"), F.lit("\r\n"))
+    line = lambda k, c: F.concat(F.lit(f"{k}: "), F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), r"[\r\n]+", " "), F.lit("\r\n"))
     head = [F.lit("WARC/1.0\r\n"), line("WARC-Type", "record_type"), line("WARC-Record-ID", "record_id"), line("WARC-Date", "date")]
     head += [F.when(F.coalesce(F.col(c), F.lit("")) != "", line(k, c)).otherwise(F.lit("")) for k, c in optional if has(c)]
     head += [line("WARC-Block-Digest", "block_digest"), line("Content-Type", "content_type"), line("Content-Length", "content_length"), F.lit("\r\n")]
@@ -110,15 +139,48 @@ def write(records: DataFrame, path: str, compression: str = "gzip") -> None:
     serialised(records).write.option("lineSep", "\r\n\r\n").option("compression", compression).text(path)
 
 
+def _records(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes, bool]]:
+    """Headers, block and completeness of the records whose version lines cut a file into pieces: a piece that is shorter than its
+    Content-Length says goes on in the next one, as its block holds such a line."""
+    names = ["warc-type", "warc-record-id", "warc-refers-to", "warc-concurrent-to", "warc-target-uri", "warc-date", "content-type", "warc-block-digest", "warc-payload-digest", "content-length"]
+    for piece in pieces:
+        at = piece.find(b"\r\n\r\n")
+        lines = re.sub(r"\r\n[\x20\t]+", " ", piece[: max(at, 0)].decode("utf-8", "replace")).split("\r\n")[1:]
+        head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+        size = int(head.get("content-length", "0")) if head.get("content-length", "0").isdecimal() else 0
+        block, more = bytearray(piece[at + 4 :]) if at >= 0 else bytearray(), at >= 0
+        while more and len(block) < size:
+            follows = next(pieces, None)
+            more = follows is not None
+            block += VERSION + follows if more else b""
+        yield {k: head.get(k, "") for k in names}, bytes(block[:size]), at >= 0 and len(block) >= size
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Records of WARC files of UTF-8 text: FIELDS, and http_headers and payload of responses. A file is split at the version lines;
-    a piece that is shorter than its Content-Length says, as its block holds such a line, has complete = false."""
-    raw = spark.read.option("lineSep", "WARC/1.0\r\n").text(path).where("value != ''")
-    at = F.expr("instr(value, '\\r\\n\\r\\n')")
-    df = raw.select(F.substring("value", F.lit(1), at - 1).alias("head"), F.substring(F.col("value"), at + 4, F.length("value")).alias("rest"))
-    field = lambda k: F.regexp_extract("head", rf"(?im)^{k}:[\x20\t]*([^\r\n]*)", 1)
-    names = dict(zip(FIELDS, ["WARC-Type", "WARC-Record-ID", "WARC-Refers-To", "WARC-Concurrent-To", "WARC-Target-URI", "WARC-Date", "Content-Type", "WARC-Block-Digest", "WARC-Payload-Digest", "Content-Length"]))  # noqa: B905
-    df = df.select(*[F.nullif(field(k), F.lit("")).alias(c) for c, k in names.items()], F.encode("rest", "UTF-8").alias("_b")).withColumn("content_length", F.col("content_length").try_cast("long"))
-    df = df.withColumn("block", F.decode(F.substring(F.col("_b"), F.lit(1), F.col("content_length").cast("int")), "UTF-8")).withColumn("complete", F.length("_b") == F.col("content_length") + 4).drop("_b")
-    cut, response = F.expr("instr(block, '\\r\\n\\r\\n')"), F.col("record_type") == "response"
-    return df.withColumns({"http_headers": F.when(response, F.substring(F.col("block"), F.lit(1), cut + 3)), "payload": F.when(response, F.substring(F.col("block"), cut + 4, F.length("block")))})
+    """Records of WARC files, 1.0 and 1.1: FIELDS, complete, and http_headers and payload of responses. Spark's text reader cuts a file at
+    the version lines, and pieces are put together again up to the record's Content-Length, in bytes. A record is incomplete if its file
+    ends before, or, in an uncompressed file, the part of the file that one task reads. Bytes that aren't UTF-8 become replacement signs,
+    while complete and content_length go by the bytes. Missing headers are null."""
+    raw = spark.read.option("lineSep", VERSION.decode()).text(path).where("value != ''").select(F.col("value").cast("binary").alias("value"))
+    kinds = {c: pa.int64() if c == "content_length" else pa.string() for c in FIELDS} | {"complete": pa.bool_(), "http_headers": pa.string(), "payload": pa.string()}
+    schema = ", ".join(f"{c} {'bigint' if t == pa.int64() else 'boolean' if t == pa.bool_() else 'string'}" for c, t in kinds.items())
+
+    def batch(rows: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds.values())], names=list(kinds))
+
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, waiting = [], 0
+        for head, block, whole in _records(v for b in batches for s in groups(b.column(0)) for v in s.to_pylist()):
+            text = block.decode("utf-8", "replace")
+            fields = [v or None for v in head.values()]
+            fields[-1] = int(fields[-1]) if (fields[-1] or "").isdecimal() else None
+            http = text.partition("\r\n\r\n") if head["warc-type"] == "response" else None
+            rows.append([*fields, text, whole, *((http[0] + http[1], http[2]) if http else (None, None))])
+            waiting += len(block)
+            if waiting > 1 << 22:
+                yield batch(rows)
+                rows, waiting = [], 0
+        if rows:
+            yield batch(rows)
+
+    return raw.mapInArrow(parsed, schema)

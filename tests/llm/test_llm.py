@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cytoloom.llm import cover_tree, html_crf, language_id, line_rules, mixing, order_minhash, packing, quality_knn, queries, secret_scan, warc
+from cytoloom.llm import cover_tree, html_crf, language_id, line_rules, mixing, order_minhash, packing, quality_knn, queries, secret_scan, shared, warc
 
 D = "/root/testdata/sf0.001"
 ODD = [None, "", " \n\t ", "a", "a b c", "x" * 3000, "é😀 token=abcdefgh", "12 34 !!", "same words here again " * 400, "same words here again " * 400]
@@ -34,6 +34,18 @@ def test_language(spark, docs, odd):
     assert {r.lang_pred for r in language_id.identify(odd, None).collect()} == {"und"}
 
 
+def test_samples_of_repeated_texts(spark):
+    """A language of one text in 3000 rows is learned, and repeated rows and ids add nothing to a sample."""
+    rows = [("xx", "ein Text der immer gleich ist")] * 3000 + [("yy", f"some text of number {i} and more") for i in range(3000)] + [("zz", "only here")]
+    df = spark.createDataFrame(rows, "lang string, text string")
+    got = shared.labelled_sample(df, "lang", 100, 300).toPandas().label.value_counts()
+    assert got["xx"] == 1 and got["zz"] == 1 and 60 <= got["yy"] <= 150
+    assert set(language_id.train(df).names) == {"xx", "yy", "zz"}
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(5000)] + [(2, "b")], "doc_id int, text string")
+    marks = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (None, 1), (3, None)], "doc_id int, label int")
+    assert sorted(map(tuple, shared.marked_texts(docs, marks, 10, 20).collect())) == [("b", 0), ("text 0", 1)]
+
+
 def test_quality(spark, docs, odd):
     marks = spark.read.parquet(f"{D}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
     model = quality_knn.train(docs, marks.where("doc_id % 5 <> 0"))
@@ -233,9 +245,24 @@ def test_line_rules(spark, docs, odd):
             assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words) and not (r.kept and r.base_failed)
 
 
+def test_lines_are_closed_and_lost(spark):
+    """cleaned_text, lost and kept against the rules written out, on lines with long ends."""
+    word = "word " * 11
+    lines = [word + "end.", word + 'end."' + '"' * 18, word + "end" + '"' * 18, word + "end. \t\r " + " " * 40, word + "end.)\x0b]\x0c", word + "end", "Home | About | Help | More.", "Click here now.", "bad ### text!", '"""', " . ", "多分。", word + "one" + "!" * 3]
+    closed = [True, True, False, True, True, False, False, False, False, False, True, True, False]
+    texts = ["\n".join([x, *[word + "end."] * 5]) for x in lines] + [word + "x\n" + word + "end."] + ["\n".join(lines)]
+    df = spark.createDataFrame([(i, t, "k", 1) for i, t in enumerate(texts)], "doc_id int, text string, kept string, n_words int")
+    for r in line_rules.clean(df).collect():
+        whole = [x for x in r.text.split("\n") if x.strip(" \t\n\v\f\r")]
+        left = [x for x in whole if x not in lines or closed[lines.index(x)]] if r.doc_id != len(lines) else whole[1:]
+        assert r.cleaned_text == "\n".join(left), r
+        lost = 1 - sum(map(len, left)) / sum(map(len, whole))
+        assert abs(r.lost - lost) < 1e-12 and r.kept == (not r.base_failed and r.lost <= 0.5)
+
+
 def test_secrets(spark, odd):
     texts = [*ODD, "token=abc token = \"abcdef\" PASSWORD:secret=abcdefg api_key: zzzzzzz", "AKIA" + "B" * 16 + " AKIA" + "B" * 15, "f" * 24 + " " + "f" * 23, "token=abcdef " * 600, "ghp_" + "a1" * 20, "https://me:secret9@host/x"]
-    df = spark.createDataFrame([(i % 5 or None, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, kinds string").drop("kinds")
+    df = spark.createDataFrame([(i % 5 or None, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, kinds string").withColumns({c: F.lit("x") for c in ("_of", "of", "row", "t", "place", "_key", "_text", "secrets")})
     rules = [("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 6), ("access", "AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20), ("hex", "[0-9a-f]+", lambda m: len(m[0]) >= 24)]
     for r in secret_scan.redact(secret_scan.scan(df).withColumn("was", F.col("text"))).collect():
         want = sorted((m.start(), n, k, m.end()) for n, (k, x, ok) in enumerate(rules) for m in re.finditer(x, r.was or "") if ok(m))
@@ -317,6 +344,66 @@ def test_html_formulas_and_skipped_elements():
     assert blocks("<p>One<script>no") == ["One"] and blocks("<math><mi>a</mi><math>") == ["a"] and blocks("<svg>no") == []
 
 
+def test_hostile_pages_take_time_in_proportion():
+    import time
+
+    model = html_crf.train()
+    for piece in ("<div>x", '<a href="', '<a b="x>"', "<head ", "<b><hr>", "<svg><script>", "<noscript>", "<", "<!--", "<title>", "<select><option>x", "<b><i></b>", "<p><b>", "<b><i>"):
+        for read in (lambda p: html_crf.main_text(model, p), warc.plain_text):
+            took = []
+            for n in (50_000, 400_000):
+                page = piece * (n // len(piece))
+                began = time.process_time()
+                read(page)
+                took.append(time.process_time() - began)
+            assert took[1] < 24 * took[0] + 0.5, piece
+    deep = "".join(f"<div class=c{i}>x" for i in range(20000))
+    assert sum(len(b.above) for b in html_crf.leaf_blocks(deep, model.weights)) <= 20000
+
+
+def test_pages_as_rows(spark):
+    model = html_crf.train()
+    page = "<article><h1>A long way</h1><p>Three words here.</p></article>"
+    rows = [(1, "u", page, "x", 1), (1, "u", page, "x", 1), (2, None, None, "x", 2), (None, "u", "", "x", 3), (3, "u", "<p>" * 50_000 + "é😀", "x", 4)]
+    got = html_crf.extract(spark.createDataFrame(rows, "page_id int, url string, html string, text string, n_main int"), model).collect()
+    assert [r.text for r in got[:4]] == ["A long way Three words here."] * 2 + ["", ""] and len(got) == 5 and got[0].n_blocks == 2
+    assert html_crf.extract(spark.createDataFrame([], "html string"), model).count() == 0
+
+
+def test_visible_text():
+    for page, text in (
+        ("<p>a <b and more text without close", "a <b and more text without close"),
+        ('<p title="a>b">x</p>', "x"),
+        ("<head><title>t</title><p>x", "x"),
+        ("<head><title>t</title><style>a</style></head>\n plain", "plain"),
+        ("<head>plain", "plain"),
+        ("a < b &amp; c<script>x</script> d<!-- e --><script>", "a < b & c d"),
+        ("<td>1</td><td>2</td>", "1\n2"),
+        (None, ""),
+    ):
+        assert warc.plain_text(page) == text, page
+
+
+def test_warc_of_odd_records(spark, tmp_path):
+    """Blocks with version lines in them, headers with line ends, and files written by others: 1.1, folded headers, other bytes."""
+    import gzip
+
+    bad = [(1, "http://a\r\nWARC-Type: x\r\n\r\n", "a WARC/1.0\r\nWARC/1.1\r\n\r\nb", "x"), (2, "u", "x" * 300_000, "y"), (None, None, "é", None)]
+    pages = spark.createDataFrame(bad, "page_id int, url string, html string, payload string")
+    made = warc.responses(pages)
+    warc.write(made, f"{tmp_path}/w")
+    again = {r.payload: r for r in warc.read(spark, f"{tmp_path}/w").collect()}
+    assert set(again) == {b[2] for b in bad} and all(r.complete and r.record_type == "response" for r in again.values())
+    assert again[bad[0][2]].target_uri == "http://a WARC-Type: x "[:-1]
+    body = b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n\xff\xfe WARC/1.0 in it"
+    record = lambda v, b: b"WARC/1.%d\r\nwarc-type: response\r\nWARC-Target-URI: http://x\r\n\tfolded\r\nContent-Length: %d\r\n\r\n" % (v, len(b)) + b + b"\r\n\r\n"
+    with gzip.open(tmp_path / "o.warc.gz", "wb") as f:
+        f.write(record(1, body) + record(0, body) + record(0, body)[:-20])
+    rows = warc.read(spark, str(tmp_path / "o.warc.gz")).collect()
+    assert [r.complete for r in rows] == [True, True, False] and rows[0].target_uri == "http://x folded" and rows[0].payload == "\ufffd\ufffd WARC/1.0 in it" and rows[0].http_headers == "HTTP/1.1 200 OK\r\nA: b\r\n\r\n"
+    assert warc.derive(made.limit(0)).count() == 0 and warc.derive(made, ["page_id"]).count() == 6
+
+
 def test_warc_round_trip(spark, tmp_path):
     pages = spark.read.parquet(f"{D}/pages.parquet").unionByName(spark.createDataFrame([(None, None, None), (7, "u", "")], "page_id long, url string, html string"))
     responses = warc.responses(pages)
