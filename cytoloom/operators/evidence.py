@@ -46,3 +46,19 @@ def centroid_distances(vectors: DataFrame, label: str = "label", vec: str = "emb
     df = vectors.join(c, F.col(label) == F.col("_label"))
     d = F.aggregate(F.zip_with(F.col(vec), F.col("centroid"), lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, x: s + x)
     return df.withColumn("_d", d).groupBy(label).agg(F.count("*").alias("n"), F.avg("_d").alias("mean_sq_dist"))
+
+
+def principal_scores(vectors: DataFrame, k: int, key: str = "vec_id", vec: str = "embedding") -> DataFrame:
+    """id and scores: the k leading principal components of centred vectors, each signed so that its largest loading is above 0. Only the
+    covariance of the dimensions reaches the driver. Vectors must be finite and of one length; null ones take no part."""
+    import numpy as np
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    rows = vectors.where(F.col(key).isNotNull() & F.col(vec).isNotNull()).select(F.col(key).alias("id"), array_to_vector(F.col(vec).cast("array<double>")).alias("v"))
+    model = PCA(k=k, inputCol="v", outputCol="p").fit(rows)
+    load = model.pc.toArray()
+    sign = np.sign(load[np.abs(load).argmax(0), np.arange(k)])
+    raw = model.transform(rows).select("id", vector_to_array("p").alias("p"))
+    mean = raw.agg(*[F.avg(F.col("p")[i]) for i in range(k)]).first()
+    return raw.select("id", F.array(*[(F.col("p")[i] - F.lit(float(mean[i]))) * F.lit(float(sign[i])) for i in range(k)]).alias("scores"))

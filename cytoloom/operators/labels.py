@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cytoloom.functions.values import as_group, as_vote, non_blank
 
-# Labels that stand for artifacts.
+# Labels that stand for artifacts; the reasons of a compartment plan stand in compartment_plan as they are to be given.
 ARTIFACTS = ("Low_quality", "Doublet", "Doublet_Mixed", "Mixed/Artifact")
 
 
@@ -42,10 +42,15 @@ def apply_map(df: DataFrame, by: str, mapping: DataFrame, label: str, default: s
     return df.join(m, as_group(F.col(by)) == F.col("_grp"), "left").withColumn(label, F.coalesce("_label", F.lit(default))).drop("_grp", "_label")
 
 
-def finalize(df: DataFrame, keys: Sequence[str], malignant: str | None = None, out: str = "final_annotation", prefix: str = "Malignant") -> DataFrame:
-    """The first label of keys that isn't blank, with a prefix on cells whose `malignant` column says "malignant"."""
-    base = F.coalesce(*[non_blank(F.col(k)) for k in keys], F.lit("Unassigned"))
-    return df.withColumn(out, base if malignant is None else F.when(F.col(malignant) == "malignant", F.concat_ws(" ", F.lit(prefix), base)).otherwise(base))
+def finalize(df: DataFrame, keys: Sequence[str], malignant: str = "malignancy", status: str = "cnv_status", out: str = "final_annotation", prefix: str = "Malignant", rename: Mapping[str, str] | None = None) -> DataFrame:
+    """The first label of keys that isn't blank, with a prefix on cells whose `malignant` column says "malignant" or, where there is no such
+    column, whose `status` says "tumor"; then renamed, prefix and all, where `rename` has the whole label."""
+    label = F.coalesce(*[non_blank(F.col(k)) for k in keys], F.lit("Unassigned"))
+    hit = F.col(malignant) == "malignant" if malignant in df.columns else F.col(status) == "tumor" if status in df.columns else F.lit(False)
+    label = F.when(hit, F.concat_ws(" ", F.lit(prefix), label)).otherwise(label)
+    for old, new in (rename or {}).items():
+        label = F.when(label == old, F.lit(new)).otherwise(label)
+    return df.withColumn(out, label)
 
 
 def merge_first(cells: DataFrame, sources: Sequence[DataFrame], out: str = "fine", carry: str | None = None) -> DataFrame:
@@ -59,12 +64,14 @@ def merge_first(cells: DataFrame, sources: Sequence[DataFrame], out: str = "fine
     return cells.join(first, "cell_id", "left").withColumn(out, F.coalesce("_label", rest)).drop("_label")
 
 
-def drop_artifacts(df: DataFrame, label: str, names: Sequence[str] = ARTIFACTS) -> DataFrame:
-    """Leaves out cells whose label is an artifact's, or holds its name; a null label stays."""
-    hit = F.col(label).isin(*names)
+def drop_artifacts(df: DataFrame, label: str, names: Sequence[str] = ARTIFACTS, major: str | None = None) -> DataFrame:
+    """Leaves out cells whose label is an artifact's, or holds its name, or whose `major` label is one; null labels stay."""
+    hit = F.coalesce(F.col(label).isin(*names), F.lit(False))
+    if major is not None:
+        hit = hit | F.coalesce(F.col(major).isin(*names), F.lit(False))
     for n in names:
-        hit = hit | F.contains(F.col(label), F.lit(n))
-    return df.where(~F.coalesce(hit, F.lit(False)))
+        hit = hit | F.coalesce(F.contains(F.col(label), F.lit(n)), F.lit(False))
+    return df.where(~hit)
 
 
 def dominance(df: DataFrame, group: str, category: str) -> DataFrame:
@@ -122,11 +129,33 @@ def class_scores(table: DataFrame) -> DataFrame:
 
 
 def adjusted_rand(table: DataFrame) -> DataFrame:
-    """Adjusted Rand index of a confusion table, one row (Hubert and Arabie 1985); 1 if both sides have one class."""
+    """Adjusted Rand index of a confusion table, one row (Hubert and Arabie 1985); 1 if both sides have one class, or there is one row."""
     pairs = lambda c: c * (c - 1) / 2
     n = F.col("n").cast("double")
     cell = table.agg(F.sum(pairs(n)).alias("i"), F.sum(n).alias("total"))
     side = lambda c, name: table.groupBy(c).agg(F.sum("n").cast("double").alias("s")).agg(F.sum(pairs(F.col("s"))).alias(name))
     df = cell.join(F.broadcast(side("ref", "a"))).join(F.broadcast(side("pred", "b")))
-    expected, most = F.col("a") * F.col("b") / pairs(F.col("total")), (F.col("a") + F.col("b")) / 2
-    return df.select(F.when(most == expected, F.lit(1.0)).otherwise((F.col("i") - expected) / (most - expected)).alias("ari"))
+    expected, most = F.try_divide(F.col("a") * F.col("b"), pairs(F.col("total"))), (F.col("a") + F.col("b")) / 2
+    return df.select(F.coalesce(F.try_divide(F.col("i") - expected, most - expected), F.lit(1.0)).alias("ari"))
+
+
+def reference_scores(df: DataFrame, ref: str, pred: str, mapping: Mapping[str, str] | None = None) -> DataFrame:
+    """One row: how predicted labels agree with reference ones. Rows where either is null don't count. Predictions are mapped, and matched
+    to the reference's classes whatever their case (the smallest spelling stands for all); what matches none becomes UNMATCHED::label,
+    which is wrong in accuracy and macro_f1 and left out in those of matched rows. F1 is averaged over the reference's classes; without
+    rows the scores are null."""
+    both = df.select(F.col(ref).cast("string").alias("r"), F.col(pred).cast("string").alias("p")).where("r IS NOT NULL AND p IS NOT NULL")
+    mapped = F.col("p")
+    for old, new in (mapping or {}).items():
+        mapped = F.when(F.col("p") == old, F.lit(new)).otherwise(mapped)
+    pairs = both.groupBy("r", mapped.alias("p")).agg(F.count("*").alias("n"))  # as many rows as pairs of labels from here on
+    names = pairs.groupBy(F.lower("r").alias("key")).agg(F.min("r").alias("name"))
+    known = pairs.join(names, F.lower("r") == F.col("key")).select(F.col("name").alias("ref"), "p", "n")
+    table = known.join(names, F.lower("p") == F.col("key"), "left").groupBy("ref", F.coalesce("name", F.concat(F.lit("UNMATCHED::"), F.col("p"))).alias("pred")).agg(F.sum("n").alias("n"))
+    matched = table.where(~F.col("pred").startswith("UNMATCHED::"))
+
+    def scores(t: DataFrame, end: str) -> DataFrame:
+        hit = F.sum(F.when(F.col("ref") == F.col("pred"), F.col("n")).otherwise(0))
+        return t.agg(F.coalesce(F.sum("n"), F.lit(0)).alias(f"n{end}"), F.try_divide(hit, F.sum("n")).alias(f"accuracy{end}")).join(F.broadcast(class_scores(t).agg(F.avg("f1").alias(f"macro_f1{end}"))))
+
+    return scores(table, "").join(F.broadcast(scores(matched, "_matched")))

@@ -19,7 +19,8 @@ def rank_sum(x: DataFrame, groups: DataFrame) -> DataFrame:
     """z of the rank-sum test, a row for each gene and group, without continuity or tie correction.
 
     Zeros are never made: they are one block of ties below all values. Equal values of a gene are counted by group before they are
-    ranked, so a gene that all cells have costs as many rows in one task as it has different values. Values must be above 0.
+    ranked, so a gene that all cells have costs as many rows in one task as it has different values. Values must be above 0. Where one
+    group has all cells z is null.
     """
     size = _sizes(groups)
     many = x.join(groups, "cell_id").groupBy("gene", "v", "grp").agg(F.count("*").cast("double").alias("c"))
@@ -32,19 +33,19 @@ def rank_sum(x: DataFrame, groups: DataFrame) -> DataFrame:
     df = whole.join(own, ["gene", "grp"], "left").na.fill({"s": 0.0, "k_g": 0.0})
     n, n_g, k, k_g = (F.col(c) for c in ("n", "n_g", "k", "k_g"))
     ranks = (n_g - k_g) * (n - k + 1) / 2 + F.col("s") + (n - k) * k_g
-    return df.select("gene", "grp", ((ranks - n_g * (n + 1) / 2) / F.sqrt(n_g * (n - n_g) * (n + 1) / 12)).alias("z"))
+    return df.select("gene", "grp", F.try_divide(ranks - n_g * (n + 1) / 2, F.sqrt(n_g * (n - n_g) * (n + 1) / 12)).alias("z"))
 
 
 def fractions_and_change(x: DataFrame, groups: DataFrame, epsilon: float = 1e-9) -> DataFrame:
     """Per gene and group: pct_in, pct_out (shares of cells with a value, in and out of the group), spec (their difference) and logfc,
-    log2 of the ratio of the means turned back from log1p."""
+    log2 of the ratio of the means turned back from log1p. Where one group has all cells, what compares it is null."""
     size = _sizes(groups)
     own = x.join(groups, "cell_id").groupBy("gene", "grp").agg(F.sum("v").alias("s_g"), F.count_if(F.col("v") > 0).cast("double").alias("k_g"))
     whole = own.groupBy("gene").agg(F.sum("s_g").alias("s"), F.sum("k_g").alias("k")).join(F.broadcast(size))
     df = whole.join(own, ["gene", "grp"], "left").na.fill({"s_g": 0.0, "k_g": 0.0})
     rest = F.col("n") - F.col("n_g")
-    p, q = F.col("k_g") / F.col("n_g"), (F.col("k") - F.col("k_g")) / rest
-    change = F.log2((F.expm1(F.col("s_g") / F.col("n_g")) + epsilon) / (F.expm1((F.col("s") - F.col("s_g")) / rest) + epsilon))
+    p, q = F.col("k_g") / F.col("n_g"), F.try_divide(F.col("k") - F.col("k_g"), rest)
+    change = F.log2(F.try_divide(F.expm1(F.col("s_g") / F.col("n_g")) + epsilon, F.expm1(F.try_divide(F.col("s") - F.col("s_g"), rest)) + epsilon))
     return df.select("gene", "grp", p.alias("pct_in"), q.alias("pct_out"), (p - q).alias("spec"), change.alias("logfc"))
 
 
@@ -58,12 +59,17 @@ def normal_p(z: Column) -> Column:
     return tail(z)
 
 
-def bh(df: DataFrame, p: str, by: str, tie: str) -> DataFrame:
-    """Adds padj, Benjamini and Hochberg's adjusted p within each group of `by`; equal p have one value."""
-    up = Window.partitionBy(by).orderBy(F.col(p), F.col(tie))
-    down = Window.partitionBy(by).orderBy(F.col(p).desc(), F.col(tie).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    df = df.withColumn("_r", F.row_number().over(up)).withColumn("_n", F.count(p).over(Window.partitionBy(by)))
-    return df.withColumn("padj", F.least(F.lit(1.0), F.min(F.col(p) * F.col("_n") / F.col("_r")).over(down))).drop("_r", "_n")
+def bh(df: DataFrame, p: str, by: str) -> DataFrame:
+    """Adds padj, Benjamini and Hochberg's adjusted p within each group of `by`; equal p have one value, a null or NaN p has none and
+    doesn't count. Different values are counted before they are ranked, so a group costs one task no more than its different p."""
+    v = F.when(~F.isnan(p), F.col(p))
+    values = df.select(F.col(by).alias("_by"), v.alias("_p")).where("_p IS NOT NULL").groupBy("_by", "_p").agg(F.count("*").alias("_c"))
+    w = Window.partitionBy("_by")
+    upto = F.sum("_c").over(w.orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    values = values.withColumn("_r", upto).withColumn("_n", F.sum("_c").over(w))
+    down = w.orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    values = values.withColumn("padj", F.least(F.lit(1.0), F.min(F.col("_p") * F.col("_n") / F.col("_r")).over(down)))
+    return df.drop("padj").join(values.select("_by", "_p", "padj"), F.col(by).eqNullSafe(F.col("_by")) & (v == F.col("_p")), "left").drop("_by", "_p")
 
 
 def top(df: DataFrame, by: str, score: str, n: int, tie: str = "gene") -> DataFrame:

@@ -22,11 +22,12 @@ def cell_metrics(cells: DataFrame, counts: DataFrame, families: Mapping[str, Seq
 
 
 def gene_stats(counts: DataFrame, n_cells: DataFrame) -> DataFrame:
-    """Per gene n_cells, mean and variance with the zeros that counts leaves out; n_cells: one row, one column n."""
+    """Per gene n_cells, mean and variance with the zeros that counts leaves out; n_cells: one row, one column n. The variance of one
+    cell is null."""
     per = counts.groupBy("gene").agg(F.count_if(F.col("cnt") > 0).alias("n_cells"), F.sum("cnt").alias("s"), F.sum(F.col("cnt") * F.col("cnt")).alias("q"))
     n = F.col("n").cast("double")
     mean = F.col("s") / n
-    return per.join(F.broadcast(n_cells)).select("gene", "n_cells", mean.alias("mean"), ((F.col("q") - n * mean * mean) / (n - 1)).alias("variance"))
+    return per.join(F.broadcast(n_cells)).select("gene", "n_cells", mean.alias("mean"), F.try_divide(F.col("q") - n * mean * mean, n - 1).alias("variance"))
 
 
 def quantiles(df: DataFrame, metrics: Sequence[str], at: Sequence[float] = (0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0)) -> DataFrame:
@@ -72,6 +73,11 @@ def common_genes(counts: DataFrame, min_cells: int) -> DataFrame:
 
 
 def log_normalised(counts: DataFrame, target: float = 1e4) -> DataFrame:
-    """Adds v = log1p(cnt / total of the cell * target); zeros stay left out."""
+    """Adds v = log1p(cnt / total of the cell * target); zeros stay left out, and cells of a total of 0 have 0."""
     total = counts.groupBy("cell_id").agg(F.sum("cnt").alias("_total"))
-    return counts.join(total, "cell_id").withColumn("v", F.log1p(F.col("cnt") / F.col("_total") * target)).drop("_total")
+    return counts.join(total, "cell_id").withColumn("v", F.log1p(F.coalesce(F.try_divide("cnt", "_total"), F.lit(0.0)) * target)).drop("_total")
+
+
+def sample_table(cells: DataFrame, sample: str, metrics: Sequence[str]) -> DataFrame:
+    """Of each sample: cells, and the median of each metric's finite values (null without any)."""
+    return cells.groupBy(as_group(F.col(sample)).alias("sample")).agg(F.count("*").alias("n_cells"), *[median(F.col(m)).alias(f"median_{m}") for m in metrics])

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytoloom.operators import evidence, labels, markers, qc
+from cytoloom.operators import annotation, audit, evidence, labels, markers, neighbours, qc
 from cytoloom.sources import metadata
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -160,14 +160,14 @@ def gene_owner(spark, d):
     return markers.owners(rank_sum_z(spark, d), "z")
 
 
-_P = "p AS (SELECT l_linestatus AS grp, CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS id, (l_discount + 0.001) * l_tax + l_quantity / 1000 AS p FROM lineitem)"
+_P = "p AS (SELECT l_linestatus AS grp, CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS id, CASE WHEN l_linenumber <> 5 THEN (l_discount + 0.001) * l_tax + l_quantity / 1000 END AS p FROM lineitem)"
 
 
-@query("SELECT grp, id, round(least(1, min(p * n / r) OVER (PARTITION BY grp ORDER BY p DESC, id DESC ROWS UNBOUNDED PRECEDING)), 9) AS padj FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY p, id) AS r, count(*) OVER (PARTITION BY grp) AS n FROM p)", _P)
+@query("SELECT grp, id, round(least(1, min(p * n / r) OVER (PARTITION BY grp ORDER BY p DESC, id DESC ROWS UNBOUNDED PRECEDING)), 9) AS padj FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY p, id) AS r, count(*) OVER (PARTITION BY grp) AS n FROM p WHERE p IS NOT NULL) UNION ALL SELECT grp, id, NULL FROM p WHERE p IS NULL", _P)
 def bh_adjust(spark, d):
-    p = (F.col("l_discount") + F.lit(0.001)) * F.col("l_tax") + F.col("l_quantity") / 1000
+    p = F.when(F.col("l_linenumber") != 5, (F.col("l_discount") + F.lit(0.001)) * F.col("l_tax") + F.col("l_quantity") / 1000)
     df = _t(spark, d, "lineitem").select(F.col("l_linestatus").alias("grp"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long").alias("id"), p.alias("p"))
-    return rounded(markers.bh(df, "p", "grp", "id"), "padj", digits=9).select("grp", "id", "padj")
+    return rounded(markers.bh(df, "p", "grp"), "padj", digits=9).select("grp", "id", "padj")
 
 
 _VOTE = "v AS (SELECT c_custkey AS cell_id, c_mktsegment AS a, CASE WHEN c_acctbal > 5000 THEN 'BUILDING' WHEN c_acctbal > 2000 THEN 'MACHINERY' ELSE '' END AS b, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment WHEN c_custkey % 3 = 1 THEN 'BUILDING' END AS c FROM customer)"
@@ -201,11 +201,11 @@ def label_apply(spark, d):
     return labels.apply_map(c, "grp", names, "label").select("cell_id", "label")
 
 
-@query("SELECT cell_id, CASE WHEN score < 0 THEN 'Malignant ' ELSE '' END || CASE WHEN cell_id % 4 = 0 THEN 'facs_' || lower(grp) WHEN cell_id % 4 = 1 THEN 'fine_' || lower(grp) WHEN cell_id % 4 = 2 THEN grp ELSE 'Unassigned' END AS final_annotation FROM cells", _CELLS)
+@query("SELECT cell_id, replace(final_annotation, 'Malignant facs_building', 'Malignant builder') AS final_annotation FROM (SELECT cell_id, CASE WHEN score < 0 THEN 'Malignant ' ELSE '' END || CASE WHEN cell_id % 4 = 0 THEN 'facs_' || lower(grp) WHEN cell_id % 4 = 1 THEN 'fine_' || lower(grp) WHEN cell_id % 4 = 2 THEN grp ELSE 'Unassigned' END AS final_annotation FROM cells)", _CELLS)
 def finalize_label(spark, d):
     k = F.col("cell_id") % 4
-    c = cells(spark, d).withColumns({"facs": F.when(k == 0, F.concat(F.lit("facs_"), F.lower("grp"))).otherwise("nan"), "fine": F.when(k == 1, F.concat(F.lit("fine_"), F.lower("grp"))), "major": F.when(k == 2, F.col("grp")).otherwise(" Unassigned "), "call": F.when(F.col("score") < 0, "malignant").otherwise("uncertain")})
-    return labels.finalize(c, ["facs", "fine", "major"], "call").select("cell_id", "final_annotation")
+    c = cells(spark, d).withColumns({"facs": F.when(k == 0, F.concat(F.lit("facs_"), F.lower("grp"))).otherwise("nan"), "fine": F.when(k == 1, F.concat(F.lit("fine_"), F.lower("grp"))), "major": F.when(k == 2, F.col("grp")).otherwise(" Unassigned "), "malignancy": F.when(F.col("score") < 0, "malignant").otherwise("uncertain")})
+    return labels.finalize(c, ["facs", "fine", "major"], rename={"Malignant facs_building": "Malignant builder"}).select("cell_id", "final_annotation")
 
 
 @query("SELECT cell_id, CASE WHEN cell_id % 2 = 0 THEN 'even' WHEN cell_id % 3 = 0 THEN 'three' WHEN cell_id % 5 = 0 THEN 'five' ELSE grp END AS fine FROM cells", _CELLS)
@@ -215,11 +215,11 @@ def merge_first_wins(spark, d):
     return labels.merge_first(c, [source(2, "even"), source(3, "three"), source(5, "five")], carry="grp").select("cell_id", "fine")
 
 
-@query("SELECT cell_id, label FROM (SELECT cell_id, CASE WHEN cell_id % 5 = 0 THEN 'Doublet' WHEN cell_id % 7 = 0 THEN grp || ' Low_quality' WHEN cell_id % 11 <> 0 THEN grp END AS label FROM cells) WHERE label IS NULL OR NOT (label = 'Doublet' OR contains(label, 'Low_quality'))", _CELLS)
+@query("SELECT cell_id, label FROM (SELECT cell_id, label FROM (SELECT cell_id, CASE WHEN cell_id % 5 = 0 THEN 'Doublet' WHEN cell_id % 7 = 0 THEN grp || ' Low_quality' WHEN cell_id % 11 <> 0 THEN grp END AS label FROM cells) WHERE label IS NULL OR NOT (label = 'Doublet' OR contains(label, 'Low_quality'))) WHERE cell_id % 13 <> 0", _CELLS)
 def drop_artifacts(spark, d):
     k = F.col("cell_id")
-    c = cells(spark, d).withColumn("label", F.when(k % 5 == 0, "Doublet").when(k % 7 == 0, F.concat("grp", F.lit(" Low_quality"))).when(k % 11 != 0, F.col("grp")))
-    return labels.drop_artifacts(c, "label").select("cell_id", "label")
+    c = cells(spark, d).withColumn("label", F.when(k % 5 == 0, "Doublet").when(k % 7 == 0, F.concat("grp", F.lit(" Low_quality"))).when(k % 11 != 0, F.col("grp"))).withColumn("major", F.when(k % 13 == 0, "Doublet_Mixed"))
+    return labels.drop_artifacts(c, "label", major="major").select("cell_id", "label")
 
 
 _PAIRS = "pr AS (SELECT grp, cat, c, c / sum(c) OVER (PARTITION BY grp) AS p FROM (SELECT grp, {c} AS cat, count(*) AS c FROM cells GROUP BY ALL))"
@@ -306,3 +306,163 @@ def symbol_resolve(spark, d):
 def run_log_summary(spark, d):
     e = _t(spark, d, "events")
     return e.groupBy(F.col("event_type").alias("tool")).agg(F.count("*").alias("runs"), F.count_distinct("user_id").alias("sessions"), F.round(F.avg("value"), 6).alias("mean_value"), F.max("ts").alias("last_run"))
+
+
+@query("SELECT sample, count(*) AS n_cells, median(total_counts) AS median_total_counts, CAST(median(n_genes) AS DOUBLE) AS median_n_genes, round(median(pct_mt), 6) AS median_pct_mt FROM qc GROUP BY 1", _CELLS, _COUNTS, _QC)
+def qc_sample_table(spark, d):
+    return rounded(qc.sample_table(metrics(spark, d), "sample", ["total_counts", "n_genes", "pct_mt"]), "median_pct_mt")
+
+
+_SIG = "sig AS (SELECT gene, grp, spec FROM (SELECT gene, grp, round(z, 6) AS z FROM z) JOIN (SELECT gene, grp, round(spec, 6) AS spec, round(logfc, 6) AS logfc FROM stats) USING (gene, grp) WHERE z >= 0.5 AND logfc >= 0)"
+_MARKED = (_CELLS, _COUNTS, _TOTALS, _NORM, _SIZE, _STATS, _RANKS, _SIG)
+_PANELS = """names AS (SELECT DISTINCT p_name AS gene, split_part(p_name, ' ', 1) AS one, split_part(p_name, ' ', 2) AS two FROM part),
+panels AS (SELECT one AS panel, gene, false AS negative FROM names UNION ALL SELECT p.one, n.gene, true FROM (SELECT DISTINCT one FROM names) p JOIN names n ON n.two = 'ring' AND n.one > p.one),
+psize AS (SELECT panel, count(*) FILTER (NOT negative) AS size FROM panels GROUP BY 1),
+hits AS (SELECT *, hits - negatives AS adj, hits >= 2 AS candidate, hits >= 2 AND hits - negatives >= 2 AS adjusted FROM (SELECT g.grp, s.panel, s.size, count(*) FILTER (NOT p.negative) AS hits, count(*) FILTER (p.negative) AS negatives FROM (SELECT DISTINCT grp FROM cells) g CROSS JOIN psize s LEFT JOIN sig ON sig.grp = g.grp LEFT JOIN panels p ON p.panel = s.panel AND p.gene = sig.gene GROUP BY ALL)),
+quality AS (SELECT grp, count(*) AS n_cells, median(pct_mt) AS med_mt, median(n_genes) AS med_genes FROM qc GROUP BY 1)"""
+
+
+def significant(spark, d):
+    return rank_sum_z(spark, d).join(logfc_pct(spark, d), ["gene", "grp"]).where("z >= 0.5D AND logfc >= 0D").select("gene", "grp", "spec")
+
+
+def hits(spark, d):
+    names = _t(spark, d, "part").select(F.col("p_name").alias("gene"), F.split("p_name", " ")[0].alias("one"), F.split("p_name", " ")[1].alias("two")).distinct()
+    first = names.select(F.col("one").alias("panel")).distinct()
+    against = first.join(names.where("two = 'ring'"), F.col("one") > F.col("panel")).select("panel", "gene", F.lit(True).alias("negative"))
+    return annotation.panel_hits(significant(spark, d), names.select(F.col("one").alias("panel"), "gene", F.lit(False).alias("negative")).union(against), groups(spark, d))
+
+
+@query("SELECT grp, panel, size, hits, negatives, adj, candidate, adjusted FROM hits", *_MARKED, _QC, _PANELS)
+def panel_candidates(spark, d):
+    return hits(spark, d).select("grp", "panel", "size", "hits", "negatives", "adj", "candidate", "adjusted")
+
+
+@query("""SELECT grp, CASE WHEN med_mt > 14 OR med_genes < 8 THEN 'Low_quality' WHEN n_adjusted >= 2 THEN 'Mixed/Artifact' ELSE coalesce(panel, 'Unknown') END AS label, coalesce(round(CAST(hits AS DOUBLE) / size, 3), 0) AS confidence, n_adjusted >= 2 AS conflict, med_mt > 14 OR med_genes < 8 OR n_adjusted >= 2 AS review
+FROM quality JOIN (SELECT grp, count(*) FILTER (adjusted) AS n_adjusted FROM hits GROUP BY 1) USING (grp) LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY adjusted DESC, adj DESC, hits DESC, panel) AS b FROM hits WHERE candidate) WHERE b = 1) USING (grp)""", *_MARKED, _QC, _PANELS)
+def panel_label(spark, d):
+    return annotation.panel_labels(hits(spark, d), annotation.group_quality(metrics(spark, d), "grp", "pct_mt", "n_genes"), max_mt=14.0, min_genes=8)
+
+
+@query("SELECT gene, grp, split_part(gene, ' ', 1) AS family, CAST(row_number() OVER (ORDER BY split_part(gene, ' ', 1), grp, z DESC, gene) - 1 AS INTEGER) AS place FROM (SELECT gene, grp, round(z, 6) AS z, row_number() OVER (PARTITION BY gene ORDER BY round(z, 6) DESC, grp) AS b FROM z) WHERE b = 1", _CELLS, _COUNTS, _TOTALS, _NORM, _SIZE, _RANKS)
+def panel_order(spark, d):
+    return annotation.panel_order(gene_owner(spark, d), F.split("gene", " ")[0], "z").select("gene", "grp", "family", "place")
+
+
+@query("""SELECT grp, n_cells, coalesce(n, 0) AS n_significant, coalesce(k, 0) AS n_specific, CASE WHEN med_mt > 14 OR med_genes < 8 THEN 'artifact_suspected' WHEN grp = 'BUILDING' OR n_cells < 50 OR coalesce(k, 0) < 12 THEN 'review' ELSE 'clean' END AS status,
+concat_ws(';', CASE WHEN med_mt > 14 THEN 'high_mt' END, CASE WHEN med_genes < 8 THEN 'low_genes' END, CASE WHEN grp = 'BUILDING' THEN 'single_source' END, CASE WHEN n_cells < 50 THEN 'few_cells' END, CASE WHEN coalesce(k, 0) < 12 THEN 'few_specific_markers' END) AS risks
+FROM quality LEFT JOIN (SELECT grp, count(*) AS n, count(*) FILTER (spec >= 0.01) AS k FROM sig GROUP BY 1) USING (grp)""", *_MARKED, _QC, _PANELS)
+def evidence_packet(spark, d):
+    found = significant(spark, d).withColumn("specific", F.col("spec") >= F.lit(0.01))
+    single = groups(spark, d).where("grp = 'BUILDING'").select("grp")
+    return annotation.evidence_packet(annotation.group_quality(metrics(spark, d), "grp", "pct_mt", "n_genes"), found, min_specific=12, max_mt=14.0, min_genes=8, single=single)
+
+
+_SUBS = "subs AS (SELECT *, CASE WHEN n_cells % 5 <> 0 THEN 'fine_' || lower(sample) WHEN n_cells % 2 = 0 THEN ' nan ' END AS label, CASE WHEN n_cells % 3 = 0 THEN 'facs_' || sample END AS facs, n_cells % 4 AS n_evidence, CASE WHEN batch <> 'ASIA' THEN grp END AS compartment FROM (SELECT grp || '/' || sample AS sub, grp, sample, batch, count(*) AS n_cells FROM cells GROUP BY ALL))"
+
+
+@query("""SELECT sub, CASE WHEN bare THEN 'Unassigned' WHEN tiny THEN coalesce(compartment || '_', '') || 'unresolved' ELSE label END AS fine_label, CASE WHEN NOT bare AND NOT tiny THEN facs END AS facs_label,
+CASE WHEN bare THEN 'Unassigned' WHEN tiny THEN coalesce(compartment || '_', '') || 'unresolved' ELSE coalesce(facs, label) END AS shown, bare OR tiny OR n_evidence < 2 AS review FROM (SELECT *, coalesce(trim(label) = 'nan', true) AS bare, n_cells < 8 AS tiny FROM subs)""", _CELLS, _SUBS)
+def fine_apply(spark, d):
+    n = F.col("n_cells")
+    subs = cells(spark, d).groupBy("grp", "sample", "batch").agg(F.count("*").alias("n_cells")).select(
+        F.concat_ws("/", "grp", "sample").alias("sub"), "n_cells", F.when(n % 5 != 0, F.concat(F.lit("fine_"), F.lower("sample"))).when(n % 2 == 0, " nan ").alias("label"),
+        F.when(n % 3 == 0, F.concat(F.lit("facs_"), F.col("sample"))).alias("facs"), (n % 4).alias("n_evidence"), F.when(F.col("batch") != "ASIA", F.col("grp")).alias("compartment"))
+    return annotation.apply_fine(subs, min_cells=8)
+
+
+_CHECKS = """claims AS (SELECT gene, grp FROM (SELECT gene, grp, row_number() OVER (PARTITION BY grp ORDER BY round(z, 6) DESC, gene) AS b FROM z) WHERE b <= 10 UNION ALL SELECT 'no such gene', 'BUILDING'),
+checks AS (SELECT c.grp, c.gene, CASE WHEN s.gene IS NULL THEN 'absent' ELSE concat_ws(';', CASE WHEN s.pct_in < 0.2 THEN 'pct' END, CASE WHEN s.logfc < 0.1 THEN 'lfc' END, CASE WHEN s.pct_out > 0.5 THEN 'pct_out' END, CASE WHEN s.spec < 0.01 THEN 'spec' END) END AS fails
+FROM claims c LEFT JOIN (SELECT gene, grp, round(pct_in, 6) AS pct_in, round(pct_out, 6) AS pct_out, round(spec, 6) AS spec, round(logfc, 6) AS logfc FROM stats) s ON s.gene = c.gene AND s.grp = c.grp),
+supported AS (SELECT grp, count(*) AS n_claimed, CAST(count(*) FILTER (fails = '') AS DOUBLE) / count(*) AS support FROM checks GROUP BY 1)"""
+_CHECKED = (_CELLS, _COUNTS, _TOTALS, _NORM, _SIZE, _STATS, _RANKS, _CHECKS)
+
+
+def checks(spark, d):
+    claims = top_markers(spark, d).select("grp", "gene").union(spark.sql("SELECT 'BUILDING', 'no such gene'"))
+    return audit.marker_checks(claims, logfc_pct(spark, d), min_in=0.2, min_change=0.1, min_spec=0.01)
+
+
+@query("SELECT grp, gene, fails FROM checks", *_CHECKED)
+def audit_markers(spark, d):
+    return checks(spark, d)
+
+
+@query("""SELECT grp, n_claimed, round(support, 6) AS support, concat_ws(';', CASE WHEN support < 0.5 THEN 'weak_marker_support' END, CASE WHEN sample_share >= 0.8 THEN 'single_patient_dominant' END, CASE WHEN batch_share >= 0.8 THEN 'batch_dominant' END, CASE WHEN med_mt > 25 THEN 'high_mt' END) AS flags
+FROM supported JOIN (SELECT grp, max(c) / sum(c) AS sample_share FROM (SELECT grp, sample, count(*) AS c FROM cells GROUP BY ALL) GROUP BY 1) USING (grp) JOIN (SELECT grp, max(c) / sum(c) AS batch_share FROM (SELECT grp, batch, count(*) AS c FROM cells GROUP BY ALL) GROUP BY 1) USING (grp) JOIN (SELECT grp, median(pct_mt) AS med_mt FROM qc GROUP BY 1) USING (grp)""", *_CHECKED, _QC)
+def audit_flags(spark, d):
+    c = cells(spark, d)
+    share = lambda by, name: labels.dominance(c, "grp", by).select("grp", F.col("top_share").alias(name))
+    made = share("sample", "sample_share").join(share("batch", "batch_share"), "grp").join(annotation.group_quality(metrics(spark, d), "grp", "pct_mt").drop("n_cells", "med_genes"), "grp")
+    return rounded(audit.flags(checks(spark, d), made), "support")
+
+
+@query("SELECT label, count(DISTINCT grp) AS n_clusters, count(DISTINCT grp) > 1 AS redundant, round(max(support) - min(support), 6) AS spread FROM (SELECT DISTINCT grp, CASE WHEN grp IN ('BUILDING', 'MACHINERY') THEN 'heavy' ELSE lower(grp) END AS label FROM cells) LEFT JOIN supported USING (grp) GROUP BY 1", *_CHECKED)
+def audit_granularity(spark, d):
+    names = groups(spark, d).select("grp", F.when(F.col("grp").isin("BUILDING", "MACHINERY"), "heavy").otherwise(F.lower("grp")).alias("label")).distinct()
+    support = checks(spark, d).groupBy("grp").agg((F.count_if(F.col("fails") == "") / F.count("*")).alias("support"))
+    return rounded(audit.granularity(names, support), "spread")
+
+
+@query("SELECT cell_id, CASE grp WHEN 'BUILDING' THEN 'rejected' WHEN 'MACHINERY' THEN 'refined' ELSE 'confirmed' END AS audit_status, grp = 'BUILDING' AS audit_review FROM cells", _CELLS)
+def apply_verdicts(spark, d):
+    verdicts = spark.createDataFrame([("BUILDING", "rejected", None), ("MACHINERY", "refined", False), ("none", "merged", True)], "grp string, status string, review boolean")
+    return audit.apply_verdicts(cells(spark, d), "grp", verdicts).select("cell_id", "audit_status", "audit_review")
+
+
+_DIST = "e AS (SELECT CAST(vec_id AS BIGINT) AS id, CAST(label AS VARCHAR) AS label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), far AS (SELECT a.id, a.label, b.id AS neighbour, b.label AS other, list_distance(a.v, b.v) AS d FROM e a JOIN e b ON a.id <> b.id), near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, neighbour) AS place FROM far) WHERE place <= 5)"
+
+
+@query("SELECT id, CAST(place AS INTEGER) AS place, neighbour FROM near", _DIST)
+def knn_exact(spark, d):
+    return neighbours.knn(_t(spark, d, "embeddings"), 5).select("id", "place", "neighbour")
+
+
+@query("SELECT id, label, round(coalesce((b - a) / greatest(a, b), 0), 6) AS silhouette FROM (SELECT id, label, avg(d) FILTER (other = label) AS a FROM far GROUP BY ALL) JOIN (SELECT id, min(m) AS b FROM (SELECT id, other, avg(d) AS m FROM far WHERE other <> label GROUP BY ALL) GROUP BY 1) USING (id)", _DIST)
+def silhouette(spark, d):
+    return rounded(neighbours.silhouettes(_t(spark, d, "embeddings")), "silhouette")
+
+
+@query("SELECT id, round(CAST(sum(c) * sum(c) AS DOUBLE) / sum(c * c), 6) AS lisi FROM (SELECT id, other, count(*) AS c FROM near GROUP BY ALL) GROUP BY 1", _DIST)
+def lisi(spark, d):
+    e = _t(spark, d, "embeddings")
+    return rounded(neighbours.lisi(neighbours.knn(e, 5), e.select(F.col("vec_id").alias("id"), "label")), "lisi")
+
+
+@query("SELECT cell_id, CASE WHEN grp = 'BUILDING' THEN 'construction' WHEN grp = 'MACHINERY' THEN 'engine' ELSE grp END AS relabel, sample AS alias, 'run1' AS const, grp IN ('BUILDING', 'FURNITURE') AS flag, false AS missing, CASE WHEN batch = 'ASIA' THEN 'east' ELSE 'rest' END AS side FROM cells", _CELLS)
+def meta_derive(spark, d):
+    c = cells(spark, d)
+    rules = {
+        "relabel": {"kind": "relabel", "column": "grp", "map": {"BUILDING": "construction", "MACHINERY": "engine"}}, "alias": {"kind": "alias", "column": "sample"}, "const": {"kind": "const", "value": "run1"},
+        "flag": {"kind": "isin_flag", "column": "grp", "values": ["BUILDING", "FURNITURE"]}, "missing": {"kind": "isin_flag", "column": "absent", "values": ["x"]}, "side": {"kind": "case", "cases": [({"column": "batch", "op": "eq", "value": "ASIA"}, "east")], "default": "rest"},
+    }
+    for name, rule in rules.items():
+        c = metadata.derive(c, name, rule)
+    return c.select("cell_id", *rules)
+
+
+@query("SELECT e.event_id AS decision, e.user_id AS hash, r.run, r.run IS NOT NULL AS used FROM events e LEFT JOIN (SELECT user_id, arg_min(event_id, (ts, event_id)) AS run FROM events WHERE event_type = 'click' GROUP BY 1) r USING (user_id) WHERE e.event_type = 'signup'")
+def decision_evidence_join(spark, d):
+    e = _t(spark, d, "events")
+    runs = e.where("event_type = 'click'").select(F.col("user_id").alias("hash"), F.col("event_id").alias("run"), "ts", F.struct("ts", "event_id").alias("at"))
+    return audit.evidence_of_decisions(e.where("event_type = 'signup'").select(F.col("event_id").alias("decision"), F.col("user_id").alias("hash")), runs)
+
+
+_REF = """p AS (SELECT CASE WHEN doc_id % 11 = 0 THEN upper(lang) ELSE lang END AS r, CASE WHEN doc_id % 7 = 0 THEN 'ENGLISH' WHEN doc_id % 5 = 0 THEN upper(lang) WHEN doc_id % 13 = 0 THEN 'zz' ELSE lang END AS p FROM documents),
+q AS (SELECT min(r) OVER (PARTITION BY lower(r)) AS ref, CASE WHEN p = 'ENGLISH' THEN 'en' ELSE p END AS p FROM p WHERE r IS NOT NULL AND p IS NOT NULL),
+t AS (SELECT q.ref, coalesce(k.ref, 'UNMATCHED::' || q.p) AS pred FROM q LEFT JOIN (SELECT DISTINCT ref FROM q) k ON lower(k.ref) = lower(q.p)),
+cls AS (SELECT m, ref, count(*) AS support, count(*) FILTER (ref = pred) AS hit FROM (SELECT 0 AS m, * FROM t UNION ALL SELECT 1, * FROM t WHERE NOT starts_with(pred, 'UNMATCHED::')) GROUP BY ALL),
+f AS (SELECT m, avg(2.0 * hit / (support + np)) AS f1, sum(hit) / sum(support) AS acc, sum(support) AS n FROM cls JOIN (SELECT pred, count(*) AS np FROM t GROUP BY 1) ON pred = ref GROUP BY 1)"""
+
+
+@query("SELECT CAST(a.n AS BIGINT) AS n, round(a.acc, 6) AS accuracy, round(a.f1, 6) AS macro_f1, CAST(b.n AS BIGINT) AS n_matched, round(b.acc, 6) AS accuracy_matched, round(b.f1, 6) AS macro_f1_matched FROM f a, f b WHERE a.m = 0 AND b.m = 1", _REF)
+def reference_scores(spark, d):
+    i, lang = F.col("doc_id"), F.col("lang")
+    df = _t(spark, d, "documents").select(F.when(i % 11 == 0, F.upper(lang)).otherwise(lang).alias("r"), F.when(i % 7 == 0, "ENGLISH").when(i % 5 == 0, F.upper(lang)).when(i % 13 == 0, "zz").otherwise(lang).alias("p"))
+    out = labels.reference_scores(df, "r", "p", {"ENGLISH": "en"})
+    return rounded(out, "accuracy", "macro_f1", "accuracy_matched", "macro_f1_matched")
+
+
+@query()
+def pca_scores(spark, d):
+    return evidence.principal_scores(_t(spark, d, "embeddings"), 5)

@@ -39,6 +39,29 @@ def derive_case(df: DataFrame, name: str, cases: Sequence[tuple[Mapping, str]],
     return df.withColumn(name, out)
 
 
+def derive(df: DataFrame, name: str, rule: Mapping) -> DataFrame:
+    """A column by one rule: {"kind": "alias", "column"}, {"kind": "const", "value"}, {"kind": "relabel", "column", "map", "default"} (without
+    a default the value stays), {"kind": "isin_flag", "column", "values"}, {"kind": "case", "cases", "default"}. An absent column gives null, and
+    no flag."""
+    kind = rule["kind"]
+    if kind == "case":
+        return derive_case(df, name, rule["cases"], rule.get("default"))
+    x = F.col(rule["column"]).cast("string") if rule.get("column") in df.columns else F.lit(None).cast("string")
+    if kind == "alias":
+        out = x
+    elif kind == "const":
+        out = F.lit(rule["value"])
+    elif kind == "relabel":
+        out = F.lit(rule["default"]) if "default" in rule else x
+        for old, new in rule["map"].items():
+            out = F.when(x == old, F.lit(new)).otherwise(out)
+    elif kind == "isin_flag":
+        out = F.coalesce(x.isin(*rule["values"]), F.lit(False))
+    else:
+        raise ValueError(f"unknown kind {kind!r}; known: alias, const, relabel, isin_flag, case")
+    return df.withColumn(name, out)
+
+
 def normalised(text: Column) -> Column:
     """Lower case, runs of anything but letters and digits as one space, trimmed."""
     return F.trim(F.regexp_replace(F.lower(text), "[^0-9a-z]+", " "))
@@ -62,8 +85,7 @@ def resolve_symbols(wanted: DataFrame, genes: DataFrame) -> DataFrame:
 
 def read_matrix_market(spark: SparkSession, matrix: str, barcodes: str, features: str, sample: str) -> DataFrame:
     """counts(cell_id, gene, cnt) of a MatrixMarket folder, gzip or not: genes by rows, cells by columns, numbered from 1. The two name
-    files are numbered by their line's place; the size line is the first that isn't a comment and is told by its three whole numbers
-    that equal the names' counts."""
+    files are numbered by their line's place; the size line is the first that isn't a comment."""
 
     def lines(path: str) -> DataFrame:
         rows = spark.read.text(path).withColumn("_m", F.monotonically_increasing_id())
