@@ -25,7 +25,7 @@ PARTNERS = 512
 #: Longs of a text's parities.
 PARITIES = 8
 #: Cells of the histogram that says which words are rare; it has this size however many texts there are.
-CELLS, BLOCK = 1 << 18, 1 << 12
+CELLS, BLOCK = 1 << 21, 1 << 16
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -166,33 +166,45 @@ def lists(column: pa.ListArray) -> Iterator[np.ndarray]:
     return (flat[i:j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """The cells of a block that aren't 0: their places (uint16), then their counts (int64)."""
+    at = np.flatnonzero(counts)
+    return at.astype("<u2").tobytes() + counts[at].astype("<i8").tobytes()
+
+
+def _added(packed: Iterator[bytes]) -> np.ndarray:
+    out = np.zeros(BLOCK, dtype=np.int64)
+    for b in packed:
+        n = len(b) // 10
+        out[np.frombuffer(b, "<u2", n)] += np.frombuffer(b, "<i8", n, 2 * n)
+    return out
+
+
 def counted_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The histogram of a task's labelled words (lists, in the first column), in blocks of BLOCK cells; blocks without any are left out."""
+    """The histogram of a task's labelled words (lists, in the first column), in packed blocks of BLOCK cells; empty blocks are left out."""
     cells = np.zeros(CELLS, dtype=np.int64)
     for batch in batches:
-        found = batch.column(0).flatten().to_numpy(zero_copy_only=False)
-        cells += np.bincount(found.astype(np.int64).view(np.uint64) % np.uint64(CELLS), minlength=CELLS)
-    blocks = cells.reshape(-1, BLOCK)
-    held = np.flatnonzero(blocks.any(axis=1))
-    yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(list(blocks[held]), pa.list_(pa.int64()))], names=["block", "many"])
+        found = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+        np.add.at(cells, found % np.uint64(CELLS), 1)
+    held = [(k, _packed(c)) for k, c in enumerate(cells.reshape(-1, BLOCK)) if c.any()]
+    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in held], pa.int64()), pa.array([c for _, c in held], pa.binary())], names=["block", "many"])
 
 
 def added_blocks(key: tuple[pa.Scalar, ...], blocks: pa.Table) -> pa.Table:
     """The sum of one block's counts."""
-    many = blocks["many"].combine_chunks().flatten().to_numpy().reshape(-1, BLOCK).sum(axis=0)
-    return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "many": pa.array([many], pa.list_(pa.int64()))})
+    return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "many": pa.array([_packed(_added(x.as_py() for x in blocks["many"]))], pa.binary())})
 
 
 def histogram(found: DataFrame) -> np.ndarray:
-    """Counts of CELLS cells of the labelled words (lists of longs, the only column). The tasks' histograms are added in two steps, so that no
-    group holds more than a 256th of them, and the driver gets one, whose size is fixed."""
-    schema = "block bigint, many array<bigint>"
+    """Counts of CELLS cells of the labelled words (lists of longs, the only column). The tasks' histograms are added in two steps, so that
+    no group holds more than a 256th of them, and the driver gets one, whose size is fixed."""
+    schema = "block bigint, many binary"
     some = found.mapInArrow(counted_cells, schema).withColumn("salt", F.spark_partition_id() % 256)
     told = some.groupBy("block", "salt").applyInArrow(added_blocks, schema).groupBy("block").applyInArrow(added_blocks, schema).toArrow()
     cells = np.zeros((CELLS // BLOCK, BLOCK), dtype=np.int64)
-    for block, many in zip(told["block"].to_pylist(), told["many"]):
-        cells[block] = many.values.to_numpy()
-    return cells.ravel()
+    for block, many in zip(told["block"].to_pylist(), told["many"].to_pylist()):
+        cells[block] = _added([many])
+    return np.minimum(cells.ravel(), np.iinfo(np.int32).max).astype(np.int32)
 
 
 def hashed_words(text: Column) -> Column:
