@@ -283,6 +283,11 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
     def fits(a: str, b: str) -> Column:
         return (F.col(a) >= least * F.col(b)) & (F.col(b) >= least * F.col(a))
 
+    def common(n: str, m: str, bits: str, other: str) -> Column:
+        """Whether two texts can have enough words in common, by their parities."""
+        differ = sum(F.bit_count(F.get(bits, F.lit(i)).bitwiseXOR(F.get(other, F.lit(i)))) for i in range(PARITIES))
+        return F.col(n) + F.col(m) - differ >= 2 * least * F.greatest(n, m)
+
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that are similar enough. The partners of a text that has many are dealt to several tasks, each with its words."""
         pairs = work.table(pairs)
@@ -304,9 +309,9 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
 
     def between_classes(rare: DataFrame) -> DataFrame:
         """The rows of words that texts of different classes have, with the class that has most of them, main, and a text of it, lead."""
-        each = rare.groupBy("word", "comp").agg(F.count("*").alias("c"), F.min(F.struct("tid", "n")).alias("one"))
+        each = rare.groupBy("word", "comp").agg(F.count("*").alias("c"), F.min(F.struct("tid", "n", "bits")).alias("one"))
         met = each.groupBy("word").agg(F.count("*").alias("k"), F.max(F.struct("c", "comp", "one")).alias("best")).where("k > 1")
-        met = met.select("word", F.col("best.comp").alias("main"), F.col("best.one.tid").alias("lead"), F.col("best.one.n").alias("lead_n"))
+        met = met.select("word", F.col("best.comp").alias("main"), F.col("best.one.tid").alias("lead"), F.col("best.one.n").alias("lead_n"), F.col("best.one.bits").alias("lead_bits"))
         return work.table(rare.join(met, "word"))
 
     state = work.table(posts.join(comps.withColumnRenamed("id", "tid"), "tid", "left").select("bucket", "tid", "n", F.coalesce("comp", "tid").alias("comp")))
@@ -329,15 +334,13 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
             yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(n, pa.int32()), pa.array(found), pa.array(at, pa.int32()), batch.column(3).take(row)], names=["tid", "comp", "n", "word", "at", "bits"])
 
     rare = between_classes(work.table(large.mapInArrow(rarest, "tid binary, comp binary, n int, word bigint, at int, bits array<bigint>")))
-    led = verified(rare.where("comp != main").where(fits("n", "lead_n")).select(F.least("tid", "lead").alias("a"), F.greatest("tid", "lead").alias("b")).distinct())
-    rare = rare.drop("main", "lead", "lead_n").join(merged(led), "comp", "left").select("tid", F.coalesce("top", "comp").alias("comp"), "n", "word", "at", "bits")
-    rare = between_classes(work.table(rare)).drop("lead", "lead_n")
+    led = verified(rare.where("comp != main").where(fits("n", "lead_n")).where(common("n", "lead_n", "bits", "lead_bits")).select(F.least("tid", "lead").alias("a"), F.greatest("tid", "lead").alias("b")).distinct())
+    rare = rare.drop("main", "lead", "lead_n", "lead_bits").join(merged(led), "comp", "left").select("tid", F.coalesce("top", "comp").alias("comp"), "n", "word", "at", "bits")
+    rare = between_classes(work.table(rare)).drop("lead", "lead_n", "lead_bits")
     other = rare.select("word", F.col("tid").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("at").alias("ax"), F.col("bits").alias("bx"))
-    common = least * F.greatest("n", "nx")
-    reach = F.least(F.col("n") - F.col("at"), F.col("nx") - F.col("ax")) >= common  # the words in common that can follow
-    differ = sum(F.bit_count(F.get("bits", F.lit(i)).bitwiseXOR(F.get("bx", F.lit(i)))) for i in range(PARITIES))
+    reach = F.least(F.col("n") - F.col("at"), F.col("nx") - F.col("ax")) >= least * F.greatest("n", "nx")  # the words in common that can follow
     rest = rare.where("comp != main").join(other, "word").where("comp != cx AND (cx = main OR tid < x)").where(fits("n", "nx")).where(reach)
-    rest = rest.where(F.col("n") + F.col("nx") - differ >= 2 * common).select(*pair)
+    rest = rest.where(common("n", "nx", "bits", "bx")).select(*pair)
 
     new = verified(few.union(rest).distinct())
     joined = merged(led.union(new))
