@@ -429,7 +429,57 @@ def test_top_k(spark):
         assert part.sort_values("rank").vec_id.tolist() == want
     bad = spark.createDataFrame([(1, None), (2, [1.0, None]), (3, [float("nan"), 1.0]), (4, [0.5, -0.01]), (5, [1.0, 1.0])], "vec_id long, e array<float>").select("vec_id", cover_tree.quantised(F.col("e")).alias("v"))
     assert [(r.query_id, r.vec_id, r.score) for r in cover_tree.top_k(bad, bad).orderBy("query_id").collect()] == [(4, 5, 32 * 64 - 64), (5, 4, 32 * 64 - 64)]
-    assert cover_tree.top_k(bad.limit(0), bad).count() == 0
+    assert cover_tree.top_k(bad.limit(0), bad).count() == cover_tree.top_k(bad, bad.limit(0)).count() == 0
+
+
+def _brute(x, ids, queries, k):
+    """(query, rank, id, score) by Python's whole numbers."""
+    out = []
+    for q in queries:
+        scores = [(-sum(int(a) * int(b) for a, b in zip(x[q], y)), int(i)) for i, y in zip(ids, x) if i != ids[q] and len(y) == len(x[q])]
+        out += [(int(ids[q]), r + 1, i, -s) for r, (s, i) in enumerate(sorted(scores)[:k])]
+    return sorted(out)
+
+
+def test_top_k_leaves_out_far_places(spark):
+    rng = np.random.default_rng(5)
+    x = np.repeat(rng.integers(-900, 900, (24, 8)), 60, axis=0) + rng.integers(-4, 5, (1440, 8))
+    data = spark.createDataFrame([(i, v.tolist(), "a") for i, v in enumerate(x)], "vec_id long, v array<long>, place string")
+    queries = data.where("vec_id % 20 = 0")
+    work = shared.Work(spark)
+    q, d = cover_tree.Side(queries.select(F.col("vec_id").alias("id"), "v"), 6, work), cover_tree.Side(data.select(F.col("vec_id").alias("id"), "v"), 60, work)
+    first = cover_tree.first_pairs(q, d, 20)
+    worst = {p: 0.0 for p in q.rows}  # every query has 20 rows of a positive product
+    assert len(first) + len(cover_tree.other_pairs(q, d, first, worst)) < 0.8 * len(q.rows) * len(d.rows)
+    got = sorted(map(tuple, cover_tree.top_k(queries, data, k=20, block=60, query_block=6).collect()))
+    assert got == _brute(x, range(1440), range(0, 1440, 20), 20)
+
+
+def test_top_k_odd_rows(spark):
+    x = [[3_000_000_001, 7]] * 2 + [[3_000_000_000, -5], [2_999_999_999, 11], [1, 2, 3], [2, 2, 2], [], [], [5]] + [[1, 1]] * 300
+    ids = [1, 2, 3, 4, 5, 6, 7, 8, 9] + [10] * 150 + list(range(11, 161))  # sums beyond 2^53, lengths, one key of many rows
+    data = spark.createDataFrame(list(zip(ids, x)), "vec_id long, v array<long>")
+    got = sorted(map(tuple, cover_tree.top_k(data, data, k=5, block=40, query_block=30).collect()))
+    assert got == _brute(x, ids, [i for i, n in enumerate(ids) if n not in ids[:i]], 5)
+    huge = spark.createDataFrame([(1, [1 << 40, 1]), (2, [1 << 40, 1])], "vec_id long, v array<long>")
+    with pytest.raises(Exception, match="may not fit a long"):
+        cover_tree.top_k(huge, huge).collect()
+
+
+def test_cover_tree():
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(size=(900, 3)), np.zeros((100, 3))])
+    tree, inner = cover_tree.Tree(x, 20), 0
+    for node, below in enumerate(tree.children):
+        assert np.sqrt(((x[tree.rows[node]] - tree.center[node]) ** 2).sum(1)).max() <= tree.radius[node] + 1e-9
+        if below:
+            inner += 1
+            c = np.array([tree.center[j] for j in below])
+            apart = np.sqrt(((c[:, None] - c[None]) ** 2).sum(-1))[np.triu_indices(len(c), 1)]
+            assert (apart > tree.radius[node] / 2).all()
+            assert len(below) == 16 or all(tree.radius[j] <= tree.radius[node] / 2 + 1e-9 for j in below)
+            assert sorted(np.concatenate([tree.rows[j] for j in below]).tolist()) == sorted(tree.rows[node].tolist())
+    assert inner > 5
 
 
 def test_mixing(spark, docs, odd):
