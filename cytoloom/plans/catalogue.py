@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytoloom.operators import annotation, audit, evidence, labels, markers, neighbours, qc
+from cytoloom.operators import annotation, audit, evidence, labels, markers, neighbours, profiles, qc
 from cytoloom.sources import metadata
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -466,3 +466,95 @@ def reference_scores(spark, d):
 @query()
 def pca_scores(spark, d):
     return evidence.principal_scores(_t(spark, d, "embeddings"), 5)
+
+
+_CLASSES = "classes AS (SELECT cell_id, sample || '/' || grp AS label, grp, score FROM cells)"
+
+
+def classes(spark, d):
+    return cells(spark, d).select("cell_id", F.concat_ws("/", "sample", "grp").alias("label"), "grp", "score")
+
+
+@query("SELECT cell_id, label FROM classes WHERE label IN (SELECT label FROM classes WHERE label NOT IN ('FRANCE/BUILDING', 'CHINA/MACHINERY') GROUP BY 1 HAVING count(*) >= 10)", _CELLS, _CLASSES)
+def usable_labels(spark, d):
+    return profiles.usable_labels(classes(spark, d), "label", ["FRANCE/BUILDING", "CHINA/MACHINERY"], 10).select("cell_id", "label")
+
+
+@query("SELECT grp, count(*) AS n_rows, median(score) AS median_score, round(avg(score), 6) AS mean_score, round(avg(CASE WHEN score > 9000 THEN 1 ELSE 0 END), 6) AS share_doublet FROM cells GROUP BY 1", _CELLS)
+def cluster_profile(spark, d):
+    return rounded(profiles.group_profile(cells(spark, d), "grp", ["score"], ["score"], {"doublet": F.col("score") > 9000}), "mean_score", "share_doublet")
+
+
+@query("SELECT label, count(*) AS n_rows FROM classes GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 40", _CELLS, _CLASSES)
+def label_distribution(spark, d):
+    return profiles.most_frequent(classes(spark, d), "label", 40)
+
+
+_SWEEP = "sweep AS (SELECT l_linenumber AS resolution, count(DISTINCT l_suppkey) AS n_clusters, avg(l_discount) AS silhouette, 8 - l_linenumber AS back FROM lineitem GROUP BY 1)"
+
+
+@query(
+    """SELECT 'best' AS kind, resolution, 'silhouette' AS why FROM (SELECT resolution FROM sweep WHERE n_clusters >= 2 ORDER BY round(silhouette, 9) DESC, resolution LIMIT 1)
+UNION ALL SELECT 'knee', coalesce(min(resolution) FILTER (after >= greatest(n_clusters, 1) * 1.01), min(resolution)), CASE WHEN count(*) FILTER (after >= greatest(n_clusters, 1) * 1.01) > 0 THEN 'jump' ELSE 'lowest' END
+FROM (SELECT back AS resolution, n_clusters, lead(n_clusters) OVER (ORDER BY back) AS after FROM sweep)""",
+    _SWEEP,
+)
+def suggest_resolution(spark, d):
+    sweep = _t(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("resolution")).agg(F.count_distinct("l_suppkey").alias("n_clusters"), F.round(F.avg("l_discount"), 9).alias("silhouette"))
+    bare = sweep.select((8 - F.col("resolution")).alias("resolution"), "n_clusters", F.lit(None).cast("double").alias("silhouette"))
+    best, knee = profiles.suggested_resolution(sweep), profiles.suggested_resolution(bare, 1.01)
+    return best.select(F.lit("best").alias("kind"), "*").unionByName(knee.select(F.lit("knee").alias("kind"), "*"))
+
+
+@query("SELECT suggested, round(sum(ratio) FILTER (pc <= suggested), 6) AS explained FROM (SELECT pc, ratio, CAST(max(pc) FILTER (ratio >= 0.1) OVER () AS INTEGER) AS suggested FROM (SELECT l_linenumber AS pc, count(*) / sum(count(*)) OVER () AS ratio FROM lineitem GROUP BY 1)) GROUP BY 1")
+def pca_elbow(spark, d):
+    many = _t(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("pc")).agg(F.count("*").alias("c"))
+    ratios = many.join(F.broadcast(many.agg(F.sum("c").alias("n")))).select("pc", (F.col("c") / F.col("n")).alias("ratio"))
+    return rounded(profiles.elbow(ratios, 0.1), "explained")
+
+
+@query("SELECT p_partkey, CASE WHEN k = 0 THEN p_type ELSE p_type || '-' || k END AS unique_name FROM (SELECT p_partkey, p_type, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) - 1 AS k FROM part)")
+def make_unique(spark, d):
+    return profiles.unique_names(_t(spark, d, "part"), "p_type", "p_partkey").select("p_partkey", "unique_name")
+
+
+_NAMES = "names AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'MIR' || p_partkey WHEN 1 THEN 'C1orf' || p_partkey WHEN 2 THEN 'ENSG00000' || p_partkey || '00' WHEN 3 THEN p_brand || '-AS1' ELSE p_name END AS name FROM part)"
+
+
+def names(spark, d):
+    k, p = F.col("p_partkey"), _t(spark, d, "part")
+    made = F.when(k % 5 == 0, F.concat(F.lit("MIR"), k)).when(k % 5 == 1, F.concat(F.lit("C1orf"), k)).when(k % 5 == 2, F.concat(F.lit("ENSG00000"), k, F.lit("00")))
+    return p.select("p_partkey", made.when(k % 5 == 3, F.concat("p_brand", F.lit("-AS1"))).otherwise(F.col("p_name")).alias("name"))
+
+
+@query(
+    f"""SELECT p_partkey, name, CASE WHEN regexp_matches(name, '{profiles.NONCODING}') OR contains(lower(name), 'orf') OR contains(name, '-AS') THEN 'noncoding/clone' ELSE 'other' END AS kind,
+coalesce(nullif(regexp_replace(regexp_replace(name, '[^0-9A-Za-z]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'compartment') AS slug FROM names""",
+    _NAMES,
+)
+def name_classes(spark, d):
+    return names(spark, d).select("p_partkey", "name", profiles.unmapped_class(F.col("name")).alias("kind"), profiles.slug(F.col("name")).alias("slug"))
+
+
+@query(f"SELECT round(avg(CASE WHEN regexp_matches(name, '{profiles.ENSEMBL}') THEN 1 ELSE 0 END), 6) AS share, avg(CASE WHEN regexp_matches(name, '{profiles.ENSEMBL}') THEN 1 ELSE 0 END) >= 0.5 AS by_id FROM names", _NAMES)
+def id_share(spark, d):
+    return rounded(profiles.id_share(names(spark, d), "name"), "share")
+
+
+@query("SELECT gene, grp, round(spec, 6) AS spec, place FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY round(spec, 9) DESC, gene) - 1 AS place FROM stats) WHERE place < 8", _CELLS, _COUNTS, _TOTALS, _NORM, _SIZE, _STATS)
+def top_specific(spark, d):
+    stats = markers.fractions_and_change(normalised(spark, d), groups(spark, d)).withColumn("spec", F.round("spec", 9))
+    return rounded(markers.top(stats, "grp", "spec", 8), "spec").select("gene", "grp", "spec", "place")
+
+
+@query(
+    r"""SELECT label, gene, min(place) AS place FROM (SELECT label, place, arg_min(gene, try) AS gene FROM (SELECT label, place, unnest([0, 1]) AS try, unnest([upper(w), upper(regexp_replace(w, '(?i)(high|low|hi|lo|-)$', ''))]) AS key
+FROM (SELECT label, generate_subscripts(w, 1) - 1 AS place, unnest(w) AS w FROM (SELECT label, regexp_split_to_array(label, '[^A-Za-z0-9\-]+') AS w FROM tagged)) WHERE w <> '') JOIN known USING (key) GROUP BY ALL) GROUP BY ALL""",
+    _CELLS,
+    "tagged AS (SELECT DISTINCT sample || 'hi+ ' || lower(grp) || '/low ' || batch AS label FROM cells)",
+    "known AS (SELECT DISTINCT n_name AS gene, n_name AS key FROM nation UNION SELECT DISTINCT c_mktsegment, c_mktsegment FROM customer)",
+)
+def label_genes(spark, d):
+    tagged = cells(spark, d).select(F.concat("sample", F.lit("hi+ "), F.lower("grp"), F.lit("/low "), "batch").alias("label"))
+    genes = _t(spark, d, "nation").select(F.col("n_name").alias("gene")).union(_t(spark, d, "customer").select("c_mktsegment"))
+    return profiles.label_genes(tagged, "label", genes)
