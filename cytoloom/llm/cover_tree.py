@@ -22,7 +22,8 @@ class Tree:
 
     Centers are rows. Children's centers are more than half their parent's radius apart (separation), all rows of a node are within its
     radius (covering), and a child's radius is at most half its parent's, unless 16 centers don't cover the parent so far: then the rows
-    left go to the nearest of them, and the next level covers them. Nodes of at most `leaf` rows, or of equal rows, are leaves."""
+    left go to the nearest of them, and the next level covers them. Where one of the centers would still get over 3/4 of the rows (as in
+    many dimensions), the node is cut into leaves of rows by their distance from its own center instead, so the depth stays small. Nodes of at most `leaf` rows, or of equal rows, are leaves."""
 
     def __init__(self, x: np.ndarray, leaf: int):
         self.x, self.leaf, self.center, self.radius, self.children, self.rows = x, leaf, [], [], [], []
@@ -44,6 +45,10 @@ class Tree:
             d = np.sqrt(((self.x[rows] - self.x[picked[-1]]) ** 2).sum(1))
             closer = d < nearest
             owner[closer], nearest = len(picked) - 1, np.minimum(nearest, d)
+        if np.bincount(owner).max() > 0.75 * len(rows):
+            order = rows[np.argsort(far, kind="stable")]
+            self.children[node] += [self._grow(order[at : at + self.leaf], center) for at in range(0, len(rows), self.leaf)]
+            return node
         for c, at in enumerate(picked):
             self.children[node].append(self._grow(rows[owner == c], at))
         return node

@@ -476,10 +476,14 @@ def test_cover_tree():
             inner += 1
             c = np.array([tree.center[j] for j in below])
             apart = np.sqrt(((c[:, None] - c[None]) ** 2).sum(-1))[np.triu_indices(len(c), 1)]
-            assert (apart > tree.radius[node] / 2).all()
-            assert len(below) == 16 or all(tree.radius[j] <= tree.radius[node] / 2 + 1e-9 for j in below)
+            shells = not apart.any()
+            assert shells or (apart > tree.radius[node] / 2).all()
+            assert shells or len(below) == 16 or all(tree.radius[j] <= tree.radius[node] / 2 + 1e-9 for j in below)
             assert sorted(np.concatenate([tree.rows[j] for j in below]).tolist()) == sorted(tree.rows[node].tolist())
     assert inner > 5
+    x = rng.integers(-90, 90, (20000, 48))  # hardly divided by any centers
+    rows, ids, scores = cover_tree.dual_search(x[:40], np.arange(40), x, np.arange(20000), 3)
+    assert sorted(scores[rows == 7].tolist()) == sorted(np.delete(x @ x[7], 7).tolist())[-3:]
 
 
 def test_mixing(spark, docs, odd):
