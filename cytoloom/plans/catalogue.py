@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytoloom.operators import annotation, audit, evidence, labels, markers, neighbours, profiles, qc
+from cytoloom.operators import annotation, audit, evidence, labels, markers, neighbours, profiles, qc, selection
 from cytoloom.sources import metadata
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -558,3 +558,51 @@ def label_genes(spark, d):
     tagged = cells(spark, d).select(F.concat("sample", F.lit("hi+ "), F.lower("grp"), F.lit("/low "), "batch").alias("label"))
     genes = _t(spark, d, "nation").select(F.col("n_name").alias("gene")).union(_t(spark, d, "customer").select("c_mktsegment"))
     return profiles.label_genes(tagged, "label", genes)
+
+
+@query("""WITH r AS (SELECT sample, CASE WHEN score > 9000 THEN 1 ELSE 0 END AS hit, CASE WHEN score > 0 THEN 1 ELSE 0 END AS scored FROM cells)
+SELECT sample, count(*) AS n_cells, CAST(sum(scored) AS BIGINT) AS n_scored, round(avg(hit), 6) AS rate FROM r GROUP BY 1
+UNION ALL SELECT NULL, count(*), CAST(sum(scored) AS BIGINT), round(avg(hit) FILTER (scored = 1), 6) FROM r""".replace("WITH r AS", "SELECT * FROM (WITH r AS") + ")", _CELLS)
+def doublet_rates(spark, d):
+    scored = cells(spark, d).withColumn("score", F.when(F.col("score") > 0, F.col("score")))
+    return rounded(selection.doublet_rates(scored, "sample", F.col("score") > 9000, "score"), "rate")
+
+
+@query("SELECT 'm' AS metric, min(m) AS low, median(m) AS mid, max(m) AS high FROM (SELECT median(score) AS m FROM cells GROUP BY sample)", _CELLS)
+def sample_spread(spark, d):
+    return selection.spread(qc.sample_table(cells(spark, d), "sample", ["score"]).select(F.col("median_score").alias("m")), ["m"])
+
+
+@query("SELECT * FROM (SELECT p_brand AS label, count(DISTINCT p_partkey) AS n_clusters, min(p_retailprice) AS support_min, max(p_retailprice) AS support_max, round(max(p_retailprice) - min(p_retailprice), 3) AS support_spread FROM part GROUP BY 1) WHERE n_clusters >= 2")
+def label_support(spark, d):
+    return selection.label_support(_t(spark, d, "part").select(F.col("p_partkey").alias("cluster"), F.col("p_brand").alias("label"), F.col("p_retailprice").alias("support")))
+
+
+_SCORED = "scored AS (SELECT r_name AS embedding, min(n_nationkey) AS batch_score, min(n_nationkey) AS bio_score FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1)"
+
+
+@query("SELECT embedding FROM (SELECT embedding, rank() OVER (ORDER BY batch_score DESC) AS b, count(*) OVER (PARTITION BY batch_score) AS nb, rank() OVER (ORDER BY 0 - bio_score) AS w, count(*) OVER (PARTITION BY bio_score) AS nw, count(*) OVER () AS n FROM scored) WHERE b = 1 AND nb = 1 AND w = 1 AND nw = 1 AND n > 1", _SCORED)
+def over_corrected(spark, d):
+    table = _t(spark, d, "nation").join(_t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy(F.col("r_name").alias("embedding")).agg(F.min("n_nationkey").alias("batch_score"))
+    return selection.over_corrected(table.withColumn("bio_score", -F.col("batch_score")))
+
+
+@query()
+def variable_genes(spark, d):
+    return rounded(selection.variable_genes(counts(spark, d), cells(spark, d), 50, "batch"), "score")
+
+
+@query(
+    """SELECT cell_id, round(coalesce(sum(v) FILTER (own), 0) / any_value(no) - coalesce(coalesce(sum(v) FILTER (NOT own), 0) / nullif(any_value(nc), 0), 0), 6) AS score
+FROM (SELECT c.cell_id, own, v, (SELECT count(*) FROM used WHERE own) AS no, (SELECT count(*) FROM used WHERE NOT own) AS nc FROM cells c LEFT JOIN (SELECT cell_id, own, v FROM x JOIN used USING (gene)) USING (cell_id)) GROUP BY 1""",
+    _CELLS, _COUNTS, _TOTALS, _NORM,
+    "part_of AS (SELECT gene, own, ntile(25) OVER (ORDER BY s, gene) AS part FROM (SELECT gene, round(sum(v), 6) AS s, gene IN ('blue anvil', 'blue bolt', 'no such gene') AS own FROM x GROUP BY 1))",
+    "used AS (SELECT gene, own FROM part_of WHERE own UNION ALL SELECT gene, own FROM (SELECT gene, own, row_number() OVER (PARTITION BY part ORDER BY md5(gene)) AS k FROM part_of WHERE NOT own AND part IN (SELECT part FROM part_of WHERE own)) WHERE k <= 15)",
+)
+def gene_set_score(spark, d):
+    return rounded(selection.set_scores(normalised(spark, d), cells(spark, d), ["blue anvil", "blue bolt", "no such gene"]), "score")
+
+
+@query()
+def ami(spark, d):
+    return rounded(selection.adjusted_mutual(labels.confusion(_t(spark, d, "labels"), "quality", "toxic")), "ami", digits=9)
