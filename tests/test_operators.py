@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cytoloom.operators import annotation, audit, evidence, labels, markers, neighbours, qc
 from cytoloom.sources import metadata
@@ -43,7 +44,7 @@ def test_one_group_one_cell_one_row(spark):
     assert qc.gene_stats(counts, spark.createDataFrame([(1,)], "n long")).first().variance is None
     assert [round(r.v, 6) for r in qc.log_normalised(counts).orderBy("cell_id").collect()] == [0.0, round(float(np.log1p(1e4)), 6)]
     assert labels.adjusted_rand(labels.confusion(spark.createDataFrame([("a", "b")], "r string, p string"), "r", "p")).first().ari == 1
-    z = markers.normal_p(spark.createDataFrame([(1.959963984540054,), (None,), (0.0,)], "z double").z)
+    z = markers.normal_p(F.col("z"))
     got = [r[0] for r in spark.createDataFrame([(1.959963984540054,), (None,), (0.0,)], "z double").select(z).collect()]
     assert abs(got[0] - 0.05) < 1e-12 and got[1:] == [None, 1.0]
 
