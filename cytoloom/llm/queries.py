@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytoloom.llm import cover_tree, html_crf, language_id, line_rules, mixing, order_minhash, packing, quality_knn, secret_scan, warc
+from cytoloom.llm import collocations, cover_tree, html_crf, language_id, line_rules, mixing, order_minhash, packing, permutation_index, prefix_trie, quality_knn, secret_scan, warc
 from cytoloom.llm.shared import crc_mod
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -80,7 +80,20 @@ def op10_language_ecoc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_knn, op2_packing_dp, op3_order_minhash, op4_warc_derivatives, op5_line_rules, op6_mixing_rates, op7_secret_scan, op8_html_crf, op9_cover_tree, op10_language_ecoc)}
+def op11_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return permutation_index.search(data.where("vec_id % 100 = 0"), data, k=10)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"), max_n=4, least=30, inside=80, top=2000)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_knn, op2_packing_dp, op3_order_minhash, op4_warc_derivatives, op5_line_rules, op6_mixing_rates, op7_secret_scan, op8_html_crf, op9_cover_tree, op10_language_ecoc, op11_permutation_index, op12_prefix_trie, op13_collocations)}
 
 
 def _quoted(s: str) -> str:
@@ -134,4 +147,39 @@ p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) A
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM p)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20"""
 
-ORACLE_SQL = {"op5_line_rules": _sql_line_rules(), "op7_secret_scan": _sql_secret_scan(), "op9_cover_tree": _SQL_COVER_TREE}
+# The crc32 of a short text: its bytes one after the other, and of each byte eight bits.
+_SQL_PREFIX_TRIE = """
+WITH RECURSIVE t AS (SELECT CAST(conv_id AS BIGINT) AS c, turn, sha256(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS k,
+  CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS w FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT c, k, w, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, k) AS r FROM t),
+crc AS (SELECT c, CAST(c AS VARCHAR) AS x, 1 AS i, CAST(4294967295 AS BIGINT) AS v, 0 AS bit FROM (SELECT DISTINCT c FROM o)
+  UNION ALL SELECT c, x, i + bit // 8, CASE WHEN bit = 8 THEN v ELSE xor(u >> 1, 3988292384 * (u & 1)) END, CASE WHEN bit = 8 THEN 0 ELSE bit + 1 END
+  FROM (SELECT *, CASE WHEN bit = 0 THEN xor(v, CAST(ascii(x[i]) AS BIGINT)) ELSE v END AS u FROM crc WHERE i <= length(x))),
+h AS (SELECT c, xor(v, 4294967295) % 4 AS h FROM crc WHERE i > length(x)),
+s AS (SELECT h.c, h, least(h, coalesce(n, 0)) AS given FROM h LEFT JOIN (SELECT c AS base, count(*) AS n FROM o GROUP BY 1) ON base = h.c - h.c % 20),
+b AS (SELECT s.c, r - h + given AS d, k, w FROM s JOIN o ON o.c = s.c AND r > h UNION ALL SELECT s.c, r, k, w FROM s JOIN o ON o.c = s.c - s.c % 20 AND r <= given),
+p AS (SELECT c, d, w, string_agg(k, '') OVER (PARTITION BY c ORDER BY d) AS node, coalesce(string_agg(k, '') OVER (PARTITION BY c ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS up FROM b
+  UNION ALL SELECT c, 0, 0, '', NULL FROM s),
+n AS (SELECT node, d AS depth, any_value(up) AS up, min(c) AS conv_id, count(*) AS n_convs, any_value(w) AS w FROM p GROUP BY ALL),
+kids AS (SELECT up AS node, count(*) AS n_children FROM n WHERE up IS NOT NULL GROUP BY 1),
+e AS (SELECT node, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c)) AS ends_sha256 FROM (SELECT c, arg_max(node, d) AS node FROM p GROUP BY 1) GROUP BY 1),
+below AS (SELECT a.node, count(*) FILTER (kids.node IS NULL) AS n_leaves, sum((n_convs - 1) * n.w) AS saved_tokens FROM n JOIN p a ON a.c = n.conv_id AND a.d <= n.depth LEFT JOIN kids ON kids.node = n.node GROUP BY 1)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, m.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, coalesce(ends_sha256, sha256('')) AS ends_sha256
+FROM n JOIN below ON below.node = n.node LEFT JOIN kids ON kids.node = n.node LEFT JOIN e ON e.node = n.node LEFT JOIN n m ON m.node = n.up"""
+
+_SQL_COLLOCATIONS = """
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]')), '[^\\x20\\x09]+') AS w FROM d),
+g AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM p),
+f AS (SELECT lang, size, phrase, count(*) AS f FROM (SELECT lang, size, array_to_string(w[i:i + size - 1], ' ') AS phrase FROM g, (SELECT unnest([1, 2, 3, 4]) AS size) WHERE i + size - 1 <= len(w)) GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY 1),
+c AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE size > 1 AND f >= 30),
+cut AS (SELECT lang, size, phrase, a, k, array_to_string(w[1:k], ' ') AS x, array_to_string(w[k + 1:size], ' ') AS y FROM c, (SELECT unnest([1, 2, 3]) AS k) WHERE k < size),
+s AS (SELECT cut.lang, cut.phrase, a, k, l.f AS l, r.f AS r, CAST(CAST(2000000 AS HUGEINT) * a // (l.f + r.f) AS BIGINT) AS score FROM cut JOIN f l ON l.lang = cut.lang AND l.phrase = x JOIN f r ON r.lang = cut.lang AND r.phrase = y),
+best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_ AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS most FROM c, (SELECT unnest([1, 2, 3]) AS i), (SELECT unnest([2, 3]) AS m) WHERE m < size AND i + m - 1 <= size GROUP BY ALL),
+kept AS (SELECT best.* FROM best LEFT JOIN inner_ ON inner_.lang = best.lang AND inner_.phrase = best.phrase WHERE most IS NULL OR 100 * most < 80 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT ranked.lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n ON n.lang = ranked.lang WHERE rank <= 2000"""
+
+ORACLE_SQL = {"op5_line_rules": _sql_line_rules(), "op7_secret_scan": _sql_secret_scan(), "op9_cover_tree": _SQL_COVER_TREE, "op12_prefix_trie": _SQL_PREFIX_TRIE, "op13_collocations": _SQL_COLLOCATIONS}
