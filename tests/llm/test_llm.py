@@ -157,14 +157,14 @@ def test_near_duplicates_of_no_rows(spark, docs):
 def test_stated_recall_of_candidates():
     """Share of pairs that share a sketch, by the share of words changed at random."""
     rng = np.random.default_rng(8)
-    for share, n, least in ((0.05, 100, 0.999), (0.1, 100, 0.99), (0.15, 300, 0.96), (0.2, 1000, 0.88), (0.1, 20, 0.95)):
+    for share, n, least in ((0.05, 100, 0.999), (0.1, 100, 0.99), (0.15, 300, 0.96), (0.2, 1000, 0.9), (0.1, 20, 0.99)):
         met = 0
         for _ in range(400):
             a = rng.integers(-(1 << 63), (1 << 63) - 1, n, dtype=np.int64)
             b = a.copy()
             at = rng.choice(n, int(share * n), replace=False)
             b[at] = rng.integers(-(1 << 63), (1 << 63) - 1, len(at), dtype=np.int64)
-            met += (order_minhash.sketches(a) == order_minhash.sketches(b)).any()
+            met += np.isin(order_minhash.sketches(a), order_minhash.sketches(b)).any()
         assert met >= least * 400, (share, n, met)
 
 

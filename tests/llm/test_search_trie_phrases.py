@@ -241,3 +241,28 @@ def test_phrases_empty_null_and_clashing_columns(spark):
     names = ("size", "phrase", "f", "c", "a", "l", "r", "n", "score", "rank", "part", "place", "w", "k", "left", "right", "of", "within")
     assert mined(df.selectExpr("*", *[f"9 AS `{c}`" for c in names]), least=3) == want and want[0][0] == "und"
     assert mined(df.where("false")) == [] == mined(df.where("text IS NULL"))
+
+
+# ---- near copies of short texts -----------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("n,changed", [(5, 1), (6, 1), (10, 2), (12, 2), (15, 3), (20, 4), (30, 6), (40, 8), (60, 12)])
+def test_short_near_copies_share_a_sketch(n, changed):
+    """Of pairs of the least similarity that counts, by length, at least nine in ten are candidates."""
+    from cytoloom.llm import order_minhash
+
+    rng, met = np.random.default_rng(n), 0
+    for _ in range(300):
+        a = rng.integers(1 << 62, size=n)
+        b = a.copy()
+        b[rng.choice(n, changed, replace=False)] = rng.integers(1 << 62, size=changed)
+        met += bool(np.isin(order_minhash.sketches(a), order_minhash.sketches(b)).any())
+    assert met >= 270
+
+
+def test_short_near_copies_are_one_class(spark):
+    from cytoloom.llm import order_minhash
+
+    rows = [(1, "one two three four five"), (2, "one two other four five"), (3, "a b c d e f g h i j"), (4, "a b c X e f g Y i j"), (5, "one two or four and"), (6, "j i h g f e d c b a")]
+    got = {r.doc_id: r.class_id for r in order_minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 6}
