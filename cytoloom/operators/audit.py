@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cytoloom.functions.values import as_group
 
 # The statuses of a verdict.
-STATUSES = ("confirmed", "refined", "merged", "rejected", "uncertain")
+STATUSES = ("confirmed", "suspect", "refuted")
 
 
 def marker_checks(claims: DataFrame, stats: DataFrame, min_in: float = 0.25, min_change: float = 1.0, max_out: float = 0.5, min_spec: float = 0.1, max_p: float = 0.05) -> DataFrame:
@@ -23,10 +23,15 @@ def marker_checks(claims: DataFrame, stats: DataFrame, min_in: float = 0.25, min
 
 def flags(checks: DataFrame, composition: DataFrame) -> DataFrame:
     """Support (the share of claimed markers that hold, null without claims) and flags of each group, joined by ";" in a fixed order.
-    composition: grp, sample_share, batch_share, doublet_share, med_mt; those that are null raise no flag."""
+    composition: grp, sample_share, batch_share, doublet_share, med_mt and, where calls were made, malignant; those that are null raise no flag.
+    A group called malignant is flagged where there is no column cnv_burden, or where its burden isn't above cnv_baseline."""
     support = checks.groupBy("grp").agg(F.count("*").alias("n_claimed"), F.count_if(F.col("fails") == "").alias("n_held"))
     df = composition.join(support, "grp", "left").withColumn("support", F.try_divide("n_held", "n_claimed"))
+    # The names of flags.
     named = ((F.col("support") < 0.5, "weak_marker_support"), (F.col("sample_share") >= 0.8, "single_patient_dominant"), (F.col("batch_share") >= 0.8, "batch_dominant"), (F.col("doublet_share") >= 0.5, "doublet_dominated"), (F.col("med_mt") > 25, "high_mt"))
+    if "malignant" in composition.columns:
+        called = F.col("malignant")
+        named += ((called & (F.col("cnv_burden") <= F.col("cnv_baseline")), "malignant_low_cnv_burden"),) if "cnv_burden" in composition.columns else ((called, "malignant_without_cnv"),)
     told = F.array_join(F.array_compact(F.array(*[F.when(c, n) for c, n in named])), ";")
     return df.select("grp", F.coalesce("n_claimed", F.lit(0)).alias("n_claimed"), "support", told.alias("flags"))
 

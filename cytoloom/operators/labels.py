@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cytoloom.functions.values import as_group, as_vote, non_blank
+from cytoloom.functions.values import as_group, as_vote, finite, non_blank
 
 # Labels that stand for artifacts; the reasons of a compartment plan stand in compartment_plan as they are to be given.
 ARTIFACTS = ("Low_quality", "Doublet", "Doublet_Mixed", "Mixed/Artifact")
@@ -42,6 +42,30 @@ def apply_map(df: DataFrame, by: str, mapping: DataFrame, label: str, default: s
     return df.join(m, as_group(F.col(by)) == F.col("_grp"), "left").withColumn(label, F.coalesce("_label", F.lit(default))).drop("_grp", "_label")
 
 
+def apply_annotation(df: DataFrame, by: str, calls: DataFrame, label: str = "major_cell_type", default: str = "Unassigned") -> DataFrame:
+    """Adds `label`, `label`_confidence, `label`_review_required and cell_state from calls(grp, label, confidence, review, state), a row for
+    each group at most. Groups without a call, and null parts of one, get the default label, no confidence, no review and the state ""."""
+    m = calls.select(F.col("grp").alias("_grp"), F.struct(*[F.col(c) for c in ("label", "confidence", "review", "state")]).alias("_call"))
+    told = {label: F.coalesce("_call.label", F.lit(default)), f"{label}_confidence": finite(F.col("_call.confidence")), f"{label}_review_required": F.coalesce("_call.review", F.lit(False)), "cell_state": F.coalesce("_call.state", F.lit(""))}
+    return df.join(m, as_group(F.col(by)) == F.col("_grp"), "left").withColumns(told).drop("_grp", "_call")
+
+
+# The calls of malignancy.
+CALLS = ("malignant", "non_malignant", "uncertain", "not_applicable")
+
+
+def apply_malignancy(df: DataFrame, by: str, calls: DataFrame, key: str = "malignancy") -> DataFrame:
+    """Adds `key`, cnv_status, `key`_review_required and `key`_confidence from calls(grp, label, review, confidence), a row for each group at
+    most. Groups without a call are not_applicable; cnv_status is tumor for malignant ones and normal for all others. A malignant call is for
+    review wherever the cells have no cnv_score column. A label that isn't in CALLS raises."""
+    bad = F.raise_error(F.concat(F.lit("unknown call: "), F.coalesce("label", F.lit("null"))))
+    m = calls.select(F.col("grp").alias("_grp"), F.when(F.col("label").isin(*CALLS), F.col("label")).otherwise(bad).alias("_label"), F.col("review").alias("_review"), F.col("confidence").alias("_confidence"))
+    call = F.coalesce("_label", F.lit("not_applicable"))
+    forced = F.lit("cnv_score" not in df.columns) & (call == "malignant")
+    told = {key: call, "cnv_status": F.when(call == "malignant", "tumor").otherwise("normal"), f"{key}_review_required": F.coalesce("_review", F.lit(False)) | forced, f"{key}_confidence": finite(F.col("_confidence"))}
+    return df.join(m, as_group(F.col(by)) == F.col("_grp"), "left").withColumns(told).drop("_grp", "_label", "_review", "_confidence")
+
+
 def finalize(df: DataFrame, keys: Sequence[str], malignant: str = "malignancy", status: str = "cnv_status", out: str = "final_annotation", prefix: str = "Malignant", rename: Mapping[str, str] | None = None) -> DataFrame:
     """The first label of keys that isn't blank, with a prefix on cells whose `malignant` column says "malignant" or, where there is no such
     column, whose `status` says "tumor"; then renamed, prefix and all, where `rename` has the whole label."""

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytoloom.operators import annotation, audit, evidence, labels, markers, neighbours, profiles, qc, selection
+from cytoloom.operators import annotation, audit, copynumber, evidence, graph, labels, markers, neighbours, profiles, qc, reduction, selection
 from cytoloom.sources import metadata
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -330,7 +330,7 @@ def hits(spark, d):
     names = _t(spark, d, "part").select(F.col("p_name").alias("gene"), F.split("p_name", " ")[0].alias("one"), F.split("p_name", " ")[1].alias("two")).distinct()
     first = names.select(F.col("one").alias("panel")).distinct()
     against = first.join(names.where("two = 'ring'"), F.col("one") > F.col("panel")).select("panel", "gene", F.lit(True).alias("negative"))
-    return annotation.panel_hits(significant(spark, d), names.select(F.col("one").alias("panel"), "gene", F.lit(False).alias("negative")).union(against), groups(spark, d))
+    return annotation.panel_hits(significant(spark, d), names.select(F.col("one").alias("panel"), "gene", F.lit(False).alias("negative")).union(against), groups(spark, d), min_markers=2)
 
 
 @query("SELECT grp, panel, size, hits, negatives, adj, candidate, adjusted FROM hits", *_MARKED, _QC, _PANELS)
@@ -341,7 +341,7 @@ def panel_candidates(spark, d):
 @query("""SELECT grp, CASE WHEN med_mt > 14 OR med_genes < 8 THEN 'Low_quality' WHEN n_adjusted >= 2 THEN 'Mixed/Artifact' ELSE coalesce(panel, 'Unknown') END AS label, coalesce(round(CAST(hits AS DOUBLE) / size, 3), 0) AS confidence, n_adjusted >= 2 AS conflict, med_mt > 14 OR med_genes < 8 OR n_adjusted >= 2 AS review
 FROM quality JOIN (SELECT grp, count(*) FILTER (adjusted) AS n_adjusted FROM hits GROUP BY 1) USING (grp) LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY adjusted DESC, adj DESC, hits DESC, panel) AS b FROM hits WHERE candidate) WHERE b = 1) USING (grp)""", *_MARKED, _QC, _PANELS)
 def panel_label(spark, d):
-    return annotation.panel_labels(hits(spark, d), annotation.group_quality(metrics(spark, d), "grp", "pct_mt", "n_genes"), max_mt=14.0, min_genes=8)
+    return annotation.panel_labels(hits(spark, d), annotation.group_quality(metrics(spark, d), "grp", "pct_mt", "n_genes"), max_mt=14.0, min_genes=8).drop("consistent")
 
 
 @query("SELECT gene, grp, split_part(gene, ' ', 1) AS family, CAST(row_number() OVER (ORDER BY split_part(gene, ' ', 1), grp, z DESC, gene) - 1 AS INTEGER) AS place FROM (SELECT gene, grp, round(z, 6) AS z, row_number() OVER (PARTITION BY gene ORDER BY round(z, 6) DESC, grp) AS b FROM z) WHERE b = 1", _CELLS, _COUNTS, _TOTALS, _NORM, _SIZE, _RANKS)
@@ -349,8 +349,8 @@ def panel_order(spark, d):
     return annotation.panel_order(gene_owner(spark, d), F.split("gene", " ")[0], "z").select("gene", "grp", "family", "place")
 
 
-@query("""SELECT grp, n_cells, coalesce(n, 0) AS n_significant, coalesce(k, 0) AS n_specific, CASE WHEN med_mt > 14 OR med_genes < 8 THEN 'artifact_suspected' WHEN grp = 'BUILDING' OR n_cells < 50 OR coalesce(k, 0) < 12 THEN 'review' ELSE 'clean' END AS status,
-concat_ws(';', CASE WHEN med_mt > 14 THEN 'high_mt' END, CASE WHEN med_genes < 8 THEN 'low_genes' END, CASE WHEN grp = 'BUILDING' THEN 'single_source' END, CASE WHEN n_cells < 50 THEN 'few_cells' END, CASE WHEN coalesce(k, 0) < 12 THEN 'few_specific_markers' END) AS risks
+@query("""SELECT grp, n_cells, coalesce(n, 0) AS n_significant, coalesce(k, 0) AS n_specific, CASE WHEN med_mt > 14 OR med_genes < 8 THEN 'artifact_suspected' WHEN grp = 'BUILDING' OR n_cells < 20 OR coalesce(k, 0) < 12 THEN 'review' ELSE 'clean' END AS status,
+CASE WHEN med_mt > 14 OR med_genes < 8 THEN 'low_quality_qc' ELSE concat_ws(',', CASE WHEN grp = 'BUILDING' THEN 'single_source' END, CASE WHEN n_cells < 20 THEN 'tiny_cluster' END, CASE WHEN coalesce(k, 0) < 12 THEN 'few_specific_markers' END) END AS risks
 FROM quality LEFT JOIN (SELECT grp, count(*) AS n, count(*) FILTER (spec >= 0.01) AS k FROM sig GROUP BY 1) USING (grp)""", *_MARKED, _QC, _PANELS)
 def evidence_packet(spark, d):
     found = significant(spark, d).withColumn("specific", F.col("spec") >= F.lit(0.01))
@@ -362,13 +362,14 @@ _SUBS = "subs AS (SELECT *, CASE WHEN n_cells % 5 <> 0 THEN 'fine_' || lower(sam
 
 
 @query("""SELECT sub, CASE WHEN bare THEN 'Unassigned' WHEN tiny THEN coalesce(compartment || '_', '') || 'unresolved' ELSE label END AS fine_label, CASE WHEN NOT bare AND NOT tiny THEN facs END AS facs_label,
-CASE WHEN bare THEN 'Unassigned' WHEN tiny THEN coalesce(compartment || '_', '') || 'unresolved' ELSE coalesce(facs, label) END AS shown, bare OR tiny OR n_evidence < 2 AS review FROM (SELECT *, coalesce(trim(label) = 'nan', true) AS bare, n_cells < 8 AS tiny FROM subs)""", _CELLS, _SUBS)
+CASE WHEN bare THEN 'Unassigned' WHEN tiny THEN coalesce(compartment || '_', '') || 'unresolved' ELSE coalesce(facs, label) END AS shown, bare OR tiny OR n_evidence < 2 AS review, NOT bare AND tiny AS merged,
+concat_ws(',', CASE WHEN bare THEN 'not_labeled' END, CASE WHEN NOT bare AND tiny THEN 'below_merge_min_cells(<8)' END, CASE WHEN NOT bare AND n_evidence < 2 THEN 'insufficient_evidence' END) AS reasons FROM (SELECT *, coalesce(trim(label) = 'nan', true) AS bare, n_cells < 8 AS tiny FROM subs)""", _CELLS, _SUBS)
 def fine_apply(spark, d):
     n = F.col("n_cells")
     subs = cells(spark, d).groupBy("grp", "sample", "batch").agg(F.count("*").alias("n_cells")).select(
         F.concat_ws("/", "grp", "sample").alias("sub"), "n_cells", F.when(n % 5 != 0, F.concat(F.lit("fine_"), F.lower("sample"))).when(n % 2 == 0, " nan ").alias("label"),
         F.when(n % 3 == 0, F.concat(F.lit("facs_"), F.col("sample"))).alias("facs"), (n % 4).alias("n_evidence"), F.when(F.col("batch") != "ASIA", F.col("grp")).alias("compartment"))
-    return annotation.apply_fine(subs, min_cells=8)
+    return annotation.apply_fine(subs, min_cells=8, min_evidence=2)
 
 
 _CHECKS = """claims AS (SELECT gene, grp FROM (SELECT gene, grp, row_number() OVER (PARTITION BY grp ORDER BY round(z, 6) DESC, gene) AS b FROM z) WHERE b <= 10 UNION ALL SELECT 'no such gene', 'BUILDING'),
@@ -404,9 +405,9 @@ def audit_granularity(spark, d):
     return rounded(audit.granularity(names, support), "spread")
 
 
-@query("SELECT cell_id, CASE grp WHEN 'BUILDING' THEN 'rejected' WHEN 'MACHINERY' THEN 'refined' ELSE 'confirmed' END AS audit_status, grp = 'BUILDING' AS audit_review FROM cells", _CELLS)
+@query("SELECT cell_id, CASE grp WHEN 'BUILDING' THEN 'refuted' WHEN 'MACHINERY' THEN 'suspect' ELSE 'confirmed' END AS audit_status, grp = 'BUILDING' AS audit_review FROM cells", _CELLS)
 def apply_verdicts(spark, d):
-    verdicts = spark.createDataFrame([("BUILDING", "rejected", None), ("MACHINERY", "refined", False), ("none", "merged", True)], "grp string, status string, review boolean")
+    verdicts = spark.createDataFrame([("BUILDING", "refuted", None), ("MACHINERY", "suspect", False), ("none", "suspect", True)], "grp string, status string, review boolean")
     return audit.apply_verdicts(cells(spark, d), "grp", verdicts).select("cell_id", "audit_status", "audit_review")
 
 
@@ -606,3 +607,110 @@ def gene_set_score(spark, d):
 @query()
 def ami(spark, d):
     return rounded(selection.adjusted_mutual(labels.confusion(_t(spark, d, "labels"), "quality", "toxic")), "ami", digits=9)
+
+
+_CHOSEN = "chosen AS (SELECT DISTINCT p_name AS gene FROM part ORDER BY 1 LIMIT 40)"
+
+
+def reduced(spark, d):
+    """Components of the first forty genes, and the log-counts they are of."""
+    genes = _t(spark, d, "part").select(F.col("p_name").alias("gene")).distinct().orderBy("gene").limit(40)
+    x = normalised(spark, d)
+    return x, reduction.components(x, genes, cells(spark, d), 5)
+
+
+@query("""SELECT count(*) AS n_genes, round(sum((q - n * (s / n) * (s / n)) / (n - 1)), 6) AS total_variance
+FROM (SELECT gene, coalesce(sum(v), 0) AS s, coalesce(sum(v * v), 0) AS q FROM chosen LEFT JOIN x USING (gene) GROUP BY 1), (SELECT CAST(count(*) AS DOUBLE) AS n FROM cells)""", _CELLS, _COUNTS, _TOTALS, _NORM, _CHOSEN)
+def pca_total_variance(spark, d):
+    _, model = reduced(spark, d)
+    return spark.createDataFrame([(len(model.genes), round(model.total, 6))], "n_genes long, total_variance double")
+
+
+@query()
+def pca_counts(spark, d):
+    x, model = reduced(spark, d)
+    return reduction.scores(x, cells(spark, d), model).select("cell_id", *[F.round(F.col("scores")[i], 5).alias(f"pc{i + 1}") for i in range(5)])
+
+
+@query()
+def pca_variable_genes(spark, d):
+    """Components of the genes that vary most: share of the variance of each."""
+    genes = selection.variable_genes(counts(spark, d), cells(spark, d), 30, "batch")
+    model = reduction.components(normalised(spark, d), genes, cells(spark, d), 10)
+    return spark.createDataFrame([(i + 1, round(float(r), 6)) for i, r in enumerate(model.ratio)], "component int, ratio double")
+
+
+@query(
+    """SELECT a, b, round(CASE WHEN count(*) > 1 THEN sum(w) - min(w) * max(w) ELSE max(w) END, 6) AS w FROM (SELECT least(id, neighbour) AS a, greatest(id, neighbour) AS b, exp(0 - greatest(0, d - rho) / scale) AS w
+FROM near JOIN (WITH RECURSIVE found AS (SELECT id, ds, list_min(list_filter(ds, lambda x: x > 0)) AS rho, 0 AS turn, CAST(0 AS DOUBLE) AS low, CAST('inf' AS DOUBLE) AS high, CAST(1 AS DOUBLE) AS scale
+  FROM (SELECT id, list(d ORDER BY d, neighbour) AS ds FROM near GROUP BY 1)
+  UNION ALL SELECT id, ds, rho, turn + 1, low, high, CASE WHEN isfinite(high) THEN (low + high) / 2 ELSE 2 * scale END FROM (SELECT id, ds, rho, turn, scale, CASE WHEN over THEN low ELSE scale END AS low, CASE WHEN over THEN scale ELSE high END AS high
+    FROM (SELECT *, list_sum(list_transform(ds, lambda x: exp(0 - greatest(0, x - rho) / scale))) > log2(6) AS over FROM found WHERE turn < 64)))
+  SELECT id, rho, scale FROM found WHERE turn = 64) USING (id)) GROUP BY 1, 2""",
+    _DIST,
+)
+def graph_weights(spark, d):
+    return rounded(graph.weights(neighbours.knn(_t(spark, d, "embeddings"), 5)), "w")
+
+
+@query()
+def communities(spark, d):
+    edges = graph.weights(neighbours.knn(_t(spark, d, "embeddings"), 14))
+    return graph.communities(edges, 0.5)
+
+
+@query()
+def cluster_sweep(spark, d):
+    rows, _ = graph.sweep(_t(spark, d, "embeddings"), [0.2, 0.8])
+    return profiles.suggested_resolution(spark.createDataFrame(rows, "resolution double, n_clusters long, silhouette double"))
+
+
+_CNV = (
+    "pos AS (SELECT gene, chromosome, row_number() OVER (PARTITION BY chromosome ORDER BY start, gene) - 1 AS i, count(*) OVER (PARTITION BY chromosome) AS g FROM (SELECT p_name AS gene, 'chr' || (min(p_partkey) % 3) AS chromosome, min(p_partkey) AS start FROM part GROUP BY 1) WHERE gene IN (SELECT gene FROM x))",
+    "ref AS (SELECT gene, min(m) AS low, max(m) AS high FROM (SELECT p.gene, b.batch, coalesce(s.v, 0) / b.n AS m FROM pos p CROSS JOIN (SELECT batch, count(*) AS n FROM cells WHERE batch IN ('ASIA', 'EUROPE') GROUP BY 1) b LEFT JOIN (SELECT gene, batch, sum(v) AS v FROM x JOIN cells USING (cell_id) GROUP BY ALL) s ON s.gene = p.gene AND s.batch = b.batch) GROUP BY 1)",
+    "dense AS (SELECT c.cell_id, chromosome, i, greatest(-3, least(3, CASE WHEN coalesce(v, 0) > high THEN coalesce(v, 0) - high WHEN coalesce(v, 0) < low THEN coalesce(v, 0) - low ELSE 0 END)) AS e FROM cells c CROSS JOIN pos JOIN ref USING (gene) LEFT JOIN x ON x.cell_id = c.cell_id AND x.gene = pos.gene)",
+    "win AS (SELECT chromosome, w, unnest(range(0, g - w + 1, 2)) AS s FROM (SELECT DISTINCT chromosome, g, least(7, g) AS w FROM pos))",
+    "smooth AS (SELECT cell_id, dense.chromosome, s, sum(e * least(i - s + 1, s + w - i)) / sum(least(i - s + 1, s + w - i)) AS y FROM dense JOIN win ON win.chromosome = dense.chromosome AND i >= s AND i < s + w GROUP BY ALL)",
+    "middle AS (SELECT cell_id, y - median(y) OVER (PARTITION BY cell_id) AS y FROM smooth)",
+    "score AS (SELECT cell_id, avg(CASE WHEN abs(y) < t THEN 0 ELSE abs(y) END) AS cnv_score FROM middle, (SELECT 1.5 * stddev_pop(y) AS t FROM middle) GROUP BY 1)",
+)
+
+
+def cnv_scores(spark, d):
+    """Part numbers stand for places, their remainders by three for chromosomes; two regions are the reference."""
+    places = _t(spark, d, "part").groupBy(F.col("p_name").alias("gene")).agg(F.min("p_partkey").alias("start")).withColumn("chromosome", F.format_string("chr%d", F.col("start") % 3))
+    x = normalised(spark, d)
+    along = copynumber.windows(places, x.select("gene"), 7, 2)
+    return copynumber.burden(copynumber.profiles(x, cells(spark, d), along, "batch", ["ASIA", "EUROPE"]))
+
+
+@query("SELECT cell_id, round(cnv_score, 6) AS cnv_score FROM score", _CELLS, _COUNTS, _TOTALS, _NORM, *_CNV)
+def cnv_burden(spark, d):
+    return rounded(cnv_scores(spark, d), "cnv_score")
+
+
+@query("SELECT grp, count(*) AS n_cells, round(avg(cnv_score), 6) AS mean_cnv_score FROM cells LEFT JOIN score USING (cell_id) GROUP BY 1", _CELLS, _COUNTS, _TOTALS, _NORM, *_CNV)
+def cnv_groups(spark, d):
+    return rounded(copynumber.group_burden(cnv_scores(spark, d), cells(spark, d), "grp"), "mean_cnv_score")
+
+
+@query("SELECT round(avg(cnv_score) FILTER (batch IN ('ASIA', 'EUROPE')), 6) AS reference_mean_cnv, round(avg(cnv_score) FILTER (batch NOT IN ('ASIA', 'EUROPE')), 6) AS nonreference_mean_cnv, count(*) FILTER (batch IN ('ASIA', 'EUROPE')) AS n_reference FROM cells JOIN score USING (cell_id)", _CELLS, _COUNTS, _TOTALS, _NORM, *_CNV)
+def cnv_contrast(spark, d):
+    return rounded(copynumber.contrast(cnv_scores(spark, d), cells(spark, d), "batch", ["ASIA", "EUROPE"]), "reference_mean_cnv", "nonreference_mean_cnv")
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY m, grp) - 1 AS INTEGER) AS place, grp FROM (SELECT grp, avg(cnv_score) AS m FROM cells LEFT JOIN score USING (cell_id) GROUP BY 1 HAVING count(*) >= 50 ORDER BY m, grp LIMIT 3)", _CELLS, _COUNTS, _TOTALS, _NORM, *_CNV)
+def cnv_reference_hint(spark, d):
+    return copynumber.suggested_reference(copynumber.group_burden(cnv_scores(spark, d), cells(spark, d), "grp"))
+
+
+@query("SELECT cell_id, CASE grp WHEN 'BUILDING' THEN 'malignant' WHEN 'MACHINERY' THEN 'uncertain' ELSE 'not_applicable' END AS malignancy, CASE grp WHEN 'BUILDING' THEN 'tumor' ELSE 'normal' END AS cnv_status, grp IN ('BUILDING', 'MACHINERY') AS malignancy_review_required, CASE grp WHEN 'BUILDING' THEN 0.75 END AS malignancy_confidence FROM cells", _CELLS)
+def apply_malignancy(spark, d):
+    calls = spark.createDataFrame([("BUILDING", "malignant", None, 0.75), ("MACHINERY", "uncertain", True, None)], "grp string, label string, review boolean, confidence double")
+    return labels.apply_malignancy(cells(spark, d), "grp", calls).select("cell_id", "malignancy", "cnv_status", "malignancy_review_required", "malignancy_confidence")
+
+
+@query("SELECT cell_id, CASE grp WHEN 'BUILDING' THEN 'house' ELSE 'Unassigned' END AS major_cell_type, CASE grp WHEN 'BUILDING' THEN 0.5 END AS major_cell_type_confidence, grp = 'BUILDING' AS major_cell_type_review_required, CASE grp WHEN 'BUILDING' THEN 'new' ELSE '' END AS cell_state FROM cells", _CELLS)
+def apply_annotation(spark, d):
+    calls = spark.createDataFrame([("BUILDING", "house", 0.5, True, "new")], "grp string, label string, confidence double, review boolean, state string")
+    return labels.apply_annotation(cells(spark, d), "grp", calls).select("cell_id", "major_cell_type", "major_cell_type_confidence", "major_cell_type_review_required", "cell_state")

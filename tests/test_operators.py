@@ -55,7 +55,7 @@ def test_panel_cascade(spark):
     found = {"t": ["t1", "t2", "t3"], "b": ["b1", "b2"], "both": ["t1", "t3", "b1", "b2", "b3"], "raw": ["b1", "b2", "t1"], "none": ["t1"], "mt": ["t1", "t2"], "few": ["b1", "b2"], "dbl": ["t1", "t2"]}
     sig = spark.createDataFrame([(k, g) for k, v in found.items() for g in v], "grp string, gene string")
     quality = spark.createDataFrame([(k, 100, 30.0 if k == "mt" else None if k == "t" else 5.0, 50.0 if k == "few" else 900.0, 0.6 if k == "dbl" else 0.0) for k in [*found, "empty"]], "grp string, n_cells long, med_mt double, med_genes double, doublet_share double")
-    hits = annotation.panel_hits(sig, panels, quality)
+    hits = annotation.panel_hits(sig, panels, quality, min_markers=2)
     assert hits.count() == 18
     got = {r.grp: (r.label, r.confidence, r.conflict, r.review) for r in annotation.panel_labels(hits, quality).collect()}
     assert got == {
@@ -66,8 +66,8 @@ def test_panel_cascade(spark):
 
 def test_verdicts(spark):
     c = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "cell_id int, grp string")
-    v = lambda status: spark.createDataFrame([("a", status, None), ("nan", "merged", False)], "grp string, status string, review boolean")
-    assert [(r.audit_status, r.audit_review) for r in audit.apply_verdicts(c, "grp", v("rejected")).orderBy("cell_id").collect()] == [("rejected", True), ("confirmed", False), ("merged", False)]
+    v = lambda status: spark.createDataFrame([("a", status, None), ("nan", "suspect", False)], "grp string, status string, review boolean")
+    assert [(r.audit_status, r.audit_review) for r in audit.apply_verdicts(c, "grp", v("refuted")).orderBy("cell_id").collect()] == [("refuted", True), ("confirmed", False), ("suspect", False)]
     with pytest.raises(Exception, match="unknown status: odd"):
         audit.apply_verdicts(c, "grp", v("odd")).collect()
 
