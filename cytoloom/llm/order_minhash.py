@@ -306,8 +306,9 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
         pairs = work.table(pairs)
         parts = work.table(pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("parts")))
         dealt = pairs.join(parts, "a").select("a", "b", F.pmod(F.hash("b"), F.col("parts")).alias("part"))
+        # Both joins read held by tid, under the same names, so that it is sent once.
         sent = held.join(parts, F.col("tid") == F.col("a")).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("w").alias("wa"))
-        met = dealt.join(held.select(F.col("tid").alias("b"), F.col("w").alias("wb")), "b").join(sent, ["a", "part"])
+        met = dealt.join(held, F.col("b") == F.col("tid")).select("a", "b", "part", F.col("w").alias("wb")).join(sent, ["a", "part"])
         return work.table(met.select("a", "b", "wa", "wb").mapInArrow(linked, "a binary, b binary"))
 
     pair = [F.least("tid", "x").alias("a"), F.greatest("tid", "x").alias("b")]
