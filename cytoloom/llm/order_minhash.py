@@ -30,7 +30,7 @@ PARTNERS = 512
 #: Longs of a text's parities: 2048 bits, so that they still tell apart texts of a thousand words that differ in a fourth of them.
 PARITIES = 32
 #: Cells of the histogram that says which words are rare; it has this size however many texts there are.
-CELLS, BLOCK = 1 << 21, 1 << 16
+CELLS, BLOCK = 1 << 22, 1 << 16
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
