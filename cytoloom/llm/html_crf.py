@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cytoloom.llm.markup import Ends, Scanner
-from cytoloom.llm.shared import groups
+from cytoloom.llm.shared import beside, groups
 
 # Fixed values of HTML: elements without content, of raw text, within a line, and those that an opening tag of their kind closes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -438,5 +438,4 @@ def extract(pages: DataFrame, model: Model, html: str = "html") -> DataFrame:
             columns = [list(c) for c in zip(*found)] or [[], [], []]
             yield pa.StructArray.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())], names=schema.names)
 
-    kept = [F.col(f"`{c}`") for c in pages.columns if c not in schema.names]
-    return pages.select(*kept, decode(F.col(html)).alias("_main")).select(*kept, "_main.*")
+    return beside(pages, [c for c in pages.columns if c not in schema.names], decode(F.col(html)))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cytoloom.llm.shared import BITS, dense, groups, labelled_sample, ngram_counts, sparse
+from cytoloom.llm.shared import BITS, beside, dense, groups, labelled_sample, ngram_counts, sparse
 
 UNDETERMINED = "und"
 RESULT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())])
@@ -115,4 +115,4 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", lead: flo
             yield pa.StructArray.from_arrays([pa.array(name, pa.string()), pa.array(score), pa.array(close)], names=RESULT.names)
 
     kept = [c for c in docs.columns if c not in RESULT.names]
-    return docs.select(*[F.col(f"`{c}`") for c in kept], decide(F.col(text)).alias("_told")).select(*[F.col(f"`{c}`") for c in kept], "_told.*")
+    return beside(docs, kept, decide(F.col(text)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cytoloom.llm.shared import BITS, Work, dense, groups, marked_texts, sparse, text_vector
+from cytoloom.llm.shared import BITS, beside, dense, groups, marked_texts, sparse, text_vector, Work
 
 WIDTH = (1 << BITS) + 9
 
@@ -71,8 +72,7 @@ def memberships(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             flat, ends = np.concatenate(p).astype(float).ravel(), np.arange(0, k * len(batch) + 1, k, dtype=np.int32)
             yield pa.StructArray.from_arrays([pa.ListArray.from_arrays(ends, flat), pa.array(tokens, pa.int64())], names=["posterior", "tokens"])
 
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("posterior", "tokens")]
-    return docs.select(*kept, belong(F.col(text)).alias("_m")).select(*kept, "_m.*")
+    return beside(docs, [c for c in docs.columns if c not in ("posterior", "tokens")], belong(F.col(text)))
 
 
 @dataclass
@@ -85,6 +85,11 @@ class Fit:
     steps: list[tuple[float, np.ndarray]]
     stay: float
 
+    @property
+    def missed(self) -> float:
+        """By how much the worst domain misses its target, as a share of all tokens."""
+        return float(np.abs(self.after - self.targets).max()) / max(float(self.targets.sum()), 1.0) if len(self.targets) else 0.0
+
 
 def rates(posterior: Column, fit: Fit) -> Column:
     """The documents' rates after all steps, from 1: r <- max(0, r - step * (posterior . g + stay * (r - 1)))."""
@@ -103,8 +108,8 @@ def rates(posterior: Column, fit: Fit) -> Column:
 
 def domain_tokens(members: DataFrame, k: int, rate: Column | None = None) -> np.ndarray:
     """Expected tokens of each of k domains: sums of rate * tokens * posterior."""
-    n = F.col("tokens").cast("double") * (F.lit(1.0) if rate is None else F.col("_r"))
-    df = members if rate is None else members.withColumn("_r", rate)
+    n = F.col("tokens").cast("double") * (F.lit(1.0) if rate is None else F.col("rate"))
+    df = members.select("posterior", "tokens") if rate is None else members.select("posterior", "tokens", rate.alias("rate"))
     row = df.agg(*[F.sum(n * F.col("posterior")[i]).alias(f"s{i}") for i in range(k)]).first()
     return np.array([row[f"s{i}"] or 0.0 for i in range(k)])
 
@@ -149,13 +154,14 @@ def target_tokens(sums: np.ndarray, weights: np.ndarray, keep: list[int]) -> np.
     return w * max([float(sums.sum()), *(float(sums[i] / w[i]) for i in keep if w[i] > 0)])
 
 
-def mix(docs: DataFrame, model: Model | None, weights: dict[str, float], keep: tuple[str, ...] = (), text: str = "text", key: tuple[str, ...] = ("doc_id",), carry_text: bool = True) -> DataFrame:
+def mix(docs: DataFrame, model: Model | None, weights: dict[str, float], keep: tuple[str, ...] = (), text: str = "text", key: tuple[str, ...] = ("doc_id",), carry_text: bool = True, miss: float = 0.01) -> DataFrame:
     """Adds domain (the likeliest), posterior, tokens, rate and copies to every row.
 
     weights: the target share of each domain's tokens; domains without one get none, weights of unknown domains are left out. The
     targets' sum is that of the rows' tokens, or the least more for which no domain of `keep` loses tokens. rate is 0 or more; `copies` is
     its stochastic rounding by a hash of `key`, so equal keys are rounded alike. Without a model, or a weight above 0 for any of its
-    domains, or tokens, every rate and copies is 1. The rows are written with their posteriors to the shared folder, so texts are read once.
+    domains, or tokens, every rate and copies is 1. Where no rates bring every domain within `miss` of its target, as a share of all tokens (as
+    when texts of two domains look alike), the nearest are taken and a warning says how far they are off. The rows are written with their posteriors to the shared folder, so texts are read once.
     """
     if model is None or not any(weights.get(d, 0) > 0 for d in model.names):
         one = {"domain": F.lit(None).cast("string"), "posterior": F.array().cast("array<double>"), "tokens": F.size(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"\s+"), lambda w: w != "")).cast("long"), "rate": F.lit(1.0), "copies": F.lit(1)}
@@ -166,6 +172,8 @@ def mix(docs: DataFrame, model: Model | None, weights: dict[str, float], keep: t
     sums = domain_tokens(members, len(model.names))
     share = np.array([max(0.0, weights.get(d, 0.0)) for d in model.names])
     fit = fit_rates(members, target_tokens(sums, share, [i for i, d in enumerate(model.names) if d in keep]))
+    if fit.missed > miss:
+        warnings.warn(f"the rates miss a domain's target by {fit.missed:.3f} of all tokens; targets {fit.targets.tolist()}, reached {fit.after.tolist()}", stacklevel=2)
     names = F.array(*map(F.lit, model.names))
     df = members.withColumns({"domain": names[(F.array_position("posterior", F.array_max("posterior")) - 1).cast("int")], "rate": rates(F.col("posterior"), fit)})
     return df.withColumn("copies", copies(F.col("rate"), *map(F.col, key)))

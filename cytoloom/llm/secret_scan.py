@@ -32,12 +32,12 @@ RULES = [
     Rule("google", "AIza[A-Za-z0-9_-]{35}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("private", "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    Rule("url", r"[a-z][a-z0-9+.-]{1,20}://[A-Za-z0-9._%-]{1,64}:[A-Za-z0-9._%!*-]{3,64}@"),
+    Rule("url", r"[a-z][a-z0-9+.-]{1,20}://[^\x20\x09-\x0D/:@]*:[^\x20\x09-\x0D/@]{3,}@"),
 ]
 BASE = ("assign", "access", "hex")
-#: The rules of redaction. RULES are those of the query's SQL, whose private key is the header line alone, and whose url caps user and
-#: password; here a key goes on to its END line, or else over the lines of key that follow the header, and a url to the last @ of its host
-#: part, with or without a user. Runs don't backtrack, so that long ones need neither stack nor time.
+#: The rules of redaction. RULES are those of the query's SQL, whose private key is the header line alone, and whose url ends at the first
+#: @; here a key goes on to its END line, or else over the lines of key that follow the header, and a url to the last @ of its host
+#: part. Runs don't backtrack, so that long ones need neither stack nor time.
 WHOLE = [
     *RULES[:7],
     Rule("private", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:(?!-----(?:BEGIN|END) )[\s\S])*+-----END [A-Z ]*PRIVATE KEY-----|(?:\s*+(?:Proc-Type|DEK-Info):[^\n]*+)*+(?:(?:\s|\\[nr])*+[A-Za-z0-9+/]{40,}+={0,2}+)*+(?:(?<=[A-Za-z0-9+/=]{40})\s++[A-Za-z0-9+/]++={0,2}+(?=[\r\n]|$))?+)"),

@@ -26,6 +26,13 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
 
 
+def beside(df: DataFrame, kept: list[str], result: Column) -> DataFrame:
+    """The columns `kept` of df, whatever their names, and the fields of a struct beside them."""
+    if not kept:
+        return df.select(result.alias("result")).select("result.*")
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), result.alias("result")).select("row.*", "result.*")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new path in the folder that all executors share, spark.checkpoint.dir. Only a session in one process (a local master), where it
     is unset, gets a temporary folder of this machine; on a cluster an unset folder is an error."""

@@ -97,15 +97,17 @@ def derive(source: DataFrame, keep: list[str] | None = None) -> DataFrame:
     keep = keep or []
     filled = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     size = lambda c: F.octet_length(c).cast("long")
-    df = source.where(F.col("record_type") == "response").withColumn("_text", text_of("payload"))
-    df = df.withColumn("_conversion", record_id(filled("record_id"), F.lit("conversion"), digest(F.col("_text"))))
+    mine = ["record_id", "target_uri", "date", "http_headers", "block_digest", "payload_digest", "content_length"]
+    kept = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.lit(None)
+    df = source.where(F.col("record_type") == "response").select(kept.alias("kept"), *mine, text_of("payload").alias("text"))
+    df = df.withColumn("conversion", record_id(filled("record_id"), F.lit("conversion"), digest(F.col("text"))))
     line = lambda k, v: F.concat(F.lit(k + ": "), v, F.lit("\r\n"))
     http = F.regexp_replace(F.rtrim(filled("http_headers"), F.lit("\r\n")), r"(^|\r\n)", "$1http-header: ")
     meta = F.concat(
         line("source-record-id", filled("record_id")), line("source-block-digest", filled("block_digest")), line("source-payload-digest", filled("payload_digest")), line("source-content-length", filled("content_length")),
-        line("conversion-record-id", F.col("_conversion")), line("conversion-block-digest", digest(F.col("_text"))), line("conversion-content-length", size(F.col("_text")).cast("string")), F.when(filled("http_headers") != "", F.concat(http, F.lit("\r\n"))).otherwise(F.lit("")),
+        line("conversion-record-id", F.col("conversion")), line("conversion-block-digest", digest(F.col("text"))), line("conversion-content-length", size(F.col("text")).cast("string")), F.when(filled("http_headers") != "", F.concat(http, F.lit("\r\n"))).otherwise(F.lit("")),
     )
-    df = df.withColumn("_meta", meta)
+    df = df.withColumn("meta", meta)
 
     def record(kind: str, rid: Column, concurrent: Column, content_type: str, block: Column, payload: Column) -> Column:
         return F.struct(
@@ -115,10 +117,10 @@ def derive(source: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
     none = F.lit(None).cast("string")
     both = F.array(
-        record("metadata", record_id(filled("record_id"), F.lit("metadata"), digest(F.col("_meta"))), F.col("_conversion"), "application/warc-fields", F.col("_meta"), none),
-        record("conversion", F.col("_conversion"), none, "text/plain; charset=utf-8", F.col("_text"), digest(F.col("_text"))),
+        record("metadata", record_id(filled("record_id"), F.lit("metadata"), digest(F.col("meta"))), F.col("conversion"), "application/warc-fields", F.col("meta"), none),
+        record("conversion", F.col("conversion"), none, "text/plain; charset=utf-8", F.col("text"), digest(F.col("text"))),
     )
-    return df.select(*[F.col(f"`{c}`") for c in keep], F.explode(both).alias("_r")).select(*[F.col(f"`{c}`") for c in keep], *[F.col(f"_r.{c}") for c in FIELDS])
+    return df.select("kept", F.explode(both).alias("record")).select(*(["kept.*"] if keep else []), *[F.col(f"record.{c}") for c in FIELDS])
 
 
 def serialised(records: DataFrame) -> DataFrame:
