@@ -8,8 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytoloom.operators import annotation, audit, copynumber, evidence, graph, labels, markers, neighbours, profiles, qc, reduction, selection
+from cytoloom.operators import annotation, audit, batches, benchmark, copynumber, doublets, evidence, graph, labels, markers, neighbours, profiles, qc, reduction, selection
 from cytoloom.sources import metadata
+from cytoloom.sources.scratch import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -714,3 +715,59 @@ def apply_malignancy(spark, d):
 def apply_annotation(spark, d):
     calls = spark.createDataFrame([("BUILDING", "house", 0.5, True, "new")], "grp string, label string, confidence double, review boolean, state string")
     return labels.apply_annotation(cells(spark, d), "grp", calls).select("cell_id", "major_cell_type", "major_cell_type_confidence", "major_cell_type_review_required", "cell_state")
+
+
+@query(
+    """SELECT round(CASE WHEN (ha + hb) / 2 <= 1e-12 THEN 1 ELSE (ha + hb - j) / ((ha + hb) / 2) END, 9) AS nmi FROM
+(SELECT sum(0 - p * ln(p)) AS j FROM (SELECT count(*) / sum(count(*)) OVER () AS p FROM known GROUP BY quality, toxic)),
+(SELECT sum(0 - p * ln(p)) AS ha FROM (SELECT count(*) / sum(count(*)) OVER () AS p FROM known GROUP BY quality)), (SELECT sum(0 - p * ln(p)) AS hb FROM (SELECT count(*) / sum(count(*)) OVER () AS p FROM known GROUP BY toxic))""",
+    "known AS (SELECT quality, toxic FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL)",
+)
+def nmi(spark, d):
+    pairs = labels.confusion(_t(spark, d, "labels"), "quality", "toxic").select(F.col("ref").alias("a"), F.col("pred").alias("b"), "n")
+    return rounded(benchmark.mutual(pairs), "nmi", digits=9)
+
+
+@query("""SELECT round(sum(b - s * s / n) / sum(q - s * s / n), 9) AS explained FROM (SELECT i, sum(n) AS n, sum(s) AS s, sum(q) AS q, sum(s * s / n) AS b
+FROM (SELECT label, i, CAST(count(*) AS DOUBLE) AS n, sum(x) AS s, sum(x * x) AS q FROM (SELECT label, unnest(range(len(embedding))) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) GROUP BY ALL) GROUP BY 1)""")
+def batch_variance(spark, d):
+    return rounded(benchmark.batch_variance(_t(spark, d, "embeddings"), "label"), "explained", digits=9)
+
+
+@query(
+    """SELECT label, count(*) AS n, round(max(k) / count(*), 6) AS share FROM (SELECT a, label, count(*) AS k FROM (WITH RECURSIVE r AS (SELECT id AS a, id AS b FROM e UNION SELECT r.a, s.b FROM r JOIN same s ON r.b = s.a) SELECT a, b FROM r)
+JOIN e ON e.id = a GROUP BY ALL) GROUP BY 1""",
+    _DIST, "one AS (SELECT near.id AS a, near.neighbour AS b FROM near WHERE label = other AND place <= 3)", "same AS (SELECT a, b FROM one UNION SELECT b, a FROM one)",
+)
+def graph_connectivity(spark, d):
+    v = _t(spark, d, "embeddings")
+    names = v.select(F.col("vec_id").cast("long").alias("id"), F.col("label").cast("string").alias("label"))
+    return rounded(benchmark.connectivity(neighbours.knn(v, 3), names, Scratch(spark)), "share")
+
+
+def _batched(spark, d):
+    """Embeddings in three batches by number, the later ones moved."""
+    v = _t(spark, d, "embeddings").withColumn("batch", (F.col("vec_id") % 3).cast("string"))
+    return v.withColumn("embedding", F.transform("embedding", lambda x, i: x.cast("double") + F.when(i < 8, F.col("batch").cast("double") * 0.2).otherwise(0.0)))
+
+
+@query()
+def batch_corrected(spark, d):
+    out = batches.corrected(_batched(spark, d), "batch", clusters=10, turns=2, rounds=4, blocks=2)
+    return out.select("id", *[F.round(F.col("corrected")[i], 5).alias(f"c{i}") for i in range(8)])
+
+
+@query()
+def embedding_benchmark(spark, d):
+    """The embeddings with their batches' shifts, and corrected."""
+    v = _batched(spark, d)
+    fixed = batches.corrected(v, "batch", clusters=10, turns=1, rounds=3, blocks=2)
+    names = v.select(F.col("vec_id").alias("id"), (F.col("label") % 3).cast("string").alias("label"), "batch")
+    out = benchmark.compare({"shifted": v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), "corrected": fixed.select("id", F.col("corrected").alias("v"))}, names, "shifted", subsample=400)
+    return rounded(out, *[c for c, t in out.dtypes if t == "double"], digits=5)
+
+
+@query()
+def doublet_scores(spark, d):
+    scored, _ = doublets.scores(counts(spark, d), cells(spark, d), "batch", components=10)
+    return rounded(scored, "doublet_score")
