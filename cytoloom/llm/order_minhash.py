@@ -350,11 +350,13 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
 
     rare = between_classes(work.table(large.mapInArrow(rarest, "tid binary, comp binary, n int, word bigint, at int, bits array<bigint>, firsts array<bigint>")))
     led = verified(rare.where("comp != main").where(fits("n", "lead_n")).where(common("n", "lead_n", "bits", "lead_bits")).select(F.least("tid", "lead").alias("a"), F.greatest("tid", "lead").alias("b")).distinct())
-    rare = rare.drop("main", "lead", "lead_n", "lead_bits").join(merged(led), "comp", "left").select("tid", F.coalesce("top", "comp").alias("comp"), "n", "word", "at", "bits", "firsts")
-    rare = between_classes(work.table(rare)).drop("lead", "lead_n", "lead_bits")
-    other = rare.select("word", F.col("tid").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("at").alias("ax"), F.col("bits").alias("bx"), F.col("firsts").alias("fx"))
+    # A word's main class may be any of its classes, so it stays the same one, under the name it has been joined to.
+    top = merged(led)
+    rare = rare.join(top, "comp", "left").join(top.select(F.col("comp").alias("main"), F.col("top").alias("main_top")), "main", "left")
+    rare = work.table(rare.select("tid", F.coalesce("top", "comp").alias("comp"), F.coalesce("main_top", "main").alias("main"), "n", "word", "at", "bits", "firsts"))
+    other = rare.select(F.col("word").alias("shared"), F.col("tid").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("at").alias("ax"), F.col("bits").alias("bx"), F.col("firsts").alias("fx"))
     reach = F.least(F.col("n") - F.col("at"), F.col("nx") - F.col("ax")) >= least * F.greatest("n", "nx")  # the words in common that can follow
-    rest = rare.where("comp != main").join(other, "word").where("comp != cx AND (cx = main OR tid < x)").where(fits("n", "nx")).where(reach)
+    rest = rare.where("comp != main").join(other, F.col("word") == F.col("shared")).where("comp != cx AND (cx = main OR tid < x)").where(fits("n", "nx")).where(reach)
     first = F.get(F.array_intersect("firsts", "fx"), F.lit(0))  # both are in the same order
     rest = rest.where(common("n", "nx", "bits", "bx")).where(F.coalesce(first == F.col("word"), F.lit(True))).select(*pair)
 
