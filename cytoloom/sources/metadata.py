@@ -68,10 +68,12 @@ def normalised(text: Column) -> Column:
 
 
 def harmonise(df: DataFrame, field: str, batch: str, overrides: DataFrame, synonyms: DataFrame) -> DataFrame:
-    """Replaces a field by its batch's override(batch, raw, value), else by its synonym(raw, value), else keeps it; <field>__raw stays."""
+    """Replaces a field by its batch's override(batch, raw, value), else by its synonym(raw, value), else keeps it; <field>__raw stays. Of raw
+    spellings that are one in normal form the smallest counts."""
     n = normalised(F.coalesce(F.col(field), F.lit("")))
-    o = overrides.select(F.col("batch").alias("_ob"), normalised(F.col("raw")).alias("_or"), F.col("value").alias("_ov")).dropDuplicates(["_ob", "_or"])
-    s = synonyms.select(normalised(F.col("raw")).alias("_sr"), F.col("value").alias("_sv")).dropDuplicates(["_sr"])
+    first = F.min_by("value", F.struct("raw", "value"))
+    o = overrides.groupBy(F.col("batch").alias("_ob"), normalised(F.col("raw")).alias("_or")).agg(first.alias("_ov"))
+    s = synonyms.groupBy(normalised(F.col("raw")).alias("_sr")).agg(first.alias("_sv"))
     df = df.withColumns({f"{field}__raw": F.col(field), "_n": n})
     df = df.join(o, (F.col(batch) == F.col("_ob")) & (F.col("_n") == F.col("_or")), "left").join(s, F.col("_n") == F.col("_sr"), "left")
     return df.withColumn(field, F.coalesce("_ov", "_sv", f"{field}__raw")).drop("_ob", "_or", "_ov", "_sr", "_sv", "_n")
