@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytoloom.operators import annotation, audit, batches, benchmark, copynumber, doublets, evidence, graph, labels, markers, neighbours, profiles, qc, reduction, selection
+from cytoloom.operators import annotation, audit, batches, benchmark, copynumber, doublets, evidence, graph, labels, markers, neighbours, profiles, qc, reduction, selection, state
 from cytoloom.sources import metadata
 from cytoloom.sources.scratch import Scratch
 
@@ -771,3 +771,28 @@ def embedding_benchmark(spark, d):
 def doublet_scores(spark, d):
     scored, _ = doublets.scores(counts(spark, d), cells(spark, d), "batch", components=10)
     return rounded(scored, "doublet_score")
+
+
+@query("SELECT CASE WHEN bool_and(abs(cnt - round(cnt)) <= 1e-8 AND cnt >= 0) THEN 'raw_counts' ELSE 'normalized' END AS state FROM counts", _COUNTS)
+def value_state(spark, d):
+    return state.value_state(counts(spark, d), "cnt")
+
+
+@query("SELECT CASE WHEN u >= 0.7 THEN 'human' WHEN u <= 0.2 THEN 'mouse' ELSE 'unknown' END AS organism, n AS n_genes, round(u, 3) AS share_upper, CASE WHEN u > 0.2 THEN 'MT-' ELSE 'mt-' END AS mito_prefix FROM (SELECT count(*) AS n, avg(CASE WHEN upper(c_mktsegment) = c_mktsegment AND lower(c_mktsegment) <> c_mktsegment THEN 1 ELSE 0 END) AS u FROM customer)")
+def organism(spark, d):
+    return state.organism(_t(spark, d, "customer"), "c_mktsegment")
+
+
+@query("""SELECT covered, total, round(covered / total, 4) AS coverage, covered / total >= 0.6 AS gate_pass, CASE WHEN covered / total < 0.6 THEN 'mismatch' WHEN covered / total < 0.8 THEN 'verify' ELSE 'ok' END AS verdict
+FROM (SELECT count(*) FILTER (gene IN (SELECT p_name FROM part WHERE p_size > 10)) AS covered, count(*) AS total FROM (SELECT DISTINCT p_name AS gene FROM part))""")
+def position_coverage(spark, d):
+    places = _t(spark, d, "part").select(F.col("p_name").alias("symbol"), F.when(F.col("p_size") > 10, "chr1").alias("chromosome"))
+    return state.coverage(places, _t(spark, d, "part").select(F.col("p_name").alias("gene")))
+
+
+_PIECES = ", ".join(f"CAST(sum(CAST('0x' || substr(h, {8 * i + 1}, 8) AS BIGINT)) AS VARCHAR)" for i in range(4))
+
+
+@query(f"SELECT count(*) AS n, concat_ws('-', {_PIECES}) AS fingerprint FROM (SELECT md5(concat('=', length(CAST(l_linenumber AS VARCHAR)), ':', l_linenumber, '|=', length(CAST(l_partkey AS VARCHAR)), ':', l_partkey, '|', '=' || length(l_returnflag) || ':' || l_returnflag)) AS h FROM lineitem)")
+def table_fingerprint(spark, d):
+    return state.fingerprint(_t(spark, d, "lineitem"), ["l_partkey", "l_linenumber", "l_returnflag"])
