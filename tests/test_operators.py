@@ -141,3 +141,29 @@ def test_matrix_market(spark, tmp_path):
     (tmp_path / "f.tsv").write_text("E1\tMT-A\nE2\tB\n")
     got = {(r.cell_id, r.gene): r.cnt for r in metadata.read_matrix_market(spark, *(str(tmp_path / n) for n in ("m.mtx", "b.tsv", "f.tsv")), "s").collect()}
     assert got == {("s_AAC", "MT-A"): 5, ("s_AAC", "B"): 1, ("s_AAG", "B"): 4}
+
+
+def test_nearest_in_large_blocks_with_copies_and_far_from_the_origin():
+    """One product of matrices a block: equal to distances from differences, copies by their ids, at a fraction of the time."""
+    rng = np.random.default_rng(3)
+    x = 1e4 + np.concatenate([rng.normal(size=(1500, 5)), np.repeat(rng.normal(size=(1, 5)), 500, 0), rng.normal(size=(1, 5)) + 1e-6 * rng.normal(size=(100, 5))])
+    ids = rng.permutation(len(x)) * 7
+    i, found, d = neighbours._nearest(x, ids, x, ids, 6)
+    at = {v: j for j, v in enumerate(ids.tolist())}
+    for r in [*range(0, 1500, 50), *range(1500, 2000, 25), *range(2000, 2100, 5)]:
+        far = ((x - x[r]) ** 2).sum(1)
+        far[r] = np.inf
+        want = np.lexsort((ids, far))[:6]
+        assert found[i == r].tolist() == ids[want].tolist() and d[i == r].tolist() == far[want].tolist() and r not in [at[v] for v in found[i == r]]
+    of = np.arange(len(x)) % 3
+    got = neighbours._sums(x, x, of)
+    want = np.stack([np.sqrt(((x[r] - x) ** 2).sum(1)) @ np.eye(3)[of] for r in range(len(x))])
+    assert np.abs(got - want).max() < 1e-9 * want.max()
+
+
+@pytest.mark.parametrize("n,most", [(2000, 8), (40_000, 64)])
+def test_blocks_by_rows(spark, n, most):
+    """Small tables are dealt to several tasks; the times that a row is sent don't grow with a table of the next size."""
+    rows = spark.range(n).selectExpr("id", "array(cast(id as double)) AS v")
+    parts = neighbours._meet(rows, "id long", lambda a, b, x, y: a.select(["id"]).slice(0, 1)).count()
+    assert 1 < parts <= most
