@@ -40,7 +40,7 @@ def simulated(counts: DataFrame, ranks: DataFrame, ratio: int = 2, seed: int = 0
     step = 1 + F.pmod(F.xxhash64("sample", "t", F.lit(seed)), F.col("n") - 1)
     pairs = F.explode(F.array(F.col("r"), F.pmod(F.col("r") - step, F.col("n"))))
     parents = told.select("sample", "cell_id", "n", "t", pairs.alias("at")).select("sample", "cell_id", (F.col("t") * F.col("n") + F.col("at")).alias("sim"))
-    return counts.join(parents, "cell_id").groupBy("sample", "sim", "gene").agg(F.sum("cnt").alias("cnt"))
+    return counts.join(parents.hint("merge"), "cell_id").groupBy("sample", "sim", "gene").agg(F.sum("cnt").alias("cnt"))
 
 
 def valley(many: np.ndarray, most: int = 10_000) -> int | None:
@@ -157,14 +157,15 @@ def scores(counts: DataFrame, cells: DataFrame, sample: str, genes: DataFrame |
     ranks = scratch.table(ranks.where(F.col("n") >= least_cells))
     own = counts.select("cell_id", "gene", "cnt").where("cnt > 0")
     genes = own.select("gene").distinct() if genes is None else genes
-    x = qc.log_normalised(own.join(ranks.select("cell_id"), "cell_id", "left_semi"))
+    # rows by cell are merged: their sizes are estimated from packed files or from a row a sample, by which they would pass through the driver
+    x = qc.log_normalised(own.join(ranks.select("cell_id").hint("merge"), "cell_id", "left_semi"))
     model = reduction.components(x, genes, ranks.select("cell_id"), components, tolerance=1e-4, seed=seed)
-    first = reduction.scores(x, ranks.select("cell_id"), model).join(ranks, "cell_id").select("sample", F.col("cell_id").cast("long").alias("id"), F.lit(False).alias("sim"), "n", F.col("scores").alias("v"))
+    first = reduction.scores(x, ranks.select("cell_id"), model).join(ranks.hint("merge"), "cell_id").select("sample", F.col("cell_id").cast("long").alias("id"), F.lit(False).alias("sim"), "n", F.col("scores").alias("v"))
     base = ranks.groupBy("sample", "n").count().select("sample", (F.sum(F.col("n") * ratio).over(Window.orderBy("sample")) - F.col("n") * ratio).alias("base"), "n")  # a row a sample
     base = scratch.table(base)
     made = simulated(own, ranks, ratio, seed).join(F.broadcast(base), "sample").select((F.col("base") + F.col("sim")).alias("cell_id"), "gene", "cnt")
     every = base.select("sample", "n", F.explode(F.sequence(F.col("base"), F.col("base") + F.col("n") * ratio - 1)).alias("cell_id"))
-    second = reduction.scores(qc.log_normalised(made), every, model).join(every, "cell_id").select("sample", F.col("cell_id").alias("id"), F.lit(True).alias("sim"), "n", F.col("scores").alias("v"))
+    second = reduction.scores(qc.log_normalised(made), every, model).join(every.hint("merge"), "cell_id").select("sample", F.col("cell_id").alias("id"), F.lit(True).alias("sim"), "n", F.col("scores").alias("v"))
     points = scratch.table(first.unionByName(second))
     q = (F.col("doublets") + 1) / (F.col("k") + 2)
     chance = q * rate / ratio / (1 - rate - q * (1 - rate - rate / ratio))
@@ -182,7 +183,7 @@ def scores(counts: DataFrame, cells: DataFrame, sample: str, genes: DataFrame |
 
     cuts = scratch.table(bins.groupBy("sample").applyInPandas(cut, "sample string, cut double"), keep=True)
     found = told.where("NOT sim").select(F.col("id").alias("cell_id"), "score")
-    out = known.join(found, "cell_id", "left").join(F.broadcast(cuts), "sample", "left")
+    out = known.join(found.hint("merge"), "cell_id", "left").join(F.broadcast(cuts), "sample", "left")
     out = out.select("cell_id", "sample", F.col("score").alias("doublet_score"), F.coalesce(F.col("score") > F.col("cut"), F.lit(False)).alias("predicted_doublet"))
     reason = F.when(F.col("n_cells") < least_cells, "too_few_cells").when(F.col("cut").isNull(), "no_threshold")
     skipped = few.join(F.broadcast(cuts), "sample", "left").withColumn("reason", reason).where("reason IS NOT NULL").select("sample", "n_cells", "reason")

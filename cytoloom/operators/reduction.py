@@ -101,7 +101,7 @@ def components(x: DataFrame, genes: DataFrame, cells: DataFrame, k: int = 50, to
     (no cells, one cell, constant genes) variances and loadings are 0."""
     scratch = Scratch(x.sparkSession)
     known = cells.select("cell_id").where("cell_id IS NOT NULL").distinct()
-    rows, names = packed(x.join(known, "cell_id", "left_semi"), genes)
+    rows, names = packed(x.join(known.hint("merge"), "cell_id", "left_semi"), genes)
     rows, n, g = scratch.table(rows), known.count(), len(names)
     k = max(1, min(k, g - 1, n - 1))
     if not g or n < 2:
@@ -184,4 +184,4 @@ def scores(x: DataFrame, cells: DataFrame, model: Components) -> DataFrame:
     got = rows.mapInArrow(projected, f"cell_id {kind}, scores array<double>")
     none = F.array(*[F.lit(-float(s)) for s in model.mean @ model.loadings])
     every = cells.select("cell_id").where("cell_id IS NOT NULL").distinct()
-    return every.join(got, "cell_id", "left").select("cell_id", F.coalesce("scores", none).alias("scores"))
+    return every.join(got.hint("merge"), "cell_id", "left").select("cell_id", F.coalesce("scores", none).alias("scores"))

@@ -73,3 +73,12 @@ def test_no_cells(planted):
     _, counts, cells = planted
     got, skipped = doublets.scores(counts, cells.where("false"), "sample")
     assert got.collect() == [] == skipped.collect()
+
+
+def test_pairs_of_cells_are_not_sent_whole(spark):
+    """Two rows a cell and turn come from the ranks, whose estimated size is small: they are merged with the counts, not broadcast."""
+    ranks = spark.range(40).selectExpr("'s' AS sample", "id AS cell_id", "40L AS n", "id AS r")
+    counts = spark.range(40).selectExpr("id AS cell_id", "'g' AS gene", "1.0D AS cnt")
+    made = doublets.simulated(counts, ranks)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan and made.agg({"cnt": "sum"}).first()[0] == 160.0
