@@ -19,14 +19,15 @@ K, PICKED, SKETCHES = 3, 2, 24
 #: Texts of up to SHORT words get as many sketches of single words too, of so many words by their length, as few k-mers of a short text
 #: outlive an edit: with a fifth of the words changed two thirds of the different words are shared at any length.
 SHORT, PICKED_WORDS = 75, ((12, 2), (30, 3), (75, 4))
-#: Rare words that a text's row carries, so that two texts meet at the first that they share; with more words they meet at each.
-CARRIED = 64
+#: Rarer words that a row of a text's rare word carries, so that two texts meet at the first that they share. Texts of up to about 1275
+#: words have no more; longer ones that share none of these may meet at several.
+CARRIED = 256
 #: The least edit similarity of words of linked texts: 1 - edit distance / words of the longer text.
 SIMILAR = 0.8
 #: A bucket of more texts that isn't one class after the first alignments is searched by rare words instead of pair by pair.
 SMALL = 32
-#: A text is aligned with at most so many others by one task.
-PARTNERS = 512
+#: Pairs that a task aligns for one group of texts, about, and texts of a group that meet the others together.
+PARTNERS, TOGETHER = 512, 64
 #: Longs of a text's parities: 2048 bits, so that they still tell apart texts of a thousand words that differ in a fourth of them.
 PARITIES = 32
 #: Cells of the histogram that says which words are rare; it has this size however many texts there are.
@@ -166,6 +167,25 @@ def rare_first(labelled: np.ndarray, counts: np.ndarray, least: float = SIMILAR)
     return labelled[order[at]], at
 
 
+def rare_rows(batch: pa.RecordBatch, counts: np.ndarray, least: float = SIMILAR) -> Iterator[pa.RecordBatch]:
+    """A row for each rare word (`rare_first`, cut to 32 bits) of each text: the text's tid, comp, number of words and bits, the word, its
+    place, and up to CARRIED of the text's rarer words. Two texts first meet where these have none in common. Words that 32 bits don't tell
+    apart are one word throughout, which makes texts meet that needn't. batch: tid, comp, labelled words, bits; about 2^16 words at a time."""
+    upto = np.cumsum(np.diff(batch.column(2).offsets.to_numpy()), dtype=np.int64) >> 16
+    edges = [0, *(np.flatnonzero(np.diff(upto)) + 1).tolist(), len(batch)]
+    for some in (batch.slice(i, j - i) for i, j in zip(edges, edges[1:])):
+        told = [(len(w), *rare_first(w.view(np.uint64) & np.uint64(0xFFFFFFFF), counts, least)) for w in lists(some.column(2))]
+        many = [len(at) for _, _, at in told]
+        row, n = pa.array(np.repeat(np.arange(len(told)), many)), np.repeat([n for n, _, _ in told], many)
+        cut = [w.astype(np.uint32).view(np.int32) for _, w, _ in told]
+        carried = [np.minimum(np.arange(k), CARRIED) for k in many]
+        ends = np.cumsum([0, *(c.sum() for c in carried)], dtype=np.int64)
+        ends = np.concatenate([[0], *(e + np.cumsum(c) for e, c in zip(ends.tolist(), carried))]).astype(np.int32)
+        before = pa.ListArray.from_arrays(ends, np.concatenate([np.empty(0, np.int32), *(w[:k] for w, c in zip(cut, carried) for k in c.tolist())]))
+        found, at = np.concatenate([np.empty(0, np.int32), *cut]), np.concatenate([np.empty(0, np.int64), *(at for _, _, at in told)])
+        yield pa.RecordBatch.from_arrays([some.column(0).take(row), some.column(1).take(row), pa.array(n, pa.int32()), pa.array(found), pa.array(at, pa.int32()), some.column(3).take(row), before], names=["tid", "comp", "n", "word", "at", "bits", "before"])
+
+
 def parities(labelled: np.ndarray) -> np.ndarray:
     """64 * PARITIES bits, whether an even or odd number of labelled words falls on each. Where those of two texts of n and m words differ,
     a word of one isn't in the other, so they have at most (n + m - differing bits) / 2 in common (Sandes et al. 2017)."""
@@ -302,17 +322,21 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
         return F.col(n) + F.col(m) - differ >= 2 * least * F.greatest(n, m)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that are similar enough. The partners of a text that has many are dealt to several tasks, each with its words."""
+        """The pairs (a, b) that are similar enough. Pairs of the same `of` are dealt to tasks by up to TOGETHER texts a and by parts of the
+        texts b, so that the words of a text b are sent once for so many a, and those of a text a once for each part."""
         pairs = work.table(pairs)
-        parts = work.table(pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("parts")))
-        dealt = pairs.join(parts, "a").select("a", "b", F.pmod(F.hash("b"), F.col("parts")).alias("part"))
+        sizes = pairs.groupBy("of", "a").agg(F.count("*").alias("c")).groupBy("of").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("sides"), F.sum("c").alias("c"))
+        sizes = work.table(sizes.select("of", "sides", F.ceil(F.col("c") / F.col("sides") / PARTNERS).cast("int").alias("parts")))
+        task = ["of", "side", "part"]
+        dealt = work.table(pairs.join(sizes, "of").select("of", F.pmod(F.hash("a"), F.col("sides")).alias("side"), F.pmod(F.hash("b"), F.col("parts")).alias("part"), "a", "b"))
         # Both joins read held by tid, under the same names, so that it is sent once.
-        sent = held.join(parts, F.col("tid") == F.col("a")).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("w").alias("wa"))
-        met = dealt.join(held, F.col("b") == F.col("tid")).select("a", "b", "part", F.col("w").alias("wb")).join(sent, ["a", "part"])
+        ones = dealt.select(*task, "a").distinct().join(held, F.col("a") == F.col("tid")).select(*task, "a", F.col("w").alias("wa"))
+        others = dealt.groupBy(*task, "b").agg(F.collect_set("a").alias("partners")).join(held, F.col("b") == F.col("tid")).select(*task, "b", "partners", F.col("w").alias("wb"))
+        met = others.join(ones, task).where(F.array_contains("partners", F.col("a")))
         return work.table(met.select("a", "b", "wa", "wb").mapInArrow(linked, "a binary, b binary"))
 
-    pair = [F.least("tid", "x").alias("a"), F.greatest("tid", "x").alias("b")]
-    led = posts.where("tid != lead").where(fits("n", "lead_n")).select(F.col("lead").alias("a"), F.col("tid").alias("b")).distinct()
+    by_lead = [F.col("lead").alias("of"), F.col("lead").alias("a"), F.col("tid").alias("b")]
+    led = posts.where("tid != lead").where(fits("n", "lead_n")).select(*by_lead).distinct()
     comps = components(verified(led), work)
 
     def merged(links: DataFrame) -> DataFrame:
@@ -323,17 +347,17 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
 
     def between_classes(rare: DataFrame) -> DataFrame:
         """The rows of words that texts of different classes have, with the class that has most of them, main, and a text of it, lead."""
-        each = rare.groupBy("word", "comp").agg(F.count("*").alias("c"), F.min(F.struct("tid", "n", "bits")).alias("one"))
+        each = rare.groupBy("word", "comp").agg(F.count("*").alias("c"), F.min(F.struct("tid", "n")).alias("one"))
         met = each.groupBy("word").agg(F.count("*").alias("k"), F.max(F.struct("c", "comp", "one")).alias("best")).where("k > 1")
-        met = met.select("word", F.col("best.comp").alias("main"), F.col("best.one.tid").alias("lead"), F.col("best.one.n").alias("lead_n"), F.col("best.one.bits").alias("lead_bits"))
-        return work.table(rare.join(met, "word"))
+        met = met.select("word", F.col("best.comp").alias("main"), F.col("best.one.tid").alias("lead"), F.col("best.one.n").alias("lead_n"))
+        return work.table(rare.join(met.join(large.select(F.col("tid").alias("lead"), F.col("bits").alias("lead_bits")), "lead"), "word"))
 
     state = work.table(posts.join(comps.withColumnRenamed("id", "tid"), "tid", "left").select("bucket", "tid", "n", F.coalesce("comp", "tid").alias("comp")))
     split = state.groupBy("bucket").agg(F.count("*").alias("many"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("bucket", "many")
     state = work.table(state.join(split, "bucket"))
     small = state.where(F.col("many") <= SMALL).select("bucket", "tid", "n", "comp")
     other = small.select("bucket", F.col("tid").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"))
-    few = small.join(other, "bucket").where("tid < x AND comp != cx").where(fits("n", "nx")).select(*pair)
+    few = small.join(other, "bucket").where("tid < x AND comp != cx").where(fits("n", "nx")).select(F.col("tid").alias("of"), F.col("tid").alias("a"), F.col("x").alias("b"))
 
     large = held.join(state.where(F.col("many") > SMALL).select("tid", "comp").distinct(), "tid")
     large = work.table(large.select("tid", "comp", "w").mapInArrow(labelled, "tid binary, comp binary, words array<bigint>, bits array<bigint>"))
@@ -341,26 +365,21 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
 
     def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            told = [(len(w), *rare_first(w.view(np.uint64), cells, least)) for w in lists(batch.column(2))]
-            many = [len(at) for _, _, at in told]
-            row, n = pa.array(np.repeat(np.arange(len(told)), many)), np.repeat([n for n, _, _ in told], many)
-            firsts = pa.array([w.view(np.int64) if len(w) <= CARRIED else None for _, w, _ in told], pa.list_(pa.int64()))
-            found, at = np.concatenate([np.empty(0, np.uint64), *(w for _, w, _ in told)]).view(np.int64), np.concatenate([np.empty(0, np.int64), *(at for _, _, at in told)])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(n, pa.int32()), pa.array(found), pa.array(at, pa.int32()), batch.column(3).take(row), firsts.take(row)], names=["tid", "comp", "n", "word", "at", "bits", "firsts"])
-
-    rare = between_classes(work.table(large.mapInArrow(rarest, "tid binary, comp binary, n int, word bigint, at int, bits array<bigint>, firsts array<bigint>")))
-    led = verified(rare.where("comp != main").where(fits("n", "lead_n")).where(common("n", "lead_n", "bits", "lead_bits")).select(F.least("tid", "lead").alias("a"), F.greatest("tid", "lead").alias("b")).distinct())
+            yield from rare_rows(batch, cells, least)
+
+    rare = between_classes(work.table(large.mapInArrow(rarest, "tid binary, comp binary, n int, word int, at int, bits array<bigint>, before array<int>")))
+    led = verified(rare.where("comp != main").where(fits("n", "lead_n")).where(common("n", "lead_n", "bits", "lead_bits")).select(*by_lead).distinct())
     # A word's main class may be any of its classes, so it stays the same one, under the name it has been joined to.
     top = merged(led)
     rare = rare.join(top, "comp", "left").join(top.select(F.col("comp").alias("main"), F.col("top").alias("main_top")), "main", "left")
-    rare = work.table(rare.select("tid", F.coalesce("top", "comp").alias("comp"), F.coalesce("main_top", "main").alias("main"), "n", "word", "at", "bits", "firsts"))
-    other = rare.select(F.col("word").alias("shared"), F.col("tid").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("at").alias("ax"), F.col("bits").alias("bx"), F.col("firsts").alias("fx"))
+    rare = work.table(rare.select("tid", F.coalesce("top", "comp").alias("comp"), F.coalesce("main_top", "main").alias("main"), "n", "word", "at", "bits", "before"))
+    other = rare.select(F.col("word").alias("shared"), F.col("tid").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("at").alias("ax"), F.col("bits").alias("bx"), F.col("before").alias("fx"))
     reach = F.least(F.col("n") - F.col("at"), F.col("nx") - F.col("ax")) >= least * F.greatest("n", "nx")  # the words in common that can follow
     rest = rare.where("comp != main").join(other, F.col("word") == F.col("shared")).where("comp != cx AND (cx = main OR tid < x)").where(fits("n", "nx")).where(reach)
-    first = F.get(F.array_intersect("firsts", "fx"), F.lit(0))  # both are in the same order
-    rest = rest.where(common("n", "nx", "bits", "bx")).where(F.coalesce(first == F.col("word"), F.lit(True))).select(*pair)
+    rest = rest.where(common("n", "nx", "bits", "bx")).where(~F.arrays_overlap("before", "fx")).select(F.col("main").alias("of"), F.col("tid").alias("a"), F.col("x").alias("b"))
 
-    new = verified(few.union(rest).distinct())
+    once = few.union(rest).groupBy(F.least("a", "b"), F.greatest("a", "b")).agg(F.min(F.struct("of", "a", "b")).alias("pair"))
+    new = verified(once.select("pair.*"))
     joined = merged(led.union(new))
     named = texts.join(comps.withColumnRenamed("id", "tid"), "tid", "left").select("tid", "first", F.coalesce("comp", "tid").alias("comp"))
     named = named.join(joined, "comp", "left").select("tid", "first", F.coalesce("top", "comp").alias("comp"))
