@@ -15,32 +15,40 @@ def _sizes(groups: DataFrame) -> DataFrame:
     return size.join(F.broadcast(size.agg(F.sum("n_g").alias("n"))))
 
 
-def rank_sum(x: DataFrame, groups: DataFrame) -> DataFrame:
+def counted(x: DataFrame, groups: DataFrame) -> DataFrame:
+    """gene, v, grp and c, the number of the group's cells that have the value: what both statistics below are made of."""
+    return x.join(groups, "cell_id").groupBy("gene", "v", "grp").agg(F.count("*").cast("double").alias("c"))
+
+
+def rank_sum(x: DataFrame | None, groups: DataFrame, many: DataFrame | None = None) -> DataFrame:
     """z of the rank-sum test, a row for each gene and group, without continuity or tie correction.
 
     Zeros are never made: they are one block of ties below all values. Equal values of a gene are counted by group before they are
     ranked, so a gene that all cells have costs as many rows in one task as it has different values. Values must be above 0. Where one
-    group has all cells z is null.
+    group has all cells z is null. many: `counted` of x, where it is at hand; x isn't read then.
     """
     size = _sizes(groups)
-    many = x.join(groups, "cell_id").groupBy("gene", "v", "grp").agg(F.count("*").cast("double").alias("c"))
-    block = many.groupBy("gene", "v").agg(F.sum("c").alias("t"))
-    order = Window.partitionBy("gene").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = block.withColumn("upto", F.sum("t").over(order)).withColumn("k", F.sum("t").over(Window.partitionBy("gene")))
+    many = counted(x, groups) if many is None else many
+    upto = F.sum("c").over(Window.partitionBy("gene").orderBy("v").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = many.withColumns({"upto": upto, "t": F.sum("c").over(Window.partitionBy("gene", "v"))})  # equal values together; one shuffle and sort by gene
     ranked = ranked.withColumn("r", F.col("upto") - (F.col("t") - 1) / 2)  # mean rank among values above 0
-    own = many.join(ranked, ["gene", "v"]).groupBy("gene", "grp").agg(F.sum(F.col("c") * F.col("r")).alias("s"), F.sum("c").alias("k_g"))
-    whole = ranked.groupBy("gene").agg(F.max("k").alias("k")).join(F.broadcast(size))  # genes without a value in a group too
-    df = whole.join(own, ["gene", "grp"], "left").na.fill({"s": 0.0, "k_g": 0.0})
+    own = ranked.groupBy("gene", "grp").agg(F.sum(F.col("c") * F.col("r")).alias("s"), F.sum("c").alias("k_g"))
+    held = F.collect_list(F.when(F.col("grp").isNotNull(), F.struct("grp", F.struct("s", "k_g"))))
+    whole = own.groupBy("gene").agg(F.sum("k_g").alias("k"), F.map_from_entries(held).alias("of")).join(F.broadcast(size))  # genes without a value in a group too
+    df = whole.withColumn("x", F.try_element_at("of", F.col("grp"))).select("gene", "grp", "n", "n_g", "k", F.coalesce("x.s", F.lit(0.0)).alias("s"), F.coalesce("x.k_g", F.lit(0.0)).alias("k_g"))
     n, n_g, k, k_g = (F.col(c) for c in ("n", "n_g", "k", "k_g"))
     ranks = (n_g - k_g) * (n - k + 1) / 2 + F.col("s") + (n - k) * k_g
     return df.select("gene", "grp", F.try_divide(ranks - n_g * (n + 1) / 2, F.sqrt(n_g * (n - n_g) * (n + 1) / 12)).alias("z"))
 
 
-def fractions_and_change(x: DataFrame, groups: DataFrame, epsilon: float = 1e-9) -> DataFrame:
+def fractions_and_change(x: DataFrame | None, groups: DataFrame, epsilon: float = 1e-9, many: DataFrame | None = None) -> DataFrame:
     """Per gene and group: pct_in, pct_out (shares of cells with a value, in and out of the group), spec (their difference) and logfc,
-    log2 of the ratio of the means turned back from log1p. Where one group has all cells, what compares it is null."""
+    log2 of the ratio of the means turned back from log1p. Where one group has all cells, what compares it is null. many: as for `rank_sum`."""
     size = _sizes(groups)
-    own = x.join(groups, "cell_id").groupBy("gene", "grp").agg(F.sum("v").alias("s_g"), F.count_if(F.col("v") > 0).cast("double").alias("k_g"))
+    if many is None:
+        own = x.join(groups, "cell_id").groupBy("gene", "grp").agg(F.sum("v").alias("s_g"), F.count_if(F.col("v") > 0).cast("double").alias("k_g"))
+    else:
+        own = many.groupBy("gene", "grp").agg(F.sum(F.col("v") * F.col("c")).alias("s_g"), F.sum(F.when(F.col("v") > 0, F.col("c")).otherwise(0.0)).alias("k_g"))
     whole = own.groupBy("gene").agg(F.sum("s_g").alias("s"), F.sum("k_g").alias("k")).join(F.broadcast(size))
     df = whole.join(own, ["gene", "grp"], "left").na.fill({"s_g": 0.0, "k_g": 0.0})
     rest = F.col("n") - F.col("n_g")
