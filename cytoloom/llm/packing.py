@@ -20,8 +20,8 @@ from cytoloom.llm.shared import groups
 AT_DOCUMENT, AT_SENTENCE, INSIDE = 0, 24, 96
 #: A sentence longer than this many tokens can also be cut at every multiple of it.
 GRID = 256
-#: Bytes of the texts that are encoded together; a longer text is encoded alone.
-GROUP = 1 << 21
+#: Bytes of the texts that are encoded together; a longer text is encoded alone. What is made of a group takes many times its bytes.
+GROUP = 1 << 19
 CLOSING = (".", "!", "?", "…", "。", "！", "？")
 
 
@@ -250,6 +250,11 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", end_id: int = 2, w
             sequence += len(stops)
             return pa.RecordBatch.from_arrays(columns, names=names)
 
+        def encoded(some: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+            out = encode(some)
+            pa.default_memory_pool().release_unused()
+            return out
+
         def packed_batches() -> Iterator[pa.RecordBatch]:
             nonlocal rows, parts, waiting
             for batch in batches:
@@ -261,7 +266,7 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", end_id: int = 2, w
             nonlocal rows, parts, waiting
             begun, others = 0, batch.select(range(batch.num_columns - 1))
             texts = pc.fill_null(batch.column(batch.num_columns - 1), "")
-            for n, (ids, ends) in enumerate(x for some in groups(texts, GROUP) for x in encode(some)):
+            for n, (ids, ends) in enumerate(x for some in groups(texts, GROUP) for x in encoded(some)):
                 rows.append((ids.tobytes() + end, ends))
                 waiting += len(rows[-1][0]) // 4
                 if waiting >= ahead:
