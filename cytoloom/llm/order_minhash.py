@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +32,8 @@ PARTNERS, TOGETHER = 512, 64
 PARITIES = 32
 #: Cells of the histogram that says which words are rare; it has this size however many texts there are.
 CELLS, BLOCK = 1 << 22, 1 << 16
+#: Cells of the table of main classes, and words that are taken from a batch together.
+MAINS, WORDS = 1 << 20, 1 << 17
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -167,23 +169,38 @@ def rare_first(labelled: np.ndarray, counts: np.ndarray, least: float = SIMILAR)
     return labelled[order[at]], at
 
 
-def rare_rows(batch: pa.RecordBatch, counts: np.ndarray, least: float = SIMILAR) -> Iterator[pa.RecordBatch]:
+def by_words(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about WORDS words of its lists, so that what is made of them stays small whatever Spark's batches are."""
+    upto = np.cumsum(np.diff(batch.column(column).offsets.to_numpy()), dtype=np.int64) // WORDS
+    edges = [0, *(np.flatnonzero(np.diff(upto)) + 1).tolist(), len(batch)]
+    return (batch.slice(i, j - i) for i, j in zip(edges, edges[1:]) if i < j)
+
+
+def rare_rows(batch: pa.RecordBatch, counts: np.ndarray, least: float = SIMILAR, mains: tuple[np.ndarray, np.ndarray] | None = None, own: bool = False) -> Iterator[pa.RecordBatch]:
     """A row for each rare word (`rare_first`, cut to 32 bits) of each text: the text's tid, comp, number of words and bits, the word, its
     place, and up to CARRIED of the text's rarer words. Two texts first meet where these have none in common. Words that 32 bits don't tell
-    apart are one word throughout, which makes texts meet that needn't. batch: tid, comp, labelled words, bits; about 2^16 words at a time."""
-    upto = np.cumsum(np.diff(batch.column(2).offsets.to_numpy()), dtype=np.int64) >> 16
-    edges = [0, *(np.flatnonzero(np.diff(upto)) + 1).tolist(), len(batch)]
-    for some in (batch.slice(i, j - i) for i, j in zip(edges, edges[1:])):
+    apart are one word throughout, which makes texts meet that needn't. batch: tid, comp, labelled words, bits.
+
+    With mains (`main_classes`) the batch has the class's number too, and rows, with the main class's number, are those of words that
+    several classes may have, `own`: where the text's is the main class, else where it isn't."""
+    for some in by_words(batch, 2):
         told = [(len(w), *rare_first(w.view(np.uint64) & np.uint64(0xFFFFFFFF), counts, least)) for w in lists(some.column(2))]
-        many = [len(at) for _, _, at in told]
+        if mains is None:
+            given = [np.arange(len(at)) for _, _, at in told]
+        else:
+            cells = [(w % np.uint64(MAINS)).astype(np.int64) for _, w, _ in told]
+            given = [np.flatnonzero(mains[1][c] & ((mains[0][c] == k) == own)) for c, k in zip(cells, some.column(4).to_numpy())]
+        many = [len(g) for g in given]
         row, n = pa.array(np.repeat(np.arange(len(told)), many)), np.repeat([n for n, _, _ in told], many)
         cut = [w.astype(np.uint32).view(np.int32) for _, w, _ in told]
-        carried = [np.minimum(np.arange(k), CARRIED) for k in many]
-        ends = np.cumsum([0, *(c.sum() for c in carried)], dtype=np.int64)
-        ends = np.concatenate([[0], *(e + np.cumsum(c) for e, c in zip(ends.tolist(), carried))]).astype(np.int32)
+        carried = [np.minimum(g, CARRIED) for g in given]
+        ends = np.concatenate([[0], np.cumsum(np.concatenate([np.empty(0, np.int64), *carried]))]).astype(np.int32)
         before = pa.ListArray.from_arrays(ends, np.concatenate([np.empty(0, np.int32), *(w[:k] for w, c in zip(cut, carried) for k in c.tolist())]))
-        found, at = np.concatenate([np.empty(0, np.int32), *cut]), np.concatenate([np.empty(0, np.int64), *(at for _, _, at in told)])
-        yield pa.RecordBatch.from_arrays([some.column(0).take(row), some.column(1).take(row), pa.array(n, pa.int32()), pa.array(found), pa.array(at, pa.int32()), some.column(3).take(row), before], names=["tid", "comp", "n", "word", "at", "bits", "before"])
+        found, at = np.concatenate([np.empty(0, np.int32), *(w[g] for w, g in zip(cut, given))]), np.concatenate([np.empty(0, np.int64), *(at[g] for (_, _, at), g in zip(told, given))])
+        made = {"tid": some.column(0).take(row), "comp": some.column(1).take(row), "n": pa.array(n, pa.int32()), "word": pa.array(found), "at": pa.array(at, pa.int32()), "bits": some.column(3).take(row), "before": before}
+        if mains is not None:
+            made["main"] = pa.array(np.concatenate([np.empty(0, np.int64), *(mains[0][c[g]] for c, g in zip(cells, given))]))
+        yield pa.RecordBatch.from_pydict(made)
 
 
 def parities(labelled: np.ndarray) -> np.ndarray:
@@ -215,9 +232,9 @@ def _added(packed: Iterator[bytes]) -> np.ndarray:
 
 def counted_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The histogram of a task's labelled words (lists, in the first column), in packed blocks of BLOCK cells; empty blocks are left out."""
-    cells = np.zeros(CELLS, dtype=np.int64)
-    for batch in batches:
-        found = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    cells = np.zeros(CELLS, dtype=np.uint32)
+    for some in (x for batch in batches for x in by_words(batch, 0)):
+        found = some.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
         np.add.at(cells, found % np.uint64(CELLS), 1)
     held = [(k, _packed(c)) for k, c in enumerate(cells.reshape(-1, BLOCK)) if c.any()]
     yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in held], pa.int64()), pa.array([c for _, c in held], pa.binary())], names=["block", "many"])
@@ -228,16 +245,91 @@ def added_blocks(key: tuple[pa.Scalar, ...], blocks: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "many": pa.array([_packed(_added(x.as_py() for x in blocks["many"]))], pa.binary())})
 
 
-def histogram(found: DataFrame) -> np.ndarray:
-    """Counts of CELLS cells of the labelled words (lists of longs, the only column). The tasks' histograms are added in two steps, so that
-    no group holds more than a 256th of them, and the driver gets one, whose size is fixed."""
+def gathered(some: DataFrame, added: Callable[[tuple[pa.Scalar, ...], pa.Table], pa.Table]) -> pa.Table:
+    """The tasks' packed blocks, added in two steps, so that no group holds more than a 256th of them, and the driver gets one of each, whose
+    size is fixed."""
     schema = "block bigint, many binary"
-    some = found.mapInArrow(counted_cells, schema).withColumn("salt", F.spark_partition_id() % 256)
-    told = some.groupBy("block", "salt").applyInArrow(added_blocks, schema).groupBy("block").applyInArrow(added_blocks, schema).toArrow()
+    some = some.withColumn("salt", F.spark_partition_id() % 256)
+    return some.groupBy("block", "salt").applyInArrow(added, schema).groupBy("block").applyInArrow(added, schema).toArrow()
+
+
+def histogram(found: DataFrame) -> np.ndarray:
+    """Counts of CELLS cells of the labelled words (lists of longs, the only column), in 16 bits, as every task gets them: those over 2^15
+    are put on a scale of logarithms, which keeps their order."""
+    told = gathered(found.mapInArrow(counted_cells, "block bigint, many binary"), added_blocks)
     cells = np.zeros((CELLS // BLOCK, BLOCK), dtype=np.int64)
     for block, many in zip(told["block"].to_pylist(), told["many"].to_pylist()):
         cells[block] = _added([many])
-    return np.minimum(cells.ravel(), np.iinfo(np.int32).max).astype(np.int32)
+    for block in cells:
+        over = block >= 1 << 15
+        block[over] = np.minimum((1 << 15) + 1024 * np.log2(block[over] / (1 << 15)), np.iinfo(np.uint16).max)
+    return cells.ravel().astype(np.uint16)
+
+
+class Mains:
+    """Of each cell of words the class that a task has most of, how many, and whether there are several classes."""
+
+    def __init__(self, cells: int):
+        self.of, self.n, self.several = np.zeros(cells, "<i8"), np.zeros(cells, "<i4"), np.zeros(cells, "u1")
+
+    def take(self, cell: np.ndarray, of: np.ndarray, n: np.ndarray, several: np.ndarray) -> None:
+        """Takes in other cells, each once, with their classes."""
+        self.several[cell] |= several | ((self.n[cell] > 0) & (self.of[cell] != of))
+        more = (n > self.n[cell]) | ((n == self.n[cell]) & (of > self.of[cell]))
+        self.of[cell[more]], self.n[cell[more]] = of[more], n[more]
+
+    def count(self, cell: np.ndarray, of: np.ndarray) -> None:
+        """Takes in words' cells and classes."""
+        if not len(cell):
+            return
+        order = np.lexsort((of, cell))
+        cell, of = cell[order], of[order]
+        at = np.flatnonzero(np.concatenate([[True], (cell[1:] != cell[:-1]) | (of[1:] != of[:-1])]))
+        cell, of, n = cell[at], of[at], np.diff(np.append(at, len(cell)))
+        order = np.lexsort((of, n, cell))
+        cell, of, n = cell[order], of[order], n[order]
+        last = np.flatnonzero(np.append(cell[1:] != cell[:-1], True))
+        self.take(cell[last], of[last], n[last], np.diff(last, prepend=-1) > 1)
+
+    def pack(self) -> bytes:
+        at = np.flatnonzero(self.n)
+        return b"".join(x.tobytes() for x in (at.astype("<u2"), self.of[at], self.n[at], self.several[at]))
+
+    def unpack(self, b: bytes) -> None:
+        n = len(b) // 15
+        self.take(np.frombuffer(b, "<u2", n), np.frombuffer(b, "<i8", n, 2 * n), np.frombuffer(b, "<i4", n, 10 * n), np.frombuffer(b, "u1", n, 14 * n))
+
+
+def added_mains(key: tuple[pa.Scalar, ...], blocks: pa.Table) -> pa.Table:
+    """What the tasks' Mains of one block come to."""
+    out = Mains(BLOCK)
+    for b in blocks["many"]:
+        out.unpack(b.as_py())
+    return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "many": pa.array([out.pack()], pa.binary())})
+
+
+def main_classes(found: DataFrame, counts: np.ndarray, least: float = SIMILAR) -> tuple[np.ndarray, np.ndarray]:
+    """For each of MAINS cells of rare words (found: labelled words, number of the class) a class that has many of them, and whether several
+    classes have any. Which class it is decides who looks for whom, not what is found."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Mains(MAINS)
+        for batch in batches:
+            told = [rare_first(w.view(np.uint64) & np.uint64(0xFFFFFFFF), counts, least)[0] for w in lists(batch.column(0))]
+            cells = np.concatenate([np.empty(0, np.uint64), *told]) % np.uint64(MAINS)
+            out.count(cells.astype(np.int64), np.repeat(batch.column(1).to_numpy(), [len(w) for w in told]))
+        for k in range(MAINS // BLOCK):
+            part, at = Mains(BLOCK), slice(k * BLOCK, (k + 1) * BLOCK)
+            part.of, part.n, part.several = out.of[at], out.n[at], out.several[at]
+            if part.n.any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([part.pack()], pa.binary())], names=["block", "many"])
+
+    told, of, several = gathered(found.mapInArrow(counted, "block bigint, many binary"), added_mains), np.zeros(MAINS, np.int64), np.zeros(MAINS, bool)
+    for block, many in zip(told["block"].to_pylist(), told["many"].to_pylist()):
+        part, at = Mains(BLOCK), slice(block * BLOCK, (block + 1) * BLOCK)
+        part.unpack(many)
+        of[at], several[at] = part.of, part.several > 0
+    return of, several
 
 
 def hashed_words(text: Column) -> Column:
@@ -282,7 +374,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
     id_type, tid = rows.schema["id"].dataType.simpleString(), F.unhex(F.md5(F.encode("t", "UTF-8")))
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (some for whole in batches for some in by_words(whole, 2)):
             found = [sketches(w) for w in lists(batch.column(2))]
             ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
             keys = pa.ListArray.from_arrays(ends, np.concatenate([np.empty(0, np.int64), *found]))
@@ -295,7 +387,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
             yield batch.select([0, 1]).filter(pa.array(near, pa.bool_()))
 
     def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (some for whole in batches for some in by_words(whole, 2)):
             found = [labelled_kmers(w, 1) for w in lists(batch.column(2))]
             ends, bits = np.cumsum([0, *map(len, found)], dtype=np.int32), [parities(w) for w in found]
             sides = [(ends, found), (np.arange(len(found) + 1, dtype=np.int32) * PARITIES, bits)]
@@ -309,9 +401,11 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
     lead = F.min(F.struct(F.col("first").isNull().alias("none"), F.col("first").alias("f"), "tid", "n")).alias("lead")
     shared = posts.groupBy("bucket").agg(lead, F.count("*").alias("many")).where("many > 1")
     posts = work.table(posts.join(shared, "bucket").select("bucket", "tid", "n", F.col("lead.tid").alias("lead"), F.col("lead.n").alias("lead_n")))
+    work.sweep()
     wanted = posts.select("tid").distinct()
     held = rows.where("t IS NOT NULL").groupBy(tid.alias("tid")).agg(F.first("t").alias("t")).join(wanted, "tid")
     held = work.table(held.select("tid", hashed_words(F.col("t")).alias("w")))
+    work.sweep()
 
     def fits(a: str, b: str) -> Column:
         return (F.col(a) >= least * F.col(b)) & (F.col(b) >= least * F.col(a))
@@ -325,6 +419,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
         """The pairs (a, b) that are similar enough. Pairs of the same `of` are dealt to tasks by up to TOGETHER texts a and by parts of the
         texts b, so that the words of a text b are sent once for so many a, and those of a text a once for each part."""
         pairs = work.table(pairs)
+        work.sweep()
         sizes = pairs.groupBy("of", "a").agg(F.count("*").alias("c")).groupBy("of").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("sides"), F.sum("c").alias("c"))
         sizes = work.table(sizes.select("of", "sides", F.ceil(F.col("c") / F.col("sides") / PARTNERS).cast("int").alias("parts")))
         task = ["of", "side", "part"]
@@ -333,7 +428,9 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
         ones = dealt.select(*task, "a").distinct().join(held, F.col("a") == F.col("tid")).select(*task, "a", F.col("w").alias("wa"))
         others = dealt.groupBy(*task, "b").agg(F.collect_set("a").alias("partners")).join(held, F.col("b") == F.col("tid")).select(*task, "b", "partners", F.col("w").alias("wb"))
         met = others.join(ones, task).where(F.array_contains("partners", F.col("a")))
-        return work.table(met.select("a", "b", "wa", "wb").mapInArrow(linked, "a binary, b binary"))
+        near = work.table(met.select("a", "b", "wa", "wb").mapInArrow(linked, "a binary, b binary"))
+        work.sweep()
+        return near
 
     by_lead = [F.col("lead").alias("of"), F.col("lead").alias("a"), F.col("tid").alias("b")]
     led = posts.where("tid != lead").where(fits("n", "lead_n")).select(*by_lead).distinct()
@@ -345,13 +442,6 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
         between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
         return components(between, work).select(F.col("id").alias("comp"), F.col("comp").alias("top"))
 
-    def between_classes(rare: DataFrame) -> DataFrame:
-        """The rows of words that texts of different classes have, with the class that has most of them, main, and a text of it, lead."""
-        each = rare.groupBy("word", "comp").agg(F.count("*").alias("c"), F.min(F.struct("tid", "n")).alias("one"))
-        met = each.groupBy("word").agg(F.count("*").alias("k"), F.max(F.struct("c", "comp", "one")).alias("best")).where("k > 1")
-        met = met.select("word", F.col("best.comp").alias("main"), F.col("best.one.tid").alias("lead"), F.col("best.one.n").alias("lead_n"))
-        return work.table(rare.join(met.join(large.select(F.col("tid").alias("lead"), F.col("bits").alias("lead_bits")), "lead"), "word"))
-
     state = work.table(posts.join(comps.withColumnRenamed("id", "tid"), "tid", "left").select("bucket", "tid", "n", F.coalesce("comp", "tid").alias("comp")))
     split = state.groupBy("bucket").agg(F.count("*").alias("many"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("bucket", "many")
     state = work.table(state.join(split, "bucket"))
@@ -361,22 +451,34 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
 
     large = held.join(state.where(F.col("many") > SMALL).select("tid", "comp").distinct(), "tid")
     large = work.table(large.select("tid", "comp", "w").mapInArrow(labelled, "tid binary, comp binary, words array<bigint>, bits array<bigint>"))
-    cells = histogram(large.select("words"))
+    # A class's number is a hash of comp; what a word's cell has is told apart into the main class's rows and those of the others.
+    cells, number = histogram(large.select("words")), F.xxhash64("comp")
+    mains = main_classes(large.select("words", number.alias("cls")), cells, least)
 
-    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rare_others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield from rare_rows(batch, cells, least)
+            yield from rare_rows(batch, cells, least, mains)
 
-    rare = between_classes(work.table(large.mapInArrow(rarest, "tid binary, comp binary, n int, word int, at int, bits array<bigint>, before array<int>")))
-    led = verified(rare.where("comp != main").where(fits("n", "lead_n")).where(common("n", "lead_n", "bits", "lead_bits")).select(*by_lead).distinct())
-    # A word's main class may be any of its classes, so it stays the same one, under the name it has been joined to.
+    def rare_mains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from rare_rows(batch, cells, least, mains, own=True)
+
+    schema = "tid binary, comp binary, n int, word int, at int, bits array<bigint>, before array<int>, main bigint"
+    others = work.table(large.withColumn("cls", number).mapInArrow(rare_others, schema))
+    leads = large.groupBy(number.alias("main")).agg(F.min(F.struct("tid", F.size("words").alias("n"), "bits")).alias("lead"))
+    leads = leads.select("main", F.col("lead.tid").alias("lead"), F.col("lead.n").alias("lead_n"), F.col("lead.bits").alias("lead_bits"))
+    led = others.dropDuplicates(["tid", "main"]).join(leads, "main").where(fits("n", "lead_n")).where(common("n", "lead_n", "bits", "lead_bits"))
+    led = verified(led.select(*by_lead))
+    # A cell's main class stays the same one, under the name it has been joined to.
     top = merged(led)
-    rare = rare.join(top, "comp", "left").join(top.select(F.col("comp").alias("main"), F.col("top").alias("main_top")), "main", "left")
-    rare = work.table(rare.select("tid", F.coalesce("top", "comp").alias("comp"), F.coalesce("main_top", "main").alias("main"), "n", "word", "at", "bits", "before"))
-    other = rare.select(F.col("word").alias("shared"), F.col("tid").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("at").alias("ax"), F.col("bits").alias("bx"), F.col("before").alias("fx"))
+    main_top = top.select(number.alias("main"), F.xxhash64("top").alias("main_top"))
+    others = others.join(top, "comp", "left").join(main_top, "main", "left").withColumn("comp", F.coalesce("top", "comp")).withColumn("main", F.coalesce("main_top", "main"))
+    others = work.table(others.select("tid", "comp", "n", "word", "at", "bits", "before", "main"))
+    own = large.withColumn("cls", number).join(top, "comp", "left").select("tid", F.coalesce("top", "comp").alias("comp"), "words", "bits", "cls").mapInArrow(rare_mains, schema)
+    other = others.union(own).select(F.col("word").alias("shared"), F.col("tid").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("at").alias("ax"), F.col("bits").alias("bx"), F.col("before").alias("fx"))
     reach = F.least(F.col("n") - F.col("at"), F.col("nx") - F.col("ax")) >= least * F.greatest("n", "nx")  # the words in common that can follow
-    rest = rare.where("comp != main").join(other, F.col("word") == F.col("shared")).where("comp != cx AND (cx = main OR tid < x)").where(fits("n", "nx")).where(reach)
-    rest = rest.where(common("n", "nx", "bits", "bx")).where(~F.arrays_overlap("before", "fx")).select(F.col("main").alias("of"), F.col("tid").alias("a"), F.col("x").alias("b"))
+    rest = others.where(number != F.col("main")).join(other, F.col("word") == F.col("shared")).where("comp != cx AND (xxhash64(cx) = main OR tid < x)").where(fits("n", "nx")).where(reach)
+    rest = rest.where(common("n", "nx", "bits", "bx")).where(~F.arrays_overlap("before", "fx")).select(F.unhex(F.hex("main")).alias("of"), F.col("tid").alias("a"), F.col("x").alias("b"))
 
     once = few.union(rest).groupBy(F.least("a", "b"), F.greatest("a", "b")).agg(F.min(F.struct("of", "a", "b")).alias("pair"))
     new = verified(once.select("pair.*"))

@@ -60,6 +60,11 @@ class Work:
         df.write.parquet(path)
         return self.spark.read.parquet(path)
 
+    def sweep(self) -> None:
+        """Has the driver collect its garbage: only then does Spark delete the files of shuffles whose tables have been written, and a driver
+        with room seldom does it by itself, so that all shuffles of a call would lie on the executors' disks at once."""
+        self.spark._jvm.System.gc()
+
     def drop(self) -> None:
         """Deletes what no result needs."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/step")
