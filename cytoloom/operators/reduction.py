@@ -36,12 +36,18 @@ class Components:
         return self.variance / self.total if self.total > 0 else np.zeros(len(self.variance))
 
 
-def packed(x: DataFrame, genes: DataFrame, most: int = MOST_GENES) -> tuple[DataFrame, list[str]]:
-    """(cell_id, at, v): a row for each cell of x(cell_id, gene, v) that has one of the genes, with the genes' places and values; and the
-    genes by name. A cell's row is no longer than the genes; repeated pairs of cell and gene are added up."""
+def named(genes: DataFrame, most: int = MOST_GENES) -> list[str]:
+    """The genes by name."""
     names = [r[0] for r in genes.select("gene").where("gene IS NOT NULL").distinct().orderBy("gene").limit(most + 1).collect()]
     if len(names) > most:
         raise ValueError(f"more than {most} genes; choose the variable ones first")
+    return names
+
+
+def packed(x: DataFrame, genes: DataFrame, most: int = MOST_GENES) -> tuple[DataFrame, list[str]]:
+    """(cell_id, at, v): a row for each cell of x(cell_id, gene, v) that has one of the genes, with the genes' places and values; and the
+    genes by name. A cell's row is no longer than the genes; repeated pairs of cell and gene are added up."""
+    names = named(genes, most)
     place = F.broadcast(x.sparkSession.createDataFrame([(g, i) for i, g in enumerate(names)], "gene string, at int"))
     known = x.select("cell_id", "gene", F.col("v").cast("double").alias("v")).where("cell_id IS NOT NULL AND v IS NOT NULL")
     each = known.join(place, "gene").groupBy("cell_id", "at").agg(F.sum("v").alias("v"))
@@ -102,10 +108,16 @@ def components(x: DataFrame, genes: DataFrame, cells: DataFrame, k: int = 50, to
     scratch = Scratch(x.sparkSession)
     known = cells.select("cell_id").where("cell_id IS NOT NULL").distinct()
     rows, names = packed(x.join(known.hint("merge"), "cell_id", "left_semi"), genes)
-    rows, n, g = scratch.table(rows), known.count(), len(names)
+    out = of_packed(scratch.table(rows), names, known.count(), k, tolerance, rounds, seed)
+    scratch.drop()
+    return out
+
+
+def of_packed(rows: DataFrame, names: list[str], n: int, k: int, tolerance: float, rounds: int = 40, seed: int = 0) -> Components:
+    """`components` of n cells by rows that are packed already, read once a pass."""
+    spark, g = rows.sparkSession, len(names)
     k = max(1, min(k, g - 1, n - 1))
     if not g or n < 2:
-        scratch.drop()
         return Components(names, np.zeros((g, k)), np.zeros(g), np.zeros(k), 0.0, True)
 
     def moments(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
@@ -120,7 +132,7 @@ def components(x: DataFrame, genes: DataFrame, cells: DataFrame, k: int = 50, to
     total = float((second - n * mean**2).sum())
 
     def product(panel: np.ndarray) -> np.ndarray:
-        held = x.sparkSession.sparkContext.broadcast(panel)
+        held = spark.sparkContext.broadcast(panel)
 
         def partial(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
             out = np.zeros(held.value.shape)
@@ -159,29 +171,32 @@ def components(x: DataFrame, genes: DataFrame, cells: DataFrame, k: int = 50, to
             settled = True
             break
         q = np.linalg.qr(q - basis @ (basis.T @ q))[0]
-    scratch.drop()
     if values.shape[0] < k:
         values, vectors = np.pad(values, (0, k - len(values))), np.pad(vectors, ((0, 0), (0, k - vectors.shape[1])))
     vectors = vectors * np.where(vectors[np.abs(vectors).argmax(0), np.arange(k)] < 0, -1.0, 1.0)
     return Components(names, vectors, mean, np.clip(values, 0, None) / (n - 1), max(total, 0.0) / (n - 1), settled)
 
 
-def scores(x: DataFrame, cells: DataFrame, model: Components) -> DataFrame:
-    """(cell_id, scores) of every cell: its centred values times the loadings; a cell without a chosen gene has that of a row of zeros.
-    Repeated cells give one row, null ids none."""
-    spark = x.sparkSession
-    held = spark.sparkContext.broadcast((model.loadings, model.mean @ model.loadings))
-    rows, _ = packed(x, spark.createDataFrame([(g,) for g in model.genes], "gene string"))
+def projected(rows: DataFrame, model: Components) -> DataFrame:
+    """Packed rows with their scores in place of `at` and `v`: centred values times the loadings, other columns as they are."""
+    held = rows.sparkSession.sparkContext.broadcast((model.loadings, model.mean @ model.loadings))
+    kept = [c for c in rows.columns if c not in ("at", "v")]
 
-    def projected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         load, shift = held.value
         for b in batches:
             own = np.concatenate([np.empty((0, load.shape[1])), *(p for *_, p in _projected(b, load))]) - shift
             ends = np.arange(len(own) + 1, dtype=np.int32) * load.shape[1]
-            yield pa.RecordBatch.from_arrays([b.column("cell_id"), pa.ListArray.from_arrays(ends, own.ravel())], names=["cell_id", "scores"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.ListArray.from_arrays(ends, own.ravel())], names=[*kept, "scores"])
 
-    kind = rows.schema["cell_id"].dataType.simpleString()
-    got = rows.mapInArrow(projected, f"cell_id {kind}, scores array<double>")
+    kinds = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept]
+    return rows.mapInArrow(project, ", ".join([*kinds, "scores array<double>"]))
+
+
+def scores(x: DataFrame, cells: DataFrame, model: Components) -> DataFrame:
+    """(cell_id, scores) of every cell: its centred values times the loadings; a cell without a chosen gene has that of a row of zeros.
+    Repeated cells give one row, null ids none."""
+    rows, _ = packed(x, x.sparkSession.createDataFrame([(g,) for g in model.genes], "gene string"))
     none = F.array(*[F.lit(-float(s)) for s in model.mean @ model.loadings])
     every = cells.select("cell_id").where("cell_id IS NOT NULL").distinct()
-    return every.join(got.hint("merge"), "cell_id", "left").select("cell_id", F.coalesce("scores", none).alias("scores"))
+    return every.join(projected(rows, model).hint("merge"), "cell_id", "left").select("cell_id", F.coalesce("scores", none).alias("scores"))
